@@ -1,10 +1,11 @@
 """Exact ranks and quantiles of groups of any size.
 
-A window over a whole group would put the largest group into one task. Here equal
-values are counted first, groups above ``SMALL_GROUP`` distinct values are cut into
-bins of similar size along a quantile sketch, and the running counts inside a bin
-are shifted by the size of the bins before it. The sketch only places the cuts:
-the counts are exact wherever the cuts fall.
+A window over a whole group puts the largest group into one task, so it is used
+only when no group has more than ``SMALL_GROUP`` rows. Beyond that, equal values
+are counted first, groups with many distinct values are cut into bins of similar
+size along a quantile sketch, and the running counts inside a bin are shifted by
+the size of the bins before it. The sketch only places the cuts: the counts are
+exact wherever the cuts fall.
 """
 
 from __future__ import annotations
@@ -14,12 +15,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .skew import attach
 
 SMALL_GROUP = 100_000
 BINS = 256
 
 
+def largest_group(rows: DataFrame, keys: Sequence[str]) -> int:
+    """Row count of the largest group; one aggregated number reaches the driver."""
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return sizes.agg(F.max("_n")).first()[0] or 0
+
+
 def _bin_of(value: Column, cuts: Column, bins: int) -> Column:
     """Number of cuts below the value, by bisection over the sorted cut array."""
     steps, step = [], bins // 2
@@ -100,34 +108,76 @@ def percentile_rank(below: Column, at: Column, total: Column) -> Column:
 
 def score_against(
     reference: DataFrame,
-    query: DataFrame,
+    query: DataFrame | None,
     keys: Sequence[str],
     value: str = "value",
-    spread: Sequence[str] | None = None,
+    small_group: int = SMALL_GROUP,
 ) -> DataFrame:
     """Add ``z`` and ``percentile`` of each query value among its group's reference.
 
-    z uses the population deviation. Groups without spread have a NULL z, queries
-    without a value stay NULL in both.
+    ``query=None`` scores the reference rows themselves. z uses the population
+    deviation. Groups without spread have a NULL z, queries without a value stay
+    NULL in both. Reference and query are written to the shared folder once, since
+    the size check and the scores both read them.
     """
     keys = list(keys)
-    spread = list(spread or [c for c in query.columns if c not in (*keys, value)])
-    known = reference.where(F.col(value).isNotNull())
-    stats = known.groupBy(*keys).agg(
-        F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_sd")
+    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
+    if query is None:
+        columns = reference.columns
+        tagged = reference.withColumn("_ref", one).withColumn("_ask", F.lit(True))
+    else:
+        columns = query.columns
+        asked = query.withColumn("_ref", zero).withColumn("_ask", F.lit(True))
+        given = reference.select(*keys, value, one.alias("_ref"), F.lit(False).alias("_ask"))
+        tagged = asked.unionByName(given, allowMissingColumns=True)
+    tagged = cut_lineage(
+        tagged.withColumn("_ref", F.when(F.col(value).isNotNull(), F.col("_ref")).otherwise(zero))
     )
-    tagged = known.select(*keys, value, F.lit(1).cast("long").alias("_ref")).unionAll(
-        query.where(F.col(value).isNotNull()).select(
-            *keys, value, F.lit(0).cast("long").alias("_ref")
-        )
+    if largest_group(tagged, keys) <= small_group:
+        scored = _scores_in_group(tagged, keys, value).where("_ask")
+    else:
+        scored = _scores_by_bins(tagged, keys, value, [c for c in columns if c not in keys])
+    return scored.select(*columns, "z", "percentile")
+
+
+def _scores_in_group(tagged: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Everything about a group from one shuffle and one sort, for bounded groups."""
+    group = Window.partitionBy(*keys)
+    ties = Window.partitionBy(*keys, value)
+    upto = Window.partitionBy(*keys).orderBy(value).rangeBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    known = F.when(F.col("_ref") > 0, F.col(value))
+    ranked = (
+        tagged.withColumn("_mean", F.avg(known).over(group))
+        .withColumn("_sd", F.stddev_pop(known).over(group))
+        .withColumn("_n", F.sum("_ref").over(group))
+        .withColumn("_upto", F.sum("_ref").over(upto))
+        .withColumn("_at", F.sum("_ref").over(ties))
     )
-    ranks = running_counts(tagged, keys, value, weight="_ref", group_stats=stats).select(
+    rank = percentile_rank(F.col("_upto") - F.col("_at"), F.col("_at"), F.col("_n"))
+    return ranked.withColumn(
+        "z", F.try_divide(F.col(value) - F.col("_mean"), F.col("_sd"))
+    ).withColumn("percentile", F.when(F.col(value).isNotNull(), rank))
+
+
+def _scores_by_bins(
+    tagged: DataFrame, keys: list[str], value: str, spread: list[str]
+) -> DataFrame:
+    """The same for groups of any size: no task holds a whole group."""
+    known = F.when(F.col("_ref") > 0, F.col(value))
+    stats = tagged.groupBy(*keys).agg(
+        F.avg(known).alias("_mean"), F.stddev_pop(known).alias("_sd")
+    )
+    ranks = running_counts(
+        tagged.where(F.col(value).isNotNull()), keys, value, weight="_ref", group_stats=stats
+    ).select(
         *keys,
         value,
         F.try_divide(F.col(value) - F.col("_mean"), F.col("_sd")).alias("z"),
         percentile_rank(F.col("n_below"), F.col("n_at"), F.col("n_total")).alias("percentile"),
     )
-    return attach(query, ranks, [*keys, value], spread, "left")
+    return attach(tagged.where("_ask"), ranks, [*keys, value], spread, "left")
 
 
 def exact_quantiles(
@@ -136,10 +186,15 @@ def exact_quantiles(
     quantiles: dict[str, float],
     value: str = "value",
     weight: str | None = None,
+    small_group: int = SMALL_GROUP,
 ) -> DataFrame:
     """Exact quantiles (name -> fraction), linearly interpolated, one row per key.
     """
     keys = list(keys)
+    if weight is None and largest_group(values, keys) <= small_group:
+        return values.groupBy(*keys).agg(
+            *[F.percentile(value, F.lit(float(q))).alias(n) for n, q in quantiles.items()]
+        )
     ranked = running_counts(values.where(F.col(value).isNotNull()), keys, value, weight)
     return ranked.groupBy(*keys).agg(*_picks(F.col(value), quantiles))
 

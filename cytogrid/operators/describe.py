@@ -14,6 +14,7 @@ from .features import (
     circular_means,
     enrichment,
     group_averages,
+    means_to_long,
     signature_biomarkers,
     signature_lists,
 )
@@ -23,18 +24,17 @@ SHAPE_FEATURES = ("shape_circularity", "shape_eccentricity", "shape_solidity")
 
 
 def biomarker_summary(
-    targets: DataFrame,
-    references: DataFrame,
-    keys: Sequence[str],
-    reference_keys: Sequence[str],
-    columns: Sequence[str],
+    targets: DataFrame, references: DataFrame, keys: Sequence[str], columns: Sequence[str]
 ) -> DataFrame:
     """z-score and percentile of each target's biomarker means among the reference
-    groups of its region. Biomarkers without spread are left out."""
-    target_means = group_averages(targets, keys, columns)
-    reference_means = group_averages(references, reference_keys, columns)
+    groups of its region. Biomarkers without spread are left out.
+
+    ``targets`` holds cells, ``references`` one wide row of means per patch.
+    """
     return score_against(
-        reference_means, target_means, ["region_id", "biomarker"]
+        means_to_long(references, ["region_id"], columns),
+        group_averages(targets, keys, columns),
+        ["region_id", "biomarker"],
     ).where(F.col("z").isNotNull())
 
 
@@ -163,13 +163,13 @@ def segmentation_summary(
     targets: DataFrame,
     references: DataFrame,
     keys: Sequence[str],
-    reference_keys: Sequence[str],
     strict: bool = True,
 ) -> DataFrame:
     """Wide row per target: value, z and percentile of density, spacing and area,
     plain means of the shape features, circular statistics of the orientation.
 
-    Members carry the features as columns. With ``strict=False`` shape and
+    ``targets`` holds cells with the features as columns, ``references`` one wide
+    row of means per patch. With ``strict=False`` shape and
     orientation columns may be missing and are left out of the result.
     """
     features = list(DENSITY_FEATURES)
@@ -182,8 +182,8 @@ def segmentation_summary(
         means += [mean_angle.alias("mean_orientation"), variance.alias("circular_variance")]
     base = targets.groupBy(*keys).agg(*means)
     scored = score_against(
-        group_averages(references, reference_keys, features),
-        base.unpivot(list(keys), features, "biomarker", "value"),
+        means_to_long(references, ["region_id"], features),
+        means_to_long(base, keys, features),
         ["region_id", "biomarker"],
     ).where(F.col("z").isNotNull())
     wide = scored.groupBy(*keys).agg(

@@ -34,7 +34,11 @@ def group_averages(
         value = F.avg(present(F.col(f"`{c}`").cast("double")))
         return (value if digits is None else F.round(value, digits)).alias(c)
 
-    wide = members.groupBy(*keys).agg(*[mean(c) for c in columns])
+    return means_to_long(members.groupBy(*keys).agg(*[mean(c) for c in columns]), keys, columns)
+
+
+def means_to_long(wide: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Wide rows of means to (biomarker, value) rows."""
     return wide.unpivot(list(keys), [f"`{c}`" for c in columns], "biomarker", "value")
 
 

@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import draw_order, draw_uniform
+from ..functions.expressions import draw_order, draw_uniform, present
 from ..functions.skew import attach
 from ..schema import PATCH
+from .features import RANK_DIGITS
 
 
 def window_origins(
@@ -104,16 +105,15 @@ def sliding_windows(
     cells: DataFrame,
     sizes: Sequence[int] = (128,),
     stride_ratio: float = 0.5,
-    n_min: int = 5,
-    n_max: int = 50,
     origin: tuple[int, int] | DataFrame | None = (-64, -64),
     repeats: int = 1,
     seed: int = 123,
     keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Membership of all windows of the given sizes.
+    """Membership of all windows of the given sizes, not yet limited in cell count.
 
-    ``origin=None`` draws ``repeats`` random corners per region and size.
+    ``origin=None`` draws ``repeats`` random corners per region and size. Pass the
+    result to :func:`window_averages` for statistics or :func:`cap_members` for ids.
     """
     parts = []
     for size in sizes:
@@ -124,15 +124,44 @@ def sliding_windows(
     members = parts[0]
     for part in parts[1:]:
         members = members.unionByName(part)
-    return cap_members(members, n_min, n_max, seed)
+    return members
+
+
+def window_averages(
+    members: DataFrame,
+    columns: Sequence[str],
+    n_min: int = 5,
+    n_max: int = 50,
+    seed: int = 123,
+) -> DataFrame:
+    """Number of cells and mean of every column per window, one wide row each.
+
+    Windows up to ``n_max`` cells, nearly all of them, are plain aggregates with
+    partial sums before the shuffle. Only the members of crowded windows are
+    looked up again and drawn from.
+    """
 
+    def averages(rows: DataFrame) -> DataFrame:
+        means = [F.round(F.avg(present(F.col(f"`{c}`").cast("double"))), RANK_DIGITS).alias(c)
+                 for c in columns]
+        return rows.groupBy(*PATCH).agg(F.count(F.lit(1)).alias("n_cells"), *means)
 
-def describe_windows(members: DataFrame) -> DataFrame:
-    """One row per window: rectangle, centre, name and number of cells."""
+    every = averages(members)
+    crowded = every.where(F.col("n_cells") > n_max).select(*PATCH)
+    drawn = cap_members(attach(members, crowded, PATCH, ["cell_id"]), n_min, n_max, seed)
+    return every.where(F.col("n_cells").between(n_min, n_max)).unionByName(
+        averages(drawn.drop("n_cells"))
+    )
+
+
+def describe_windows(members: DataFrame, n_min: int = 5, n_max: int = 50) -> DataFrame:
+    """One row per window: rectangle, centre, name and number of cells (capped)."""
     x1, y1 = F.col("x0") + F.col("patch_size"), F.col("y0") + F.col("patch_size")
     return (
         members.groupBy(*PATCH)
         .agg(F.count(F.lit(1)).alias("n_cells"))
+        .where(F.col("n_cells") >= n_min)
+        .withColumn("n_cells", F.least("n_cells", F.lit(n_max)))
         .withColumn("x1", x1)
         .withColumn("y1", y1)
         .withColumn("center_x", (F.col("x0") + F.col("x1")) / F.lit(2.0))

@@ -34,23 +34,20 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderpriority").alias("cell_type"),
         F.expr("50 + o_totalprice % 400").cast("double").alias("size_area"),
         F.expr("CAST(o_custkey % 314 AS DOUBLE) / 100 - 1.57D").alias("orientation"),
-        F.expr(f"CAST({key} * 7 % 101 AS DOUBLE) / 100").alias("shape_circularity"),
-        F.expr(f"CAST({key} * 13 % 100 AS DOUBLE) / 100").alias("shape_eccentricity"),
-        F.expr(f"CAST({key} * 29 % 100 AS DOUBLE) / 100").alias("shape_solidity"),
+        F.expr(f"CAST({key} * 7 % 101 AS DOUBLE) / 103").alias("shape_circularity"),
+        F.expr(f"CAST({key} * 13 % 100 AS DOUBLE) / 101").alias("shape_eccentricity"),
+        F.expr(f"CAST({key} * 29 % 100 AS DOUBLE) / 107").alias("shape_solidity"),
         F.expr("CAST(o_custkey % 9 - 1 AS INT)").alias("cluster"),
     )
 
 
 def expression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wide expression, one row per cell with line items."""
-    def mean(c: str) -> F.Column:
-        return F.round(F.avg(c), 9)
-
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("cell_id")).agg(
-        mean("l_quantity").alias("qty"),
-        mean("l_extendedprice").alias("price"),
-        mean("l_discount").alias("disc"),
-        mean("l_tax").alias("tax"),
+        F.avg("l_quantity").alias("qty"),
+        F.avg("l_extendedprice").alias("price"),
+        F.avg("l_discount").alias("disc"),
+        F.avg("l_tax").alias("tax"),
     )
 
 

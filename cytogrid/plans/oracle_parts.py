@@ -8,17 +8,16 @@ cells AS (
          o_orderpriority AS cell_type,
          CAST(50 + o_totalprice % 400 AS DOUBLE) AS size_area,
          CAST(o_custkey % 314 AS DOUBLE) / 100 - CAST(1.57 AS DOUBLE) AS orientation,
-         CAST(o_orderkey * 7 % 101 AS DOUBLE) / 100 AS shape_circularity,
-         CAST(o_orderkey * 13 % 100 AS DOUBLE) / 100 AS shape_eccentricity,
-         CAST(o_orderkey * 29 % 100 AS DOUBLE) / 100 AS shape_solidity,
+         CAST(o_orderkey * 7 % 101 AS DOUBLE) / 103 AS shape_circularity,
+         CAST(o_orderkey * 13 % 100 AS DOUBLE) / 101 AS shape_eccentricity,
+         CAST(o_orderkey * 29 % 100 AS DOUBLE) / 107 AS shape_solidity,
          CAST(o_custkey % 9 - 1 AS INT) AS cluster
   FROM orders)"""
 
 EXPRESSION = """
 expression AS (
-  SELECT l_orderkey // 1500 AS region_id, l_orderkey AS cell_id, round(avg(l_quantity), 9) AS qty,
-         round(avg(l_extendedprice), 9) AS price, round(avg(l_discount), 9) AS disc,
-         round(avg(l_tax), 9) AS tax
+  SELECT l_orderkey // 1500 AS region_id, l_orderkey AS cell_id, avg(l_quantity) AS qty,
+         avg(l_extendedprice) AS price, avg(l_discount) AS disc, avg(l_tax) AS tax
   FROM lineitem GROUP BY l_orderkey)"""
 
 EXPRESSION_LONG = """

@@ -8,6 +8,7 @@ from ..functions.ranking import score_against
 from ..operators import describe, features, spatial, windows
 from ..operators.filters import cells_in_rois
 from ..schema import PATCH
+from ..session import cut_lineage
 from . import bindings as b
 from . import oracle_parts as o
 from .registry import query, rounded, with_parts
@@ -15,12 +16,11 @@ from .registry import query, rounded, with_parts
 B = b.BIOMARKERS
 BASE = (o.CELLS, o.EXPRESSION, o.ENRICHED)
 TARGETS = (*BASE, o.ROIS, o.roi_members("enriched"))
-PATCH_KEYS = list(PATCH)
 
 
-def patches(spark, sf_dir, n_max=50):
-    """Cells of every window, with expression."""
-    return windows.sliding_windows(b.enriched(spark, sf_dir), n_max=n_max, keep=B)
+def patches(spark, sf_dir):
+    """Mean expression of every reference window."""
+    return windows.window_averages(windows.sliding_windows(b.enriched(spark, sf_dir), keep=B), B)
 
 
 def targets(spark, sf_dir):
@@ -37,20 +37,29 @@ def sliding_windows(spark, sf_dir):
     return windows.describe_windows(members).drop("patch_size")
 
 
+@query(with_parts(*BASE, o.windows("enriched", n_max=12), o.means("window_members", "region_id, x0, y0", B, "avgs"), select="""
+SELECT region_id, CAST(x0 AS BIGINT) AS x0, CAST(y0 AS BIGINT) AS y0, biomarker,
+       round(value, 6) AS value FROM avgs"""))
+def capped_signal_average(spark, sf_dir):
+    members = windows.sliding_windows(b.enriched(spark, sf_dir), keep=B)
+    means = windows.window_averages(members, B, n_max=12)
+    return rounded(features.means_to_long(means, ["region_id", "x0", "y0"], B), "value")
+
+
 @query(with_parts(o.CELLS, o.windows(n_max=12), select="""
 SELECT region_id, CAST(x0 AS BIGINT) AS x0, CAST(y0 AS BIGINT) AS y0, cell_id FROM window_members"""))
 def window_cap(spark, sf_dir):
-    members = windows.sliding_windows(b.cells(spark, sf_dir), n_max=12)
+    members = windows.cap_members(windows.sliding_windows(b.cells(spark, sf_dir)), n_max=12)
     return members.select("region_id", "x0", "y0", "cell_id")
 
 
 @query(with_parts(o.CELLS, o.windows(), select="""
 SELECT region_id, CAST(x0 AS BIGINT) AS x0, CAST(y0 AS BIGINT) AS y0, cell_id FROM window_members
 JOIN (SELECT region_id, x0, y0, row_number() OVER (PARTITION BY region_id
-             ORDER BY md5('123:128:' || x0 || ':' || y0), x0, y0) AS draw
-      FROM window_members GROUP BY region_id, x0, y0) USING (region_id, x0, y0) WHERE draw <= 100"""))
+             ORDER BY md5('123:128:' || x0 || ':' || y0), x0, y0) AS pick
+      FROM window_members GROUP BY region_id, x0, y0) USING (region_id, x0, y0) WHERE pick <= 100"""))
 def reference_patches_drawn(spark, sf_dir):
-    members = windows.sliding_windows(b.cells(spark, sf_dir))
+    members = windows.cap_members(windows.sliding_windows(b.cells(spark, sf_dir)))
     drawn = windows.reference_patches(members, count=100)
     return drawn.select("region_id", "x0", "y0", "cell_id")
 
@@ -65,7 +74,7 @@ multi AS (
 SELECT region_id, CAST(patch_size AS INT) AS patch_size, CAST(x0 AS BIGINT) AS x0,
        CAST(y0 AS BIGINT) AS y0, cell_id FROM multi WHERE n >= 5"""))
 def reference_patches(spark, sf_dir):
-    members = windows.sliding_windows(b.cells(spark, sf_dir), sizes=(64, 128))
+    members = windows.cap_members(windows.sliding_windows(b.cells(spark, sf_dir), sizes=(64, 128)))
     return windows.reference_patches(members).select(*PATCH, "cell_id")
 
 
@@ -79,8 +88,8 @@ def random_windows(spark, sf_dir):
 SELECT region_id, CAST(x0 AS BIGINT) AS x0, CAST(y0 AS BIGINT) AS y0, biomarker,
        round(value, 6) AS value FROM avgs"""))
 def signal_average(spark, sf_dir):
-    means = features.group_averages(patches(spark, sf_dir), PATCH_KEYS, B)
-    return rounded(means.drop("patch_size"), "value")
+    means = features.means_to_long(patches(spark, sf_dir), ["region_id", "x0", "y0"], B)
+    return rounded(means, "value")
 
 
 SELF = (*BASE, o.windows("enriched"), o.means("window_members", "region_id, x0, y0", B, "avgs"),
@@ -88,8 +97,8 @@ SELF = (*BASE, o.windows("enriched"), o.means("window_members", "region_id, x0,
 
 
 def _scored_patches(spark, sf_dir):
-    means = features.group_averages(patches(spark, sf_dir), PATCH_KEYS, B)
-    return score_against(means, means, ["region_id", "biomarker"]).drop("patch_size")
+    means = features.means_to_long(patches(spark, sf_dir), ["region_id", "x0", "y0"], B)
+    return score_against(means, None, ["region_id", "biomarker"])
 
 
 @query(with_parts(*SELF, select="""
@@ -133,7 +142,7 @@ bm_texts AS (
 
 def summary_of_targets(spark, sf_dir):
     found = describe.biomarker_summary(
-        targets(spark, sf_dir), patches(spark, sf_dir), b.ROI, PATCH_KEYS, B)
+        targets(spark, sf_dir), patches(spark, sf_dir), b.ROI, B)
     return rounded(found, "value", "z", "percentile")
 
 
@@ -363,14 +372,15 @@ seg_texts AS (
 
 def measured_cells(spark, sf_dir):
     cells = b.cells(spark, sf_dir)
-    return cells.join(spatial.cell_densities(cells), ["region_id", "cell_id"])
+    # Read twice below, as targets and as reference windows.
+    return cells.join(cut_lineage(spatial.cell_densities(cells)), ["region_id", "cell_id"])
 
 
 def segmentation_of_targets(spark, sf_dir, strict=True, drop=()):
     measured = measured_cells(spark, sf_dir).drop(*drop)
     found = describe.segmentation_summary(
         cells_in_rois(measured, b.rois(spark, sf_dir)),
-        windows.sliding_windows(measured, keep=S), b.ROI, PATCH_KEYS, strict)
+        windows.window_averages(windows.sliding_windows(measured, keep=S), S), b.ROI, strict)
     return rounded(found, *[c for c in found.columns if c not in b.ROI])
 
 

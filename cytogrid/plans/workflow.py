@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import describe, windows
-from ..schema import PATCH
 
 
 def encode(
@@ -28,20 +27,20 @@ def encode(
     categorised and written out.
     """
     columns = [*biomarkers, *describe.DENSITY_FEATURES]
-    references = windows.sliding_windows(cells, keep=columns)
+    references = windows.window_averages(windows.sliding_windows(cells, keep=columns), columns)
 
     def tidy(df: DataFrame, *names: str) -> DataFrame:
         return df if digits is None else df.withColumns({c: F.round(c, digits) for c in names})
 
     summary = tidy(
-        describe.biomarker_summary(targets, references, keys, list(PATCH), biomarkers),
+        describe.biomarker_summary(targets, references, keys, biomarkers),
         "z", "percentile")
     marks = describe.biomarker_text(
         describe.biomarker_categories(summary, keys, percentile_threshold=percentile_threshold), keys)
     types = tidy(
         describe.cell_type_summary(targets, cells, keys, biomarkers), "percent", "enrichment")
     kinds = describe.cell_type_text(describe.key_cell_types(types, keys, n_key_cell_types), keys)
-    shape = describe.segmentation_summary(targets, references, keys, list(PATCH))
+    shape = describe.segmentation_summary(targets, references, keys)
     shape = tidy(shape, *[c for c in shape.columns if c not in keys])
     forms = describe.segmentation_text(describe.segmentation_flags(shape), keys, um_per_pixel)
     return marks.join(kinds, list(keys)).join(forms, list(keys))
