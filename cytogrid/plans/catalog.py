@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from . import statistics_queries, table_queries  # noqa: F401
+from . import (  # noqa: F401
+    graph_queries,
+    image_queries,
+    mosaic_queries,
+    reply_queries,
+    statistics_queries,
+    table_queries,
+)
 from .registry import ORACLE, QUERIES, Query
 
 
