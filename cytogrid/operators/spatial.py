@@ -5,14 +5,19 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import squared_distance
+from ..functions.ranking import largest_group
 from ..functions.skew import attach
 from ..session import cut_lineage
 
 MAX_ROUNDS = 64
+SMALL_GROUP = 4096
+STRIP = 512
 
 
 def _tile(c: Column, side: Column) -> Column:
@@ -62,25 +67,71 @@ def nearest_neighbors(
     group: str = "region_id",
     key: str = "cell_id",
     grid_dims: int = 2,
+    small_group: int = SMALL_GROUP,
 ) -> DataFrame:
     """The ``k`` nearest other points of each point's group, ties by key.
 
-    Returns ``group, key, neighbor, distance, rank``. The first ``grid_dims``
-    coordinates lay out a grid whose tile side is set per group so that a handful
-    of points is expected within one side. A point with ``k`` hits within one side
-    is settled, because anything nearer lies in the adjacent tiles; the others go
-    on with twice the side. Points of groups with too few members keep what there is.
-    Of the copies at one position only the first ``k + 1`` can be anyone's
-    neighbour, so no more are searched.
+    Returns ``group, key, neighbor, distance, rank``. Points of groups with too few
+    members keep what there is. Groups of at most ``small_group`` points, by their
+    counted size, are compared inside one task each; otherwise a grid narrows the
+    search and no task sees a whole group.
     """
-    coords = list(coords)
-    dims = len(coords)
-    grid = coords[: min(grid_dims, dims)]
     known = points
     for c in coords:
         known = known.where(F.col(c).isNotNull())
     known = known.select(group, key, *coords)
+    if largest_group(known, [group]) <= small_group:
+        return _nearest_in_group(known, list(coords), k, group, key)
+    return _nearest_by_grid(known, list(coords), k, group, key, grid_dims)
+
+
+def _nearest_in_group(
+    known: DataFrame, coords: list[str], k: int, group: str, key: str
+) -> DataFrame:
+    types = dict(known.dtypes)
+
+    def search(members: pd.DataFrame) -> pd.DataFrame:
+        members = members.sort_values(key)
+        ids, at = members[key].to_numpy(), members[coords].to_numpy(dtype=float)
+        want = min(k, len(ids) - 1)
+        found = []
+        for low in range(0, len(ids) if want else 0, STRIP):
+            mine = np.arange(low, min(low + STRIP, len(ids)))
+            squares = np.zeros((len(mine), len(ids)))
+            for d in range(at.shape[1]):
+                squares += np.square(at[mine, d, None] - at[None, :, d])
+            squares[np.arange(len(mine)), mine] = np.inf
+            reach = np.partition(squares, want - 1, axis=1)[:, want - 1]
+            row, other = np.nonzero(squares <= reach[:, None])
+            length = np.sqrt(squares[row, other])
+            order = np.lexsort((other, length, row))
+            row, other, length = row[order], other[order], length[order]
+            rank = np.arange(len(row)) - np.searchsorted(row, row) + 1
+            keep = rank <= want
+            found.append(pd.DataFrame({
+                key: ids[mine[row[keep]]], "neighbor": ids[other[keep]],
+                "distance": length[keep], "rank": rank[keep].astype(np.int32),
+            }))
+        empty = pd.DataFrame({key: [], "neighbor": [], "distance": [], "rank": []})
+        return pd.concat(found or [empty]).assign(**{group: members[group].iat[0]})
+
+    return known.groupBy(group).applyInPandas(
+        search,
+        f"{group} {types[group]}, {key} {types[key]}, neighbor {types[key]}, distance double, rank int",
+    )
 
+
+def _nearest_by_grid(
+    known: DataFrame, coords: list[str], k: int, group: str, key: str, grid_dims: int
+) -> DataFrame:
+    """The first ``grid_dims`` coordinates lay out a grid whose tile side is set per
+    group so that a handful of points is expected within one side. A point with ``k``
+    hits within one side is settled, because anything nearer lies in the adjacent
+    tiles; the others go on with twice the side. Of the copies at one position only
+    the first ``k + 1`` can be anyone's neighbour, so no more are searched.
+    """
+    dims = len(coords)
+    grid = coords[: min(grid_dims, dims)]
     ball = math.pi ** (dims / 2) / math.gamma(dims / 2 + 1)
     spans = known.groupBy(group).agg(
         F.count(F.lit(1)).alias("_n"),

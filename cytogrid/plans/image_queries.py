@@ -83,7 +83,7 @@ def img_raw(spark, sf_dir):
 @query(with_parts(PIXELS, f"""
 levels AS (SELECT *, floor(least(greatest(value, 0), 1) * 255) AS v FROM pixels)""", select=f"""
 SELECT tile_id, channel, CAST(bin AS INT) AS bin, round(coalesce(n, 0) / total, 6) AS share
-FROM (SELECT tile_id, channel, count(*) AS total FROM levels GROUP BY ALL), range(31) t(bin)
+FROM (SELECT tile_id, channel, count(*) AS total FROM levels GROUP BY ALL) CROSS JOIN range(31) t(bin)
 LEFT JOIN (SELECT tile_id, channel, {BIN.format(v='v')} AS bin, count(*) AS n FROM levels GROUP BY ALL)
   USING (tile_id, channel, bin)"""))
 def img_histogram(spark, sf_dir):
@@ -95,7 +95,7 @@ def img_histogram(spark, sf_dir):
 @query(with_parts(PIXELS, """
 levels AS (SELECT *, least(greatest(CAST(trunc(value * 600) AS BIGINT) + 100, 0), 255) AS v FROM pixels)""", select=f"""
 SELECT tile_id, channel, CAST(bin AS INT) AS bin, round(coalesce(n, 0) / total, 6) AS share
-FROM (SELECT tile_id, channel, count(*) AS total FROM levels GROUP BY ALL), range(31) t(bin)
+FROM (SELECT tile_id, channel, count(*) AS total FROM levels GROUP BY ALL) CROSS JOIN range(31) t(bin)
 LEFT JOIN (SELECT tile_id, channel, {BIN.format(v='v')} AS bin, count(*) AS n FROM levels GROUP BY ALL)
   USING (tile_id, channel, bin)"""))
 def img_histogram_integer(spark, sf_dir):
@@ -109,16 +109,16 @@ def img_histogram_integer(spark, sf_dir):
 framed AS (
   SELECT f.region_id, f.roi_id, c.channel, floor(least(greatest(value, 0), 1) * 255) AS v
   FROM canvas c JOIN frames f ON c.region_id = f.region_id
-   AND c.col >= greatest(x0, 0)::BIGINT AND c.col < trunc(x1) AND c.row >= greatest(y0, 0)::BIGINT AND c.row < trunc(y1))""",
+   AND c.col >= trunc(greatest(x0, 0)) AND c.col < trunc(x1) AND c.row >= trunc(greatest(y0, 0)) AND c.row < trunc(y1))""",
     select=f"""
-SELECT region_id, roi_id, CAST(CASE channel WHEN 'dim' THEN 0 ELSE 31 END + bin AS INT) AS at,
+SELECT region_id, roi_id, CAST(CASE channel WHEN 'dim' THEN 0 ELSE 31 END + bin AS INT) AS dim,
        round(coalesce(n, 0) / total, 6) AS value
-FROM (SELECT region_id, roi_id, channel, count(*) AS total FROM framed GROUP BY ALL), range(31) t(bin)
+FROM (SELECT region_id, roi_id, channel, count(*) AS total FROM framed GROUP BY ALL) CROSS JOIN range(31) t(bin)
 LEFT JOIN (SELECT region_id, roi_id, channel, {BIN.format(v='v')} AS bin, count(*) AS n FROM framed GROUP BY ALL)
   USING (region_id, roi_id, channel, bin)"""))
 def roi_image_feature(spark, sf_dir):
     found = images.roi_features(canvas(spark, sf_dir), frames(spark, sf_dir))
-    return found.select("region_id", "roi_id", F.posexplode("features").alias("at", "value")).withColumn(
+    return found.select("region_id", "roi_id", F.posexplode("features").alias("dim", "value")).withColumn(
         "value", F.round("value", 6))
 
 
@@ -139,7 +139,7 @@ def rgb_composite(spark, sf_dir):
 
 
 MASK = (PIXELS, """
-mask AS (SELECT channel AS region_id, tile_id AS label, row, col FROM pixels WHERE value > 0)""")
+mask AS (SELECT channel AS region_id, tile_id + 1 AS label, row, col FROM pixels WHERE value > 0)""")
 
 MOMENTS = """
 moments AS (
@@ -211,7 +211,7 @@ JOIN filled USING (region_id, label)"""
 
 def mask(spark, sf_dir):
     return b.pixels(spark, sf_dir).where("value > 0").select(
-        F.col("channel").alias("region_id"), F.col("tile_id").alias("label"), "row", "col")
+        F.col("channel").alias("region_id"), (F.col("tile_id") + 1).alias("label"), "row", "col")
 
 
 @query(with_parts(*MASK, MOMENTS, ELLIPSE, PERIMETER, HULL, FILLED, select=SHAPES, recursive=True))

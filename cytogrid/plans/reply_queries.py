@@ -30,31 +30,31 @@ texts AS (
 LINES = """
 lines AS (
   SELECT text_id, unnest(string_split(text, chr(10))) AS line,
-         generate_subscripts(string_split(text, chr(10)), 1) AS at FROM texts),
+         generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM texts),
 starts AS (
-  SELECT text_id, min(at) FILTER (line LIKE '1.%') AS one, min(at) FILTER (line LIKE '2.%') AS two
+  SELECT text_id, min(pos) FILTER (line LIKE '1.%') AS one, min(pos) FILTER (line LIKE '2.%') AS two
   FROM lines GROUP BY ALL),
 heads AS (
-  SELECT text_id, one AS at, 2 AS reach FROM starts WHERE one IS NOT NULL
+  SELECT text_id, one AS pos, 2 AS reach FROM starts WHERE one IS NOT NULL
   UNION ALL SELECT text_id, two, 2 FROM starts WHERE two IS NOT NULL
   UNION ALL SELECT text_id, 1, 4 FROM starts WHERE one IS NULL AND two IS NULL),
 guesses AS (
-  SELECT h.text_id, h.at, string_agg(l.line, chr(10) ORDER BY l.at) AS guess
-  FROM heads h JOIN lines l ON l.text_id = h.text_id AND (l.at = h.at OR (
-    l.at > h.at AND l.at <= h.at + h.reach AND length(l.line) < 50
+  SELECT h.text_id, h.pos, string_agg(l.line, chr(10) ORDER BY l.pos) AS guess
+  FROM heads h JOIN lines l ON l.text_id = h.text_id AND (l.pos = h.pos OR (
+    l.pos > h.pos AND l.pos <= h.pos + h.reach AND length(l.line) < 50
     AND lower(l.line) NOT LIKE '%evidence%'))
   GROUP BY ALL),
 parsed AS (
-  SELECT text_id, row_number() OVER (PARTITION BY text_id ORDER BY at) - 1 AS guess_no, guess FROM guesses)"""
+  SELECT text_id, row_number() OVER (PARTITION BY text_id ORDER BY pos) - 1 AS guess_no, guess FROM guesses)"""
 
 ITEMS = r"""
 pieces AS (
   SELECT text_id, guess_no, unnest(string_split(cleaned, '*')) AS piece,
-         generate_subscripts(string_split(cleaned, '*'), 1) AS at
+         generate_subscripts(string_split(cleaned, '*'), 1) AS pos
   FROM (SELECT *, replace(replace(replace(replace(guess, chr(10), ' '), '1.', ''), '2.', ''), ':', '') AS cleaned
         FROM parsed)),
 items AS (
-  SELECT text_id, guess_no, item, row_number() OVER (PARTITION BY text_id, guess_no ORDER BY at) - 1 AS item_no
+  SELECT text_id, guess_no, item, row_number() OVER (PARTITION BY text_id, guess_no ORDER BY pos) - 1 AS item_no
   FROM (SELECT *, regexp_replace(piece, '^\s+|\s+$', '', 'g') AS item FROM pieces)
   WHERE length(item) > 5 AND length(item) < 100)"""
 
@@ -71,7 +71,7 @@ labelled AS (
 
 PREDICTED = """
 predicted AS (
-  SELECT reply_id, truth, label, row_number() OVER (PARTITION BY reply_id ORDER BY guess_no, item_no) AS at
+  SELECT reply_id, truth, label, row_number() OVER (PARTITION BY reply_id ORDER BY guess_no, item_no) AS pos
   FROM replies LEFT JOIN (SELECT * FROM labelled WHERE label <> 'NA') ON text_id = 'p' || reply_id)"""
 
 PARSE = (REPLIES, LINES)
@@ -115,8 +115,8 @@ def guess_labels(spark, sf_dir):
 @query(with_parts(*PARSE, ITEMS, LABELS, PREDICTED, select="""
 SELECT CAST(k AS INT) AS k, count(*) AS n, count(*) FILTER (first_hit <= k) AS correct,
        round(count(*) FILTER (first_hit <= k) / count(*), 6) AS accuracy
-FROM (SELECT reply_id, min(at) FILTER (label = truth) AS first_hit FROM predicted GROUP BY ALL),
-     (VALUES (1), (2), (3)) t(k) GROUP BY ALL"""))
+FROM (SELECT reply_id, min(pos) FILTER (label = truth) AS first_hit FROM predicted GROUP BY ALL)
+     CROSS JOIN (VALUES (1), (2), (3)) t(k) GROUP BY ALL"""))
 def accuracy_at_k(spark, sf_dir):
     predictions = evaluate.with_predictions(b.replies(spark, sf_dir))
     return rounded(evaluate.accuracy_at_k(predictions), "accuracy")
@@ -128,7 +128,7 @@ NAMES = [(c, c.lower().replace(" ", "_")) for c in CLASSES]
 @query(with_parts(*PARSE, ITEMS, LABELS, PREDICTED, select="SELECT truth, count(*) AS n, " + ", ".join(
     f"count(*) FILTER (label = '{c}') AS n_{n}, round(count(*) FILTER (label = '{c}') / count(*), 6) AS share_{n}"
     for c, n in NAMES) + """
-FROM predicted WHERE at = 1 AND label IS NOT NULL AND truth <> 'Other' GROUP BY truth"""))
+FROM predicted WHERE pos = 1 AND label IS NOT NULL AND truth <> 'Other' GROUP BY truth"""))
 def confusion_matrix(spark, sf_dir):
     matrix = evaluate.confusion_matrix(evaluate.with_predictions(b.replies(spark, sf_dir)))
     return rounded(matrix, *[f"share_{n}" for _, n in NAMES])

@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own_folders: dict[str, str] = {}  # of local sessions, by application
+
+
 def local_session(cores: int = 8, app: str = "cytogrid") -> SparkSession:
     """A session for tests and the benchmark; clusters bring their own settings."""
     return (
@@ -32,13 +35,11 @@ def shared_dir(spark: SparkSession) -> str:
     back to a temporary folder.
     """
     context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or _own_folders.get(context.applicationId)
     if folder is None:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="cytogrid-")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
+        folder = _own_folders[context.applicationId] = tempfile.mkdtemp(prefix="cytogrid-")
     return folder
 
 
@@ -48,6 +49,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives the loss of any executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the rows below the shared folder and go on from there.
+
+    Loops stay flat this way: a later step depends on the written table alone, also
+    after executors were lost, and the optimizer starts over with a plain scan. A
+    checkpoint keeps the constraints of the plan it cuts, and deriving new ones from
+    them takes longer with every turn of a loop.
+    """
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
