@@ -195,7 +195,7 @@ def _center_distances(point: Sequence[Column], centers: Column) -> Column:
         centers,
         lambda c: F.struct(
             squared_distance(point, [F.get(c["center"], F.lit(i)) for i in range(len(point))]).alias("d"),
-            c["cluster"].alias("cluster"),
+            c["_label"].alias("label"),
         ),
     )
 
@@ -222,12 +222,12 @@ def grouped_kmeans(
     )
     start = (
         points.withColumn("_turn", F.row_number().over(draw)).where(F.col("_turn") <= k)
-        .select(*groups, (F.col("_turn") - 1).alias("cluster"), F.col(vector).alias("center"))
+        .select(*groups, (F.col("_turn") - 1).alias("_label"), F.col(vector).alias("center"))
     )
 
     def packed(centers: DataFrame) -> DataFrame:
         return centers.groupBy(*groups).agg(
-            F.sort_array(F.collect_list(F.struct("cluster", "center"))).alias("_centers")  # k at most
+            F.sort_array(F.collect_list(F.struct("_label", "center"))).alias("_centers")  # k at most
         )
 
     coordinates = [F.get(vector, F.lit(i)) for i in range(dims)]
@@ -235,7 +235,7 @@ def grouped_kmeans(
     def assign(centers: DataFrame) -> DataFrame:
         near = F.array_min(_center_distances(coordinates, F.col("_centers")))
         return attach(points, centers, groups, [k for k in key if k not in groups]).withColumn(
-            name, near["cluster"]
+            name, near["label"]
         )
 
     centers = cut_lineage(packed(start))
@@ -244,7 +244,7 @@ def grouped_kmeans(
             *[F.round(F.avg(c), 9).alias(f"_c{i}") for i, c in enumerate(coordinates)]
         )
         fresh = means.select(
-            *groups, F.col(name).alias("cluster"),
+            *groups, F.col(name).alias("_label"),
             F.array(*[f"_c{i}" for i in range(dims)]).alias("center"),
         )
         moved = cut_lineage(packed(fresh))

@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import logging
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import describe, windows
+from ..functions.prompts import transcript
+from ..functions.skew import attach
+from ..operators import agents, community, describe, filters, graph, spatial, windows
+from ..session import cut_lineage
+from ..sources.metadata import diagnoses_of, renames_of
+from ..sources.tables import StageStore
+
+log = logging.getLogger(__name__)
+
+SAMPLE = ["region_id", "cluster", "component", "part"]
+CLUSTER = ["region_id", "cluster"]
 
 
 def encode(
@@ -44,3 +56,176 @@ def encode(
     shape = tidy(shape, *[c for c in shape.columns if c not in keys])
     forms = describe.segmentation_text(describe.segmentation_flags(shape), keys, um_per_pixel)
     return marks.join(kinds, list(keys)).join(forms, list(keys))
+
+
+@dataclass
+class StudyTables:
+    """Inputs of a run, all regions of all studies in each table.
+
+    ``cells``: region_id, cell_id, x, y. ``types``: region_id, cell_id, cell_type.
+    ``expression``: long and normalised. ``shapes``: region_id, cell_id, orientation,
+    size_area, shape_circularity, shape_eccentricity, shape_solidity. ``studies``: one
+    row of metadata each.
+    """
+
+    cells: DataFrame
+    types: DataFrame
+    expression: DataFrame
+    shapes: DataFrame
+    studies: DataFrame
+    biomarkers: Sequence[str]
+
+
+def study_of(region: str = "region_id"):
+    return F.split_part(region, F.lit("_"), F.lit(1))
+
+
+def widen(expression: DataFrame, biomarkers: Sequence[str]) -> DataFrame:
+    """Long expression to one column per biomarker."""
+    return expression.groupBy("region_id", "cell_id").agg(
+        *[F.max(F.when(F.col("biomarker") == m, F.col("value"))).alias(m) for m in biomarkers]
+    )
+
+
+def prepare(tables: StudyTables) -> DataFrame:
+    """Every cell with type, expression, shape and density, written once for all stages."""
+    key = ["region_id", "cell_id"]
+    renamed = filters.rename_cell_types(
+        tables.types.select(*key, "cell_type").withColumn("study", study_of()),
+        renames_of(tables.studies),
+    ).drop("study")
+    return cut_lineage(
+        tables.cells.select(*key, "x", "y")
+        .join(renamed, key, "left")
+        .join(widen(tables.expression, tables.biomarkers), key, "left")
+        .join(tables.shapes, key, "left")
+        .join(spatial.cell_densities(tables.cells), key, "left")
+    )
+
+
+def build_graph(prepared: DataFrame, biomarkers: Sequence[str], feature_knn: int = 4) -> DataFrame:
+    """Spatial and feature edges of every region."""
+    quoted = [F.col(f"`{m}`").alias(f"_f{i}") for i, m in enumerate(biomarkers)]
+    features = prepared.select("region_id", "cell_id", *quoted)
+    alike = spatial.feature_edges(features, [f"_f{i}" for i in range(len(biomarkers))], feature_knn)
+    return cut_lineage(spatial.spatial_edges(prepared).unionByName(alike))
+
+
+class Workflow:
+    """The staged run: context, clusters, encoding, annotation, aggregation, scoring.
+
+    Every stage is a table in the store. With ``resume`` stored contexts, clusters and
+    replies are used again; regions already encoded are skipped in any case.
+    """
+
+    def __init__(
+        self, tables: StudyTables, store: StageStore,
+        backend: agents.ChatBackend | None = None, resume: bool = False,
+    ):
+        self.tables = tables
+        self.store = store
+        self.backend = backend
+        self.resume = resume
+
+    def _stage(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        stored = self.store.load(name) if self.resume else None
+        if stored is None:
+            self.store.save(make(), name)
+            stored = self.store.load(name)
+        log.info("%s ready", name)
+        return stored
+
+    def _answer(self, name: str, todo: DataFrame, keys: Sequence[str]) -> DataFrame:
+        """Ask for rows without a stored answer and add the answers to the stage."""
+        done = self.store.load(name) if self.resume else None
+        answered = agents.ask(agents.not_done(todo, done, keys), self.backend)
+        self.store.save(answered, name, "overwrite" if done is None else "append")
+        log.info("%s ready", name)
+        return self.store.load(name)
+
+    def context(self) -> DataFrame:
+        def make() -> DataFrame:
+            studies = self.tables.studies.select(
+                F.col("study_id").alias("study"),
+                F.lower(F.array_join("tissue_types", ", ")).alias("tissue_types"),
+                "major_phenotypes",
+                F.array_join("biomarkers", ", ").alias("biomarker_list"),
+                F.coalesce("background", F.lit("")).alias("background"),
+            )
+            values = {c: F.col(c) for c in studies.columns if c != "study"}
+            curated = agents.curate_context(studies, values, self.backend, cut_lineage)
+            return curated.select(
+                "study", "tissue_types", "major_phenotypes", transcript(F.col("dialogue")).alias("context")
+            )
+
+        return self._stage("context", make)
+
+    def clusters(self, prepared: DataFrame, edges: DataFrame) -> DataFrame:
+        return self._stage("clusters", lambda: community.resolution_sweep(prepared, edges))
+
+    def subsets(self, prepared: DataFrame, edges: DataFrame, clusters: DataFrame) -> DataFrame:
+        """Members and texts of the sampled groups; regions encoded before are kept."""
+        done = self.store.load("subset_texts")
+        if done is not None:
+            fresh = clusters.join(done.select("region_id").distinct(), "region_id", "left_anti")
+        else:
+            fresh = clusters
+        fresh = cut_lineage(fresh)
+        if not fresh.isEmpty():
+            samples = cut_lineage(graph.cluster_samples(fresh, edges.where("kind = 'spatial'")))
+            targets = samples.join(prepared.drop("cluster"), ["region_id", "cell_id"])
+            regions = fresh.select("region_id").distinct()
+            cells = prepared.join(regions, "region_id", "left_semi")
+            self.store.save(samples, "subset_cells", "append")
+            self.store.save(encode(cells, targets, SAMPLE, self.tables.biomarkers), "subset_texts", "append")
+        return self.store.load("subset_texts")
+
+    def _with_context(self, rows: DataFrame, context: DataFrame, keys: Sequence[str]) -> DataFrame:
+        return attach(rows.withColumn("study", study_of()), context, ["study"], keys)
+
+    def annotate(self, texts: DataFrame, context: DataFrame) -> DataFrame:
+        rows = self._with_context(texts, context, SAMPLE)
+        values = {c: F.col(c) for c in ("tissue_types", "major_phenotypes", "context")}
+        values |= {"bm_summary": F.col("bm_text"), "ct_summary": F.col("ct_text"),
+                   "seg_summary": F.col("seg_text")}
+        todo = rows.select(*SAMPLE, agents.annotator_dialogue(values).alias("dialogue"))
+        return self._answer("annotations", todo, SAMPLE)
+
+    def aggregate(self, annotations: DataFrame, context: DataFrame) -> DataFrame:
+        numbered = annotations.withColumn("_order", F.xxhash64("component", "part"))
+        joined = agents.aggregate_texts(numbered, CLUSTER, "reply", "_order")
+        rows = self._with_context(joined, context, [*CLUSTER, "part"])
+        values = {c: F.col(c) for c in ("tissue_types", "major_phenotypes", "context", "n_obs", "results")}
+        todo = rows.select(*CLUSTER, "part", agents.aggregate_dialogue(values).alias("dialogue"))
+        return self._answer("aggregates", todo, [*CLUSTER, "part"])
+
+    def score(self, annotations: DataFrame, context: DataFrame) -> DataFrame:
+        diagnoses = diagnoses_of(self.tables.studies)
+        rows = attach(self._with_context(annotations, context, SAMPLE), diagnoses, ["region_id"],
+                      SAMPLE[1:], "left")
+        values = {
+            "tissue_types": F.col("tissue_types"),
+            "major_phenotypes": F.col("major_phenotypes"),
+            "user_input": F.get("dialogue", F.lit(2))["content"],
+            "ai_output": F.col("reply"),
+            "diagnosis": F.coalesce("diagnosis", "major_phenotypes"),
+            "phenotype_desc": F.col("context"),
+        }
+        todo = rows.select(*SAMPLE, agents.pathology_dialogue(values).alias("dialogue"))
+        return self._answer("pathology", todo, SAMPLE)
+
+    def run(self) -> dict[str, DataFrame]:
+        context = self.context()
+        prepared = prepare(self.tables)
+        edges = build_graph(prepared, self.tables.biomarkers)
+        clusters = self.clusters(prepared, edges)
+        texts = self.subsets(prepared, edges, clusters)
+        annotations = self.annotate(texts, context)
+        return {
+            "context": context,
+            "clusters": clusters,
+            "texts": texts,
+            "annotations": annotations,
+            "aggregates": self.aggregate(annotations, context),
+            "pathology": self.score(annotations, context),
+        }

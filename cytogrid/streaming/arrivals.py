@@ -1,0 +1,54 @@
+"""Regions that arrive while the engine runs: skip those already stored, do the rest.
+
+No statistic spans regions, so a stream of new files needs no state beyond the list
+of regions in the store.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
+
+from ..schema import CELLS
+from ..session import cut_lineage
+from ..sources.tables import StageStore
+
+
+def arriving_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """Stream of the cell tables below ``folder/region_id=<region>/``."""
+    schema = T.StructType([*CELLS.fields, T.StructField("region_id", T.StringType())])
+    return spark.readStream.schema(schema).option("header", True).csv(folder)
+
+
+def process_arrivals(
+    cells: DataFrame,
+    process: Callable[[DataFrame], DataFrame],
+    store: StageStore,
+    stage: str,
+    checkpoint: str,
+) -> StreamingQuery:
+    """Run ``process`` on the cells of new regions and append its result to a stage.
+
+    ``process`` returns rows with ``region_id``. A batch that is delivered again
+    after a failure finds its regions stored and adds nothing.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        done = store.load(stage)
+        fresh = batch
+        if done is not None:
+            fresh = batch.join(done.select("region_id").distinct(), "region_id", "left_anti")
+        fresh = cut_lineage(fresh.where(F.col("region_id").isNotNull()))
+        if not fresh.isEmpty():
+            store.save(process(fresh), stage, "append")
+
+    return (
+        cells.writeStream.foreachBatch(handle)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
