@@ -26,6 +26,8 @@ def attach(
     the lookup turns out small, adaptive execution broadcasts it by its measured
     size.
     """
+    if not spread:  # rows are unique by key, no key can be hot
+        return rows.join(lookup, list(keys), how)
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))
     repeated = lookup.withColumn(
         "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))

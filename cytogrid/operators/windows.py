@@ -75,7 +75,7 @@ def window_members(
         base.withColumn("x0", F.explode(_covering(F.col("x"), x_start, size, stride)))
         .withColumn("y0", F.explode(_covering(F.col("y"), y_start, size, stride)))
         .withColumn("patch_size", F.lit(size))
-        .select(*PATCH, "cell_id", *keep)
+        .select(*PATCH, "cell_id", *[F.col(f"`{c}`") for c in keep])
     )
     # Grids of two repeats may share windows.
     return members.dropDuplicates([*PATCH, "cell_id"]) if isinstance(origin, DataFrame) else members

@@ -7,15 +7,16 @@ chunk. Each chunk is a row, so no task ever holds a whole image.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.skew import attach
 from ..schema import TILES
 
 MASK = "seg_mask"
@@ -47,17 +48,28 @@ def _decode(content: bytes, header: str, y: int, x: int) -> tuple[np.ndarray, in
     return chunk[: meta["shape"][0] - y0, : meta["shape"][1] - x0], y0, x0
 
 
+def _read_header(folder: str) -> str:
+    """The array's header. Spark's readers skip names that start with a dot."""
+    uri = re.sub("^file:/+", "file:///", f"{folder}/.zarray")
+    files, path = pyarrow.fs.FileSystem.from_uri(uri)
+    with files.open_input_stream(path) as stream:
+        return stream.read().decode("utf-8")
+
+
 def _decode_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    headers: dict[str, str] = {}  # of this task's folders
     for batch in batches:
         out = []
         for r in batch.itertuples(index=False):
             row = {"region_id": r.region_id, "channel": r.channel, "y0": None, "x0": None,
                    "height": None, "width": None, "pixels": None, "error": None}
             try:
-                chunk, row["y0"], row["x0"] = _decode(r.content, r.header, r.cy, r.cx)
+                if r.folder not in headers:
+                    headers[r.folder] = _read_header(r.folder)
+                chunk, row["y0"], row["x0"] = _decode(r.content, headers[r.folder], r.cy, r.cx)
                 row["height"], row["width"] = chunk.shape
                 row["pixels"] = chunk.astype(float).ravel()
-            except (ValueError, KeyError, TypeError, zlib.error) as problem:
+            except (OSError, ValueError, KeyError, TypeError, zlib.error) as problem:
                 row["error"] = f"{type(problem).__name__}: {problem}"
             out.append(row)
         frame = pd.DataFrame(out, columns=[f.name for f in TILES.fields])
@@ -77,19 +89,12 @@ def read_tiles(spark: SparkSession, root: str) -> DataFrame:
     chunks = binary.option("pathGlobFilter", "[0-9]*.[0-9]*").load(root).select(
         _folder(path, 1).alias("region_id"),
         _folder(path, 2).alias("channel"),
+        F.regexp_extract(path, r"^(.+)/[^/]+$", 1).alias("folder"),
         F.regexp_extract(path, r"/(\d+)\.(\d+)$", 1).cast("long").alias("cy"),
         F.regexp_extract(path, r"/(\d+)\.(\d+)$", 2).cast("long").alias("cx"),
         "content",
     )
-    headers = spark.read.format("binaryFile").load(f"{root}/*/*/.zarray").select(
-        _folder(path, 1).alias("region_id"),
-        _folder(path, 2).alias("channel"),
-        F.decode("content", "utf-8").alias("header"),
-    )
-    # The chunk contents stay where they were read unless the headers are too many to broadcast.
-    return attach(chunks, headers, ["region_id", "channel"], ["cy", "cx"], "left").mapInPandas(
-        _decode_batches, TILES
-    )
+    return chunks.mapInPandas(_decode_batches, TILES)
 
 
 def channel_tiles(tiles: DataFrame, channels: list[str] | None = None) -> DataFrame:
