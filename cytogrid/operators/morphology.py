@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import spread_out
+
 OBJECT = ["region_id", "label"]
 # Border pixels weigh by the pattern of border neighbours around them,
 # coded as 1 + 2 per edge neighbour + 10 per corner neighbour.
@@ -155,7 +157,7 @@ def convex_areas(mask: DataFrame) -> DataFrame:
     extremes = mask.groupBy(*OBJECT, "row").agg(F.min("col").alias("left"), F.max("col").alias("right"))
     types = dict(mask.dtypes)
     schema = f"region_id {types['region_id']}, label {types['label']}, area_convex bigint"
-    return extremes.groupBy(*OBJECT).applyInPandas(_hull_of_object, schema)
+    return spread_out(extremes, *OBJECT).groupBy(*OBJECT).applyInPandas(_hull_of_object, schema)
 
 
 def gap_runs(mask: DataFrame) -> DataFrame:
@@ -175,6 +177,10 @@ def _holes_of_object(runs: pd.DataFrame) -> pd.DataFrame:
     """
     starts, ends = runs["start"].to_numpy(), runs["end"].to_numpy()
     rows = runs["row"].to_numpy()
+    opened = np.zeros(len(runs), dtype=bool)
+    for side in ("above", "below"):
+        opened |= runs[f"{side}_left"].to_numpy() > starts - 1
+        opened |= runs[f"{side}_right"].to_numpy() < ends + 1
     at_row: dict[int, list[int]] = {}
     for i in np.lexsort((starts, rows)):
         at_row.setdefault(int(rows[i]), []).append(int(i))
@@ -186,12 +192,7 @@ def _holes_of_object(runs: pd.DataFrame) -> pd.DataFrame:
             i = parent[i]
         return i
 
-    opened = [False] * len(runs)
     for i in range(len(runs)):
-        if runs["above_left"].iat[i] > starts[i] - 1 or runs["above_right"].iat[i] < ends[i] + 1:
-            opened[i] = True
-        if runs["below_left"].iat[i] > starts[i] - 1 or runs["below_right"].iat[i] < ends[i] + 1:
-            opened[i] = True
         for k in at_row.get(int(rows[i]) + 1, ()):
             if starts[k] <= ends[i] + 1 and ends[k] >= starts[i] - 1:
                 parent[root(k)] = root(i)
@@ -216,7 +217,7 @@ def hole_areas(mask: DataFrame) -> DataFrame:
     gaps = gaps.fillna({"above_left": far, "below_left": far, "above_right": -far, "below_right": -far})
     types = dict(mask.dtypes)
     schema = f"region_id {types['region_id']}, label {types['label']}, holes bigint"
-    return gaps.groupBy(*OBJECT).applyInPandas(_holes_of_object, schema)
+    return spread_out(gaps, *OBJECT).groupBy(*OBJECT).applyInPandas(_holes_of_object, schema)
 
 
 def shape_features(mask: DataFrame) -> DataFrame:

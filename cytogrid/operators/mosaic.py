@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.expressions import draw_order, draw_uniform, squared_distance
 from ..functions.ranking import exact_quantiles, running_counts
 from ..functions.skew import attach
-from ..session import cut_lineage
+from ..session import cut_lineage, spread_out
 
 BLOCK_ROWS = 1024
 HISTOGRAM_BINS = 4096
@@ -86,7 +86,8 @@ def pair_summary(points: DataFrame, group: str, key: Sequence[str], vector: str)
             "_max": [float(d.max()) if len(d) else np.nan],
         })
 
-    parts = _block_pairs(points, group, key, vector).groupBy(group, "_i", "_j").applyInPandas(
+    blocks = spread_out(_block_pairs(points, group, key, vector), group, "_i", "_j")
+    parts = blocks.groupBy(group, "_i", "_j").applyInPandas(
         summarize, f"{group} {kind}, _n bigint, _sum double, _max double"
     )
     return parts.groupBy(group).agg(
@@ -117,7 +118,7 @@ def pair_quantile(
     box = cut_lineage(box)
     limits = box.select(group, (F.col("_far") * 1.0000001 + 1e-12).alias("_far"))
     bounded = attach(points, limits, [group], list(key))
-    pairs = _block_pairs(bounded, group, key, vector, ["_far"])
+    pairs = spread_out(_block_pairs(bounded, group, key, vector, ["_far"]), group, "_i", "_j")
 
     def count_bins(block: pd.DataFrame) -> pd.DataFrame:
         far = float(block["_far"].iat[0])
@@ -154,7 +155,7 @@ def pair_quantile(
         attach(bounded, around.drop("_before"), [group], list(key)),
         group, key, vector, ["_far", "_first", "_last"],
     )
-    near = sought.groupBy(group, "_i", "_j").applyInPandas(emit, f"{group} {kind}, value double")
+    near = spread_out(sought, group, "_i", "_j").groupBy(group, "_i", "_j").applyInPandas(emit, f"{group} {kind}, value double")
     counted = running_counts(near, [group]).join(wanted, group).join(around, group)
     end = F.col("_before") + F.col("n_below") + F.col("n_at")
     picked = counted.groupBy(group).agg(
@@ -247,12 +248,12 @@ def grouped_kmeans(
             *groups, F.col(name).alias("_label"),
             F.array(*[f"_c{i}" for i in range(dims)]).alias("center"),
         )
-        moved = cut_lineage(packed(fresh))
-        settled = moved.join(
-            centers.withColumnRenamed("_centers", "_old"), groups
-        ).where(F.col("_centers") != F.col("_old")).isEmpty()
-        centers = moved
-        if settled:
+        moved = cut_lineage(
+            packed(fresh).join(centers.withColumnRenamed("_centers", "_old"), groups)
+            .withColumn("_moved", F.col("_centers") != F.col("_old")).drop("_old")
+        )
+        centers = moved.drop("_moved")
+        if moved.where("_moved").isEmpty():
             break
     return assign(centers).drop("_centers")
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.expressions import squared_distance
 from ..functions.ranking import largest_group
 from ..functions.skew import attach
-from ..session import cut_lineage
+from ..session import cut_lineage, spread_out
 
 MAX_ROUNDS = 64
 SMALL_GROUP = 4096
@@ -115,7 +115,7 @@ def _nearest_in_group(
         empty = pd.DataFrame({key: [], "neighbor": [], "distance": [], "rank": []})
         return pd.concat(found or [empty]).assign(**{group: members[group].iat[0]})
 
-    return known.groupBy(group).applyInPandas(
+    return spread_out(known, group).groupBy(group).applyInPandas(
         search,
         f"{group} {types[group]}, {key} {types[key]}, neighbor {types[key]}, distance double, rank int",
     )

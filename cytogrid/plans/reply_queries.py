@@ -95,19 +95,19 @@ def exploded_items(spark, sf_dir):
         "text_id", "guess_no", F.posexplode(parse_guess(F.col("guess"))).alias("item_no", "item"))
 
 
-@query(with_parts(*PARSE, select="SELECT text_id, CAST(guess_no AS INT) AS guess_no, guess FROM parsed"))
+@query(with_parts(*PARSE, select="SELECT text_id, CAST(guess_no AS INT) AS guess_no, guess FROM parsed"), name="parse_response")
 def parse_response_lines(spark, sf_dir):
     return exploded_guesses(spark, sf_dir)
 
 
 @query(with_parts(*PARSE, ITEMS, select="""
-SELECT text_id, CAST(guess_no AS INT) AS guess_no, CAST(item_no AS INT) AS item_no, item FROM items"""))
+SELECT text_id, CAST(guess_no AS INT) AS guess_no, CAST(item_no AS INT) AS item_no, item FROM items"""), name="parse_guess")
 def parse_guess_items(spark, sf_dir):
     return exploded_items(spark, sf_dir)
 
 
 @query(with_parts(*PARSE, ITEMS, LABELS, select="""
-SELECT text_id, CAST(guess_no AS INT) AS guess_no, CAST(item_no AS INT) AS item_no, label FROM labelled"""))
+SELECT text_id, CAST(guess_no AS INT) AS guess_no, CAST(item_no AS INT) AS item_no, label FROM labelled"""), name="guess_to_label")
 def guess_labels(spark, sf_dir):
     return exploded_items(spark, sf_dir).withColumn("label", guess_to_label(F.col("item"))).drop("item")
 

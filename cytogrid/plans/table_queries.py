@@ -142,7 +142,7 @@ bent AS (
     SELECT region_id, biomarker, quantile_cont(value, 0.2) AS base
     FROM expression_long GROUP BY ALL) q USING (region_id, biomarker))""", select="""
 SELECT region_id, cell_id, biomarker, round(value / stddev_samp(value) OVER
-       (PARTITION BY region_id, biomarker), 6) AS value FROM bent"""))
+       (PARTITION BY region_id, biomarker), 6) AS value FROM bent"""), name="arcsinh_normalize")
 def arcsinh_normalized(spark, sf_dir):
     features = to_long(b.expression_by_region(spark, sf_dir), ["region_id", "cell_id"], b.BIOMARKERS)
     return rounded(arcsinh_normalize(features), "value")

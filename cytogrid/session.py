@@ -59,3 +59,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = scratch_path(df.sparkSession, "cut")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread_out(df: DataFrame, *keys: str) -> DataFrame:
+    """Partition by key for a function in Python.
+
+    Adaptive execution merges small partitions by their bytes and would put many
+    groups, cheap to move but dear to compute, into one task. A given number of
+    partitions is left alone.
+    """
+    count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(count, *keys)
