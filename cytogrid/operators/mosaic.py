@@ -10,7 +10,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import draw_order, draw_uniform, squared_distance
-from ..functions.ranking import exact_quantiles, running_counts
+from ..functions.ranking import (
+    SMALL_GROUP,
+    counts_in_group,
+    exact_quantiles,
+    largest_group,
+    running_counts,
+)
 from ..functions.skew import attach
 from ..session import cut_lineage, spread_out
 
@@ -155,8 +161,14 @@ def pair_quantile(
         attach(bounded, around.drop("_before"), [group], list(key)),
         group, key, vector, ["_far", "_first", "_last"],
     )
-    near = spread_out(sought, group, "_i", "_j").groupBy(group, "_i", "_j").applyInPandas(emit, f"{group} {kind}, value double")
-    counted = running_counts(near, [group]).join(wanted, group).join(around, group)
+    near = cut_lineage(
+        spread_out(sought, group, "_i", "_j").groupBy(group, "_i", "_j").applyInPandas(
+            emit, f"{group} {kind}, value double"
+        )
+    )
+    small = largest_group(near, [group]) <= SMALL_GROUP
+    counted = counts_in_group(near, [group]) if small else running_counts(near, [group])
+    counted = counted.join(wanted, group).join(around, group)
     end = F.col("_before") + F.col("n_below") + F.col("n_at")
     picked = counted.groupBy(group).agg(
         F.min(F.when(end > F.col("_low"), F.col("value"))).alias("_a"),

@@ -112,14 +112,14 @@ framed AS (
    AND c.col >= trunc(greatest(x0, 0)) AND c.col < trunc(x1) AND c.row >= trunc(greatest(y0, 0)) AND c.row < trunc(y1))""",
     select=f"""
 SELECT region_id, roi_id, CAST(CASE channel WHEN 'dim' THEN 0 ELSE 31 END + bin AS INT) AS dim,
-       round(coalesce(n, 0) / total, 6) AS value
+       round(coalesce(n, 0) / total, 9) AS value
 FROM (SELECT region_id, roi_id, channel, count(*) AS total FROM framed GROUP BY ALL) CROSS JOIN range(31) t(bin)
 LEFT JOIN (SELECT region_id, roi_id, channel, {BIN.format(v='v')} AS bin, count(*) AS n FROM framed GROUP BY ALL)
   USING (region_id, roi_id, channel, bin)"""))
 def roi_image_feature(spark, sf_dir):
     found = images.roi_features(canvas(spark, sf_dir), frames(spark, sf_dir))
     return found.select("region_id", "roi_id", F.posexplode("features").alias("dim", "value")).withColumn(
-        "value", F.round("value", 6))
+        "value", F.round("value", 9))
 
 
 @query(with_parts(PIXELS, CANVAS, """

@@ -164,13 +164,14 @@ def two_way(spark, pairs):
     return spark.createDataFrame(rows, "region_id string, src long, dst long")
 
 
-def test_components_of_chain_ring_and_single(spark):
+@pytest.mark.parametrize("small_region", [0, 10**6])
+def test_components_of_chain_ring_and_single(spark, small_region):
     rng = np.random.default_rng(8)
     names = rng.permutation(300)
     pairs = [(int(names[i]), int(names[i + 1])) for i in range(149)]
     pairs += [(int(names[i]), int(names[150 + (i - 149) % 100])) for i in range(150, 250)]
     nodes = spark.createDataFrame([("r", i) for i in range(300)], "region_id string, cell_id long")
-    got = graph.connected_components(nodes, two_way(spark, pairs)).collect()
+    got = graph.connected_components(nodes, two_way(spark, pairs), small_region).collect()
     assert len(got) == 300
     label = {r.cell_id: r.component for r in got}
     groups = [names[:150], names[150:250], *[[n] for n in names[250:]]]
