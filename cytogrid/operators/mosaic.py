@@ -108,12 +108,24 @@ def pair_quantile(
 ) -> DataFrame:
     """Quantile over the full n x n table of distances with zeros below the diagonal.
 
-    The distances are never written out. A first pass counts them per fine bin
+    Groups of at most one block, by their counted size, are a single task's work.
+    Otherwise pairs of blocks are, and distances are never written out. A first pass counts them per fine bin
     between zero and the diagonal of the group's bounding box. A second pass emits
     only those in the bins around the wanted ranks, and the exact values are picked
     from these.
     """
     kind = dict(points.dtypes)[group]
+    if largest_group(points, [group]) <= BLOCK_ROWS:
+
+        def whole(block: pd.DataFrame) -> pd.DataFrame:
+            n = len(block)
+            d = _distances(block.assign(_v=block[vector], _i=0, _j=0))
+            table = np.concatenate([np.zeros(n * n - len(d)), d])
+            return pd.DataFrame({group: [block[group].iat[0]], "scale": [float(np.quantile(table, quantile))]})
+
+        return spread_out(points.select(group, vector), group).groupBy(group).applyInPandas(
+            whole, f"{group} {kind}, scale double"
+        )
     dims = points.select(F.size(vector)).first()[0]
     box = points.groupBy(group).agg(
         F.count(F.lit(1)).alias("_n"),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.expressions import draw_order, draw_uniform, present
 from ..functions.skew import attach
 from ..schema import PATCH
+from ..session import cut_lineage
 from .features import RANK_DIGITS
 
 
@@ -137,8 +138,8 @@ def window_averages(
     """Number of cells and mean of every column per window, one wide row each.
 
     Windows up to ``n_max`` cells, nearly all of them, are plain aggregates with
-    partial sums before the shuffle. Only the members of crowded windows are
-    looked up again and drawn from.
+    partial sums before the shuffle. They are written once; the members are read
+    again only if there are crowded windows, to draw from these.
     """
 
     def averages(rows: DataFrame) -> DataFrame:
@@ -146,12 +147,13 @@ def window_averages(
                  for c in columns]
         return rows.groupBy(*PATCH).agg(F.count(F.lit(1)).alias("n_cells"), *means)
 
-    every = averages(members)
+    every = cut_lineage(averages(members))
+    plain = every.where(F.col("n_cells").between(n_min, n_max))
     crowded = every.where(F.col("n_cells") > n_max).select(*PATCH)
+    if crowded.isEmpty():
+        return plain
     drawn = cap_members(attach(members, crowded, PATCH, ["cell_id"]), n_min, n_max, seed)
-    return every.where(F.col("n_cells").between(n_min, n_max)).unionByName(
-        averages(drawn.drop("n_cells"))
-    )
+    return plain.unionByName(averages(drawn.drop("n_cells")))
 
 
 def describe_windows(members: DataFrame, n_min: int = 5, n_max: int = 50) -> DataFrame:
