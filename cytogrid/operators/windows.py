@@ -37,14 +37,12 @@ def window_origins(
 
 
 def _covering(position: Column, start: Column, size: int, stride: int) -> Column:
-    """Indices of the windows along one axis that hold the position, edges included."""
+    """One row per window along one axis that holds the position, edges included."""
     first = F.greatest(
         F.ceil((position - start - size) / F.lit(float(stride))).cast("long"), F.lit(0).cast("long")
     )
     last = F.floor((position - start) / F.lit(float(stride))).cast("long")
-    return F.when(
-        last >= first, F.transform(F.sequence(first, last), lambda i: start + i * stride)
-    )
+    return F.explode(F.when(last >= first, F.sequence(first, last)))
 
 
 def window_members(
@@ -73,8 +71,10 @@ def window_members(
     else:
         x_start, y_start = (F.lit(o).cast("long") for o in origin)
     members = (
-        base.withColumn("x0", F.explode(_covering(F.col("x"), x_start, size, stride)))
-        .withColumn("y0", F.explode(_covering(F.col("y"), y_start, size, stride)))
+        base.withColumn("_ix", _covering(F.col("x"), x_start, size, stride))
+        .withColumn("_iy", _covering(F.col("y"), y_start, size, stride))
+        .withColumn("x0", x_start + F.col("_ix") * stride)
+        .withColumn("y0", y_start + F.col("_iy") * stride)
         .withColumn("patch_size", F.lit(size))
         .select(*PATCH, "cell_id", *[F.col(f"`{c}`") for c in keep])
     )
