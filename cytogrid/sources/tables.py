@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.expressions import present
 from ..operators.features import to_long
 from ..schema import CELL_TYPES, CELLS
 from ..session import scratch_path
