@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cytogrid.llm import near_duplicates, packing, quality_rules, sentence_pieces, token_counts, toxicity, urls
+from cytogrid.llm import near_duplicates, packing, quality_rules, sentence_pieces, token_counts, toxicity, urls, vectors
 from cytogrid.llm.common import read
 
 
@@ -34,6 +34,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "component_id", "kept")
