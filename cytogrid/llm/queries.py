@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cytogrid.llm import near_duplicates, packing, quality_rules, sentence_pieces, token_counts, toxicity, urls, vectors
+from cytogrid.llm import near_duplicates, packing, passages, quality_rules, sentence_pieces, token_counts, toxicity, urls, vectors
 from cytogrid.llm.common import read
 
 
@@ -26,6 +26,10 @@ def op5_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.encode(read(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.report(read(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), with_ids=False)
 
