@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cytogrid.llm import near_duplicates, packing, passages, quality_rules, sentence_pieces, token_counts, toxicity, urls, vectors
+from cytogrid.llm import language_model, near_duplicates, packing, passages, quality_rules, sentence_pieces, token_counts, toxicity, urls, vectors
 from cytogrid.llm.common import read
 
 
@@ -18,6 +18,10 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(read(spark, sf_dir, "pages"))
 
 
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_documents(read(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
