@@ -13,7 +13,7 @@ from cytogrid.session import cut_lineage
 #: Rows of one Arrow batch of whole texts; bounds what a Python worker holds at a time.
 BATCH_ROWS = 256
 #: Entries of a worker's cache of words before it starts afresh.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -44,8 +44,8 @@ def forget(cache: dict, limit: int = CACHE_WORDS) -> None:
 
 
 def new_words(texts: Iterable[list[bytes]], cache: dict) -> list[bytes]:
-    """Distinct words of the texts that the cache lacks, in a fixed order."""
-    return sorted(set().union(*texts).difference(cache))
+    """Distinct words of the texts that the cache lacks."""
+    return list(set().union(*texts).difference(cache))
 
 
 def text_key(column: str = "text") -> Column:

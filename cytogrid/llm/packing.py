@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cytogrid.llm.common import binary_text, forget, map_batches, new_words
-from cytogrid.llm.token_counts import load
+from cytogrid.llm.token_counts import PreTokens, load, prove_plain
 
 _workers: dict[str, WordIds] = {}
 
@@ -20,20 +20,29 @@ class WordIds:
     """Ids of words between blanks, as little-endian unsigned 32-bit numbers.
 
     No pre-token and no special string of the vocabulary holds a blank, so the ids of a text
-    are those of its words in turn; the library encodes each distinct word.
+    are those of its words in turn; the library merges each distinct pre-token.
     """
 
-    def __init__(self, path: str):
-        self.tokenizer = load(path)
+    def __init__(self, path: str, plain: str):
+        self.pre_tokens = PreTokens(path, plain)
         self.cache: dict[bytes, bytes] = {}
+        self.merged: dict[str, bytes] = {}
+
+    def learn(self, words: list[bytes]) -> None:
+        split = {w: self.pre_tokens.split(w) for w in words}
+        rest = sorted({p for ps in split.values() if ps for p in ps if p not in self.merged})
+        self.merged |= zip(rest, self.pre_tokens.merge(rest), strict=True)
+        odd = [w for w, ps in split.items() if ps is None]
+        self.cache |= zip(odd, self.pre_tokens.library(odd), strict=True)
+        for word, ps in split.items():
+            if ps is not None:
+                self.cache[word] = self.merged[ps[0]] if len(ps) == 1 else b"".join(map(self.merged.__getitem__, ps))
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         forget(self.cache)
+        forget(self.merged)
         split = [t.split() for t in texts]
-        new = new_words(split, self.cache)
-        encoded = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        for word, e in zip(new, encoded, strict=True):
-            self.cache[word] = b"".join(i.to_bytes(4, "little") for i in e.ids)
+        self.learn(new_words(split, self.cache))
         for words in split:
             yield b"".join(map(self.cache.__getitem__, words))
 
@@ -74,12 +83,13 @@ def pack(
     if longest < 1 or longest & (longest - 1):
         raise ValueError("the longest piece must be a power of two")
     path = tokenizer_path or public_tokenizers.path("word_bpe_49k.json")
+    plain = prove_plain(load(path))
     end = end_id.to_bytes(4, "little")
     names = ["id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _workers:
-            _workers[path] = WordIds(path)
+            _workers[path] = WordIds(path, plain)
         for batch in batches:
             columns: list[list] = [[] for _ in names]
             for doc_id, ids in zip(batch.column(0).to_pylist(), _workers[path].encode(batch.column(1).to_pylist()), strict=True):

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+import string
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -71,30 +73,66 @@ def prove_plain(tokenizer) -> str:
     return "".join(agreed)
 
 
+class PreTokens:
+    """Splits words as the library does, where that is proven, and merges pre-tokens by the library.
+
+    Pre-tokens go to it many at a time with blanks between them; each one's ids end with
+    the only piece that carries the mark of a word's end.
+    """
+
+    def __init__(self, path: str, plain: str):
+        self.tokenizer = load(path)
+        self.plain = re.compile(f"[{re.escape(plain)}]+")
+        self.pattern = re.compile(SPLIT)
+        self.letters = set(string.ascii_letters) <= set(plain)
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for piece, i in vocab.items() if piece.endswith("</w>")]] = True
+
+    def split(self, word: bytes) -> list[str] | None:
+        """None: a special string, or letters without proof; the library takes the whole word."""
+        if word.isalpha() and self.letters:  # ASCII letters only
+            return [word.lower().decode()]
+        text = word.decode()
+        if "<|" in text or not self.plain.fullmatch(text):
+            return None
+        return self.pattern.findall(unicodedata.normalize("NFC", text).lower())
+
+    def merge(self, parts: list[str]) -> list[bytes]:
+        """The ids of each pre-token, 4 bytes each, little-endian."""
+        out: list[bytes] = []
+        for at in range(0, len(parts), 1000):
+            some = parts[at : at + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(some):
+                raise RuntimeError("a pre-token did not end with its one last piece")
+            raw, bounds = ids.tobytes(), [0, *(4 * ends).tolist()]
+            out += [raw[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+        return out
+
+    def library(self, words: list[bytes]) -> list[bytes]:
+        encoded = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in encoded]
+
+
 class Counter:
     """Token counts of words between blanks; a word's count does not depend on its neighbours."""
 
     def __init__(self, path: str, whole: frozenset[str], plain: str):
-        self.tokenizer, self.whole = load(path), whole
-        self.plain = re.compile(f"[{re.escape(plain)}]+")
-        self.split = re.compile(SPLIT)
+        self.pre_tokens, self.whole = PreTokens(path, plain), whole
         self.cache: dict[bytes, int] = {}
         self.merged: dict[str, int] = {}
 
     def learn(self, words: list[bytes]) -> None:
-        parts, odd = {}, []
-        for word in words:
-            text = word.decode()
-            if self.plain.fullmatch(text) and "<|" not in text:
-                parts[word] = self.split.findall(unicodedata.normalize("NFC", text).lower())
-            else:  # special strings and letters without proof
-                odd.append(word)
-        rest = sorted({p for ps in parts.values() for p in ps if p not in self.whole and p not in self.merged})
-        self.merged |= zip(rest, map(len, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)), strict=True)
-        for word, ps in parts.items():
-            self.cache[word] = sum(1 if p in self.whole else self.merged[p] for p in ps)
-        library = self.tokenizer.encode_batch_fast([w.decode() for w in odd], add_special_tokens=False)
-        self.cache |= zip(odd, map(len, library), strict=True)
+        split = {w: self.pre_tokens.split(w) for w in words}
+        rest = sorted({p for ps in split.values() if ps for p in ps if p not in self.whole and p not in self.merged})
+        self.merged |= zip(rest, (len(x) // 4 for x in self.pre_tokens.merge(rest)), strict=True)
+        odd = [w for w, ps in split.items() if ps is None]
+        self.cache |= zip(odd, (len(x) // 4 for x in self.pre_tokens.library(odd)), strict=True)
+        for word, ps in split.items():
+            if ps is not None:
+                self.cache[word] = sum(1 if p in self.whole else self.merged[p] for p in ps)
 
     def count(self, texts: list[bytes]) -> list[int]:
         forget(self.cache)
