@@ -126,6 +126,7 @@ class Codec:
         ids = [e.ids for e in encoded]
         if self.library and not self.verify_whole:
             expected = self.library.encode([k.decode() for k in keys], num_threads=1)
+            expected = [want if key else [self.library.piece_to_id(MARK)] for key, want in zip(keys, expected, strict=True)]
             for i, (key, want) in enumerate(zip(keys, expected, strict=True)):
                 if ids[i] != want:
                     self.wrong.add(key)
