@@ -6,11 +6,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cytogrid.llm.common import binary_text, map_batches
+from cytogrid.llm.common import BATCH_ROWS, binary_text, map_batches
 
 #: Bound of the labelled rows that the list is learned from, taken by a hash of their ids.
 SAMPLE = 6000
@@ -221,6 +222,27 @@ def rejected(rules: list[Rule]) -> Column:
     return chain.otherwise(F.lit(False))
 
 
+BASE_FAILED = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
+
+
+def passing(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows that pass the base and the list, with all their columns, whatever their names.
+
+    Learns from the labelled ones among ``docs``; null and empty texts fail the base.
+    """
+    rules = fit(docs, labels)
+    counts = ", ".join(f"{c} long" for c in COUNTS)
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+    @F.pandas_udf(counts)
+    def count(texts: pd.Series) -> pd.DataFrame:
+        rows = np.array([count_statistics(t) for t in texts], np.int64).reshape(-1, len(COUNTS))
+        return pd.DataFrame(rows, columns=list(COUNTS))
+
+    judged = docs.select(F.struct("*").alias("row"), count(binary_text()).alias("counts")).select("row", "counts.*")
+    return judged.where(~F.expr(BASE_FAILED) & ~rejected(rules)).select("row.*")
+
+
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, the base counts, base_failed, kept, rule) of every row.
 
@@ -230,7 +252,7 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     ``rule`` is the place in the list of the rule that rejected the row, else null.
     """
     rules = fit(docs, labels)
-    base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    base_failed = F.expr(BASE_FAILED)
     place = F.coalesce(*[F.when(r.column(), F.lit(i + 1)) for i, r in enumerate(rules)], F.lit(None).cast("int"))
     return with_counts(docs).select(
         "doc_id",

@@ -7,11 +7,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import PandasUDFType
 
-from cytogrid.llm.common import binary_text, fold, forget, map_batches, new_words
+from cytogrid.llm.common import BATCH_ROWS, binary_text, fold, forget, map_batches, new_words
 
 #: Words of a bag; a text is as toxic as its most toxic bag.
 WINDOW = 64
@@ -198,26 +200,27 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return train(bags, owners, toxic)
 
 
-def with_scores(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
-    """The rows with a column ``toxicity``; one of that name is replaced.
+def scoring_udf(docs: DataFrame, model: Model):
+    """A pandas function from the text's bytes to its score."""
+    shipped = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of buckets
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
-    Null and empty texts get the score of an empty bag. Each row is scored by its whole text alone.
-    """
-    weights = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of buckets
-    held: list[Scorer] = []
+    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = Scorer(shipped.value)
+        for part in parts:
+            yield pd.Series(scorer.score(part.tolist()), dtype="float64")
+
+    return F.pandas_udf(score, "double", functionType=PandasUDFType.SCALAR_ITER)
 
-    @F.pandas_udf("double")
-    def score(texts: Iterator) -> Iterator:
-        import pandas as pd
 
-        if not held:
-            held.append(Scorer(weights.value))
-        for part in texts:
-            yield pd.Series(held[0].score(part.tolist()), dtype="float64")
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows whose score is below the threshold, with all their columns, whatever their names.
 
-    score.__annotations__ = {}
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
-    return docs.withColumn("toxicity", score(binary_text(text_column)))
+    Learns from the labelled training rows among ``docs``. Rows are judged one by one, repeated ones alike; a null
+    or empty text has the score of an empty bag.
+    """
+    score = scoring_udf(docs, fit(docs, labels))
+    return docs.where(score(binary_text()) < THRESHOLD)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -227,18 +230,8 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     ids count as not held out; labels other than 0 and 1, or without an id, are left out; a document with
     both labels counts as toxic. Repeated rows and other columns do no harm; an empty table gives no rows.
     """
-    model = fit(docs, labels)
-    weights = docs.sparkSession.sparkContext.broadcast(model)
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(weights.value)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(scorer.score(batch.column(1).to_pylist()), pa.float64())], ["doc_id", "score"]
-            )
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), binary_text().alias("text"))
-    return map_batches(rows, work, "doc_id long, score double").select(
+    score = scoring_udf(docs, fit(docs, labels))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), score(binary_text()).alias("score")).select(
         "doc_id",
         (fold("doc_id", 4) == 2).alias("held_out"),
         "score",
