@@ -35,7 +35,13 @@ def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
 
 
 def pairs_in_groups(
-    rows: DataFrame, group: str, member: str, work: Callable[[pa.Table], pa.RecordBatch | None], schema: str, block: int = BLOCK
+    rows: DataFrame,
+    group: str,
+    member: str,
+    work: Callable[[pa.Table], pa.RecordBatch | None],
+    schema: str,
+    block: int = BLOCK,
+    batch: int = 4096,
 ) -> DataFrame:
     """Calls ``work`` for every pair of blocks of every group with at least two rows.
 
@@ -63,4 +69,4 @@ def pairs_in_groups(
             if found is not None and found.num_rows:
                 yield found
 
-    return map_batches(placed, each, schema, rows=4096)
+    return map_batches(placed, each, schema, rows=batch)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cytogrid.llm.blocks import pairs_in_groups
-from cytogrid.llm.common import binary_text, components, map_batches, text_key
+from cytogrid.llm.common import BATCH_ROWS, binary_text, components, map_batches, text_key
 from cytogrid.llm.shingles import STEP, WORDS, WordHashes, mix, occurrences, shingle
 from cytogrid.session import cut_lineage
 
@@ -18,31 +18,35 @@ SIMILARITY = 0.8
 #: Sketches of a text, and the shingles in each. A pair at the threshold shares a sketch with
 #: probability 0.8**4 = 0.41, and none of the twenty with 2.6e-5.
 SKETCHES, SHINGLES = 20, 4
-#: Equal minima, of twenty, from which a pair in one bucket is aligned; at the threshold 16 are expected.
-LEAST_MINIMA = 8
+#: Texts of a block of a bucket; a task holds two.
+BLOCK_TEXTS = 256
 MIXER = np.uint64(0xD6E8FEB86659FD93)
 POWERS = mix(np.arange(101, 101 + SHINGLES, dtype=np.uint64) * STEP) | np.uint64(1)
 SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * STEP)
 
 
-def sketch(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order min-hashes, lower halves of the minima) of a text's word hashes.
+def labelled_shingles(words: np.ndarray) -> np.ndarray:
+    """Shingles of a text, different for each occurrence of the same one."""
+    shingles = shingle(words)
+    return shingles + occurrences(shingles).astype(np.uint64) * STEP
+
+
+def sketch(words: np.ndarray) -> np.ndarray:
+    """Order min-hashes of a text's word hashes.
 
     Shingles are labelled by their occurrence. Each sketch takes the shingles with the smallest hashes
     under its own permutation, and keeps them in the order of the text.
     """
-    shingles = shingle(words)
-    labelled = shingles + occurrences(shingles).astype(np.uint64) * STEP
+    labelled = labelled_shingles(words)
     few = min(SHINGLES, len(labelled))
-    keys, minima = np.empty(SKETCHES, np.uint64), np.empty(SKETCHES, np.uint32)
+    keys = np.empty(SKETCHES, np.uint64)
     for j, seed in enumerate(SEEDS):
         value = (labelled ^ seed) * MIXER
         value ^= value >> np.uint64(32)
         least = np.argpartition(value, few - 1)[:few] if few < len(value) else np.arange(few)
-        minima[j] = value[least].min() & np.uint64(0xFFFFFFFF)
         ordered = (labelled[np.sort(least)] ^ seed) * POWERS[:few]
         keys[j] = mix(ordered.sum(keepdims=True) ^ seed)[0]
-    return keys, minima
+    return keys
 
 
 def align(a: np.ndarray, b: np.ndarray, most: int) -> list[tuple[int, int, int]] | None:
@@ -64,36 +68,35 @@ def align(a: np.ndarray, b: np.ndarray, most: int) -> list[tuple[int, int, int]]
             x, y, step = x + part, y + part, step * 4
         return x - start
 
-    reach: dict[int, int] = {1: 0}
-    trail: list[dict[int, int]] = []
+    reach = np.full(2 * most + 3, -1, np.int32)  # by diagonal, the furthest place in a
+    middle = most + 1
+    reach[middle + 1] = 0
+    trail: list[np.ndarray] = []
     for edits in range(most + 1):
-        trail.append(dict(reach))
+        trail.append(reach[middle - edits - 1 : middle + edits + 2].copy())
         for k in range(-edits, edits + 1, 2):
             if k < -m or k > n:
                 continue
-            down = k == -edits or (k != edits and reach.get(k - 1, -1) < reach.get(k + 1, -1))
-            x = reach.get(k + 1, 0) if down else reach[k - 1] + 1
-            if x > n or x - k > m:
-                reach[k] = x
-                continue
-            x += run(x, x - k)
-            reach[k] = x
+            below, above = int(reach[middle + k - 1]), int(reach[middle + k + 1])
+            x = above if k == -edits or (k != edits and below < above) else below + 1
+            if x <= n and x - k <= m:
+                x += run(x, x - k)
+            reach[middle + k] = x
             if x >= n and x - k >= m:
                 return walk_back(trail, edits, n, m)
     return None
 
 
-def walk_back(trail: list[dict[int, int]], edits: int, x: int, y: int) -> list[tuple[int, int, int]]:
+def walk_back(trail: list[np.ndarray], edits: int, x: int, y: int) -> list[tuple[int, int, int]]:
     runs = []
     for e in range(edits, -1, -1):
         k, reach = x - y, trail[e]
         if e == 0:
             start_x = start_y = 0
         else:
-            down = k == -e or (k != e and reach.get(k - 1, -1) < reach.get(k + 1, -1))
-            before = k + 1 if down else k - 1
-            px = reach.get(before, 0)
-            start_x, start_y = (px, px - before + 1) if down else (px + 1, px - before)
+            below, above = int(reach[e + k]), int(reach[e + k + 2])
+            down = k == -e or (k != e and below < above)
+            start_x, start_y = (above, above - k) if down else (below + 1, below + 1 - k)
         if x > start_x:
             runs.append((start_x, start_y, x - start_x))
         if e:
@@ -108,12 +111,11 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     """
     if len(a) < WORDS or len(b) < WORDS:
         return float(len(a) == len(b) and bool((a == b).all()) and len(a) > 0)
-    sa, sb = shingle(a), shingle(b)
-    total = len(sa) + len(sb)
+    la, lb = labelled_shingles(a), labelled_shingles(b)
+    total = len(la) + len(lb)
     need = int(np.ceil(SIMILARITY / (1 + SIMILARITY) * total - 1e-9))
-    if min(len(sa), len(sb)) < need:
+    if min(len(la), len(lb)) < need:
         return 0.0
-    la, lb = (s + occurrences(s).astype(np.uint64) * STEP for s in (sa, sb))
     if len(np.intersect1d(la, lb, assume_unique=True)) < need:
         return 0.0
     runs = align(a, b, total - 2 * need)  # a word outside the runs spoils one shingle at least
@@ -124,7 +126,7 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, key, n_words, keys, minima) of every row; texts without words have null sketches."""
+    """(row, doc_id, key, n_words, keys) of every row; texts without words have null sketches."""
     hashes = WordHashes()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,10 +137,9 @@ def sketched(docs: DataFrame) -> DataFrame:
                 [
                     *batch.columns[:3],
                     pa.array(map(len, words), pa.int64()),
-                    pa.array([f and f[0].astype(np.int64) for f in found], pa.list_(pa.int64())),
-                    pa.array([f and f[1].tobytes() for f in found], pa.binary()),
+                    pa.array([None if f is None else f.view(np.int64) for f in found], pa.list_(pa.int64())),
                 ],
-                ["row", "doc_id", "key", "n_words", "keys", "minima"],
+                ["row", "doc_id", "key", "n_words", "keys"],
             )
 
     rows = docs.select(
@@ -147,24 +148,21 @@ def sketched(docs: DataFrame) -> DataFrame:
         text_key().alias("key"),
         binary_text().alias("text"),
     )
-    return map_batches(rows, work, "row long, doc_id long, key binary, n_words long, keys array<long>, minima binary")
+    return map_batches(rows, work, "row long, doc_id long, key binary, n_words long, keys array<long>")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, holders: DataFrame) -> DataFrame:
-    """The pairs (a, b) of text keys whose texts are similar enough.
-
-    ``holders`` (key, doc_id) names one document of each text, so that of many copies one is fetched.
-    """
-    needed = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-    wanted = needed.join(holders, "key").withColumnRenamed("doc_id", "holder")
+def fetched(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, text) of the wanted texts; ``wanted`` (node, key, holder) names one document of each to fetch."""
     found = docs.select(text_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), binary_text().alias("text"))
-    found = found.join(wanted, (found["key"] == wanted["key"]) & found["doc_id"].eqNullSafe(wanted["holder"])).select(
-        found["key"], "text"
-    )
-    texts = cut_lineage(found.groupBy("key").agg(F.first("text").alias("text")))
+    same = (found["key"] == wanted["key"]) & found["doc_id"].eqNullSafe(wanted["holder"])
+    return found.join(wanted, same).select("node", "text").groupBy("node").agg(F.first("text").alias("text"))
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts are similar enough."""
     both = (
-        pairs.join(texts.withColumnsRenamed({"key": "a", "text": "text_a"}), "a")
-        .join(texts.withColumnsRenamed({"key": "b", "text": "text_b"}), "b")
+        pairs.join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a")
+        .join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
         .select("a", "b", "text_a", "text_b")
     )
     hashes = WordHashes()
@@ -175,26 +173,71 @@ def verified(pairs: DataFrame, docs: DataFrame, holders: DataFrame) -> DataFrame
             near = [similarity(hashes.of(x.split()), hashes.of(y.split())) >= SIMILARITY for x, y in texts]
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    return map_batches(both, work, "a binary, b binary")
-
-
-def across_classes(table: pa.Table) -> pa.RecordBatch | None:
-    """Pairs of one bucket that are in different classes and agree in enough minima."""
+    return map_batches(both, work, "a long, b long")
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Common elements of every set on the left with every one on the right, by products of 0-1 matrices."""
+    both = left + right
+    values, place = np.unique(np.concatenate(both), return_inverse=True)
+    owner = np.repeat(np.arange(len(both)), [len(x) for x in both])
+    shared = np.bincount(place, minlength=len(values)) > 1
+    number = np.cumsum(shared) - 1
+    owner, place = owner[shared[place]], number[place[shared[place]]]
+    out = np.zeros((len(left), len(right)), np.float32)
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    for low in range(0, int(shared.sum()), 4096):
+        some = slice(*np.searchsorted(place, [low, low + 4096]))
+        there = np.zeros((len(both), 4096), np.float32)
+        there[owner[some], place[some] - low] = 1
+        out += there[: len(left)] @ there[len(left) :].T
+    return out
+
+
+def links_across(table: pa.Table, hashes: WordHashes) -> pa.RecordBatch | None:
+    """Links of one pair of blocks that join different classes, as a forest.
+
+    Shingle similarities of all pairs are computed at once; pairs from the threshold on are aligned,
+    the most similar first, unless links found so far have joined their classes. A pair that also
+    shares an earlier sketch is left to that bucket.
+    """
     own = table["own"].to_numpy()
     first, second = table["first"][0].as_py(), table["second"][0].as_py()
-    nodes = np.array(table["key"].to_pylist(), object)
-    classes = np.unique(np.array(table["root"].to_pylist(), object), return_inverse=True)[1]
-    minima = np.frombuffer(b"".join(table["minima"].to_pylist()), np.uint32).reshape(-1, SKETCHES)
+    band = table["band"][0].as_py()
     left = np.flatnonzero(own == first)
     right = left if first == second else np.flatnonzero(own == second)
+    nodes = table["node"].to_pylist()
+    classes = np.unique(table["root"].to_numpy(), return_inverse=True)[1]
+    keys = np.array(table["keys"].to_pylist(), np.int64)
+    words = [hashes.of(t.split()) for t in table["text"].to_pylist()]
+    sets = [labelled_shingles(w) for w in words]
+    sizes = np.array([len(x) for x in sets])
+    common = overlaps([sets[i] for i in left], [sets[i] for i in right])
+    union = sizes[left][:, None] + sizes[right][None, :] - common
+    similar = common / union
+    open_pair = (similar >= SIMILARITY - 1e-6) & (classes[left][:, None] != classes[right][None, :])
+    for t in range(band):
+        open_pair &= keys[left, t][:, None] != keys[right, t][None, :]
+    a, b = np.nonzero(open_pair)
+    root = list(range(int(classes.max()) + 1))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
     found = []
-    for i in left:
-        others = right[(classes[right] != classes[i]) & ((nodes[right] > nodes[i]) | (first != second))]
-        equal = (minima[others] == minima[i]).sum(1) >= LEAST_MINIMA
-        found += [(min(nodes[i], nodes[j]), max(nodes[i], nodes[j])) for j in others[equal]]
+    for at in np.argsort(-similar[a, b], kind="stable"):
+        i, j = left[a[at]], right[b[at]]
+        x, y = find(classes[i]), find(classes[j])
+        if x != y and similarity(words[i], words[j]) >= SIMILARITY:
+            root[max(x, y)] = min(x, y)
+            found.append((nodes[i], nodes[j]))
     if not found:
         return None
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found, strict=True)], ["a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -202,8 +245,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Equal texts are one node. Nodes in one bucket, i.e. with an equal sketch, are first aligned
     with one node of the bucket, which joins groups of any size by as many pairs as members.
-    Nodes of a bucket that are still in different classes are then all compared by their minima
-    inside tasks, and aligned where those agree, so that no link between the members' texts is left out.
+    Buckets whose nodes are still in different classes then go to tasks, in pairs of blocks, which find the
+    links between classes and return a forest of them, never the pairs; so no link in a bucket is left out.
     A component is what links (similarity of at least 0.8) connect; ``component_id`` is its
     smallest doc_id, and exactly one row of it is kept: that with the smallest doc_id (null last),
     of repeated rows the first. Texts without words, null ones too, link with nothing and are kept.
@@ -211,34 +254,34 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     base = cut_lineage(sketched(docs))
     with_words = base.where("n_words > 0")
-    nodes = cut_lineage(
-        with_words.groupBy("key").agg(
+    nodes = (
+        with_words.groupBy("key")
+        .agg(
             F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("keeper"),
             F.first("keys").alias("keys"),
-            F.first("minima").alias("minima"),
         )
+        .select(F.col("keeper.row").alias("node"), "key", "keeper", "keys")
     )
-    buckets = nodes.select("key", F.explode("keys").alias("bucket"))
-    heads = buckets.groupBy("bucket").agg(F.min("key").alias("head"), F.count("*").alias("size")).where("size > 1")
-    crowded = cut_lineage(buckets.join(heads, "bucket").select("bucket", "key", "head"))
-    holders = nodes.select("key", "keeper.doc_id")
-    spokes = cut_lineage(crowded.where("key != head").select(F.col("head").alias("a"), F.col("key").alias("b")).distinct())
-    links = cut_lineage(verified(spokes, docs, holders))
+    nodes = cut_lineage(nodes)
+    buckets = nodes.select("node", F.posexplode("keys").alias("band", "bucket"))
+    heads = buckets.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("size")).where("size > 1")
+    crowded = cut_lineage(buckets.join(heads, "bucket").select("bucket", "band", "node", "head"))
+    holders = nodes.select("node", "key", F.col("keeper.doc_id").alias("holder"))
+    texts = cut_lineage(fetched(docs, holders.join(crowded.select("node").distinct(), "node")))
+    spokes = crowded.where("node != head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    links = cut_lineage(verified(spokes, texts))
     classes = components(links)
-    classed = crowded.join(classes.withColumnRenamed("node", "key"), "key", "left").select(
-        "bucket", "key", F.coalesce("root", "key").alias("root")
-    )
+    classed = crowded.join(classes, "node", "left").select("bucket", "band", "node", F.coalesce("root", "node").alias("root"))
     mixed = classed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
-    rest = classed.join(mixed.select("bucket"), "bucket").join(nodes.select("key", "minima"), "key")
-    rest = rest.select("bucket", "key", "root", "minima")
-    pairs = pairs_in_groups(rest, "bucket", "key", across_classes, "a binary, b binary").distinct()
-    pairs = cut_lineage(pairs.join(spokes, ["a", "b"], "left_anti"))
-    if not pairs.isEmpty():
-        more = cut_lineage(verified(pairs, docs, holders))
-        if not more.isEmpty():
-            classes = components(links.union(more))
-    member = nodes.select("key", "keeper").join(classes.withColumnRenamed("node", "key"), "key", "left")
-    member = member.select("key", "keeper", F.coalesce("root", "key").alias("root"))
+    rest = classed.join(mixed.select("bucket"), "bucket").join(nodes.select("node", "keys"), "node").join(texts, "node")
+    rest = rest.select("bucket", "band", "node", "root", "keys", "text")
+    hashes = WordHashes()
+    more = pairs_in_groups(rest, "bucket", "node", lambda t: links_across(t, hashes), "a long, b long", BLOCK_TEXTS, BATCH_ROWS)
+    more = cut_lineage(more.distinct())
+    if not more.isEmpty():
+        classes = components(links.union(more))
+    member = nodes.select("node", "key", "keeper").join(classes, "node", "left")
+    member = member.select("key", "keeper", F.coalesce("root", "node").alias("root"))
     keeper = member.groupBy("root").agg(F.min("keeper").alias("keeper"))
     placed = member.select("key", "root").join(keeper, "root").select("key", "keeper")
     return (
@@ -251,3 +294,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             ((F.col("n_words") == 0) | (F.col("keeper.row") == F.col("row"))).alias("kept"),
         )
     )
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """The kept rows of ``near_duplicates``, with all their columns, whatever their names.
+
+    Rows are told apart by id and text; of rows that repeat both, which are one document, one stays
+    if it is in a group and all stay if they have no words.
+    """
+    found = near_duplicates(docs)
+    chosen = found.where("kept").select("row")
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("document"))
+    return numbered.join(chosen, "row", "left_semi").select("document.*")
