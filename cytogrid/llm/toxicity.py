@@ -11,7 +11,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import PandasUDFType
 
 from cytogrid.llm.common import BATCH_ROWS, binary_text, fold, forget, map_batches, new_words
 
@@ -210,7 +209,7 @@ def scoring_udf(docs: DataFrame, model: Model):
         for part in parts:
             yield pd.Series(scorer.score(part.tolist()), dtype="float64")
 
-    return F.pandas_udf(score, "double", functionType=PandasUDFType.SCALAR_ITER)
+    return F.pandas_udf(score, "double")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
