@@ -21,7 +21,7 @@ SAMPLE_TOXIC, SAMPLE_CLEAN = 1500, 3500
 #: Bags of a training document, evenly spaced (scores read every bag).
 SAMPLE_BAGS = 16
 BUCKETS, SHORTEST, LONGEST = 1 << 18, 3, 5
-DIMENSIONS, EPOCHS, BATCH, RATE, SHRINK = 8, 5, 128, 1.0, 0.6
+DIMENSIONS, EPOCHS, BATCH, RATE, SHRINK, LEAST_STEPS = 8, 5, 128, 1.0, 0.4, 150
 THRESHOLD = 0.3
 
 
@@ -60,8 +60,8 @@ def train(bags: list[bytes], owners: np.ndarray, labels: np.ndarray, seed: int =
     """Embeddings and softmax by stochastic gradient descent; bags of one owner share its label.
 
     Steps shrink with the squared gradients that a subword has had, counted from 1: frequent
-    subwords settle, and one seen once or twice hardly moves. Each epoch ends with a soft threshold,
-    which takes back what single bags have left on their other words.
+    subwords settle, and one seen once or twice hardly moves. Each fifth of the training ends with a soft
+    threshold, which takes back what single bags have left on their other words.
 
     A toxic text need not be toxic throughout: after an epoch over all bags, the bag with
     the highest score speaks for its toxic text, and clean texts are held by their highest bags and one
@@ -107,7 +107,8 @@ def train(bags: list[bytes], owners: np.ndarray, labels: np.ndarray, seed: int =
         return out
 
     everything = np.arange(len(split))
-    for epoch in range(EPOCHS):
+    epochs = max(EPOCHS, -(-LEAST_STEPS * BATCH // len(split)))  # a small sample is gone through more often
+    for epoch in range(epochs):
         chosen = everything
         if epoch >= 1:
             order = np.lexsort((-difference(everything), owners))
@@ -130,10 +131,12 @@ def train(bags: list[bytes], owners: np.ndarray, labels: np.ndarray, seed: int =
             back = (error @ params[1].T) * share[:, None]
             touched, place = np.unique(ids, return_inverse=True)
             rows = np.stack([np.bincount(place, back[bag, k], len(touched)) for k in range(DIMENSIONS)], 1)
-            rate = RATE * (1 - at / len(chosen) / EPOCHS - epoch / EPOCHS)
+            rate = RATE * (1 - (at / len(chosen) + epoch) / epochs)
             for k, (where, grad) in enumerate([(touched, rows), (slice(None), mean.T @ error), (slice(None), error.sum(0))]):
                 had[k][where] += grad**2
                 params[k][where] -= rate * grad / np.sqrt(had[k][where])
+        if (epoch + 1) * EPOCHS // epochs == epoch * EPOCHS // epochs:
+            continue
         scalar = params[0] @ (params[1][:, 1] - params[1][:, 0])
         params[0] *= np.maximum(0, 1 - SHRINK / np.maximum(np.abs(scalar), 1e-9))[:, None].astype("f4")
     weight = np.zeros(BUCKETS)
