@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,7 @@ DRIFT = SPAN - ENOUGH + 4
 FUNCTIONS, AGREEING = 5, 2
 #: Windows that a task combines before the shuffle.
 CHUNK = 1_000_000
+NONE = np.zeros(0, np.int64)
 SEEDS = mix(np.arange(501, 501 + FUNCTIONS, dtype=np.uint64) * STEP)[:, None]
 
 
@@ -144,27 +146,39 @@ def covered(mask: np.ndarray) -> list[tuple[int, int]]:
     return spans
 
 
-def shared_spans(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """(start in a, words in a, start in b, words in b) of near-duplicate passages, from word hashes.
+@dataclass
+class Prepared:
+    """Shingles of a text, its different ones in order, and the first place of each."""
+
+    shingles: np.ndarray
+    distinct: np.ndarray
+    first: np.ndarray
+
+    @classmethod
+    def of(cls, words: np.ndarray) -> Prepared:
+        shingles = shingle(words)
+        return cls(shingles, *np.unique(shingles, return_index=True))
+
+
+def shared_spans(a: Prepared, b: Prepared) -> list[tuple[int, int, int, int]]:
+    """(start in a, words in a, start in b, words in b) of near-duplicate passages.
 
     Shingles are matched along the diagonals on which shingles of both texts meet; diagonals
     closer than an alignment may drift count together. A passage is a run of windows in which so many
     shingles match that the Jaccard similarity is at least 0.8.
     """
-    sa, sb = shingle(a), shingle(b)
+    sa, sb = a.shingles, b.shingles
     if len(sa) < SPAN or len(sb) < SPAN:
         return []
-    diagonals = []
-    for reverse in (False, True):  # equal occurrences counted from the front, and from the back
-        x, y = (sa[::-1], sb[::-1]) if reverse else (sa, sb)
-        lx, ly = (s + occurrences(s).astype(np.uint64) * STEP for s in (x, y))
-        _, ix, iy = np.intersect1d(lx, ly, assume_unique=True, return_indices=True)
-        diagonals.append((len(sb) - 1 - iy) - (len(sa) - 1 - ix) if reverse else iy - ix)
-    _, first_a = np.unique(sa, return_index=True)
-    lookup = sa[first_a]  # and each one's first place in a, for passages that b repeats
-    at = np.minimum(np.searchsorted(lookup, sb), len(lookup) - 1)
-    hit = np.flatnonzero(lookup[at] == sb)
-    diagonals.append(hit - first_a[at[hit]])
+    at = np.minimum(np.searchsorted(a.distinct, sb), len(a.distinct) - 1)
+    hit = np.flatnonzero(a.distinct[at] == sb)
+    if len(hit) < ENOUGH:
+        return []
+    diagonals = [hit - a.first[at[hit]]]
+    if len(a.distinct) < len(sa):  # repeats inside a: its n-th occurrence meets b's n-th one, too
+        la, lb = (s + occurrences(s).astype(np.uint64) * STEP for s in (sa, sb))
+        _, ia, ib = np.intersect1d(la, lb, assume_unique=True, return_indices=True)
+        diagonals.append(ib - ia)
     values, counts = np.unique(np.concatenate(diagonals), return_counts=True)
     values = values[counts >= WORDS]
     found = []
@@ -206,17 +220,21 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     )
     fetched = cut_lineage(fetched)
     both = (
-        pairs.join(fetched.withColumnsRenamed({"owner": "a", "key": "key_a", "text": "text_a"}), "a")
-        .join(fetched.withColumnsRenamed({"owner": "b", "key": "key_b", "text": "text_b"}), "b")
+        pairs.join(fetched.withColumnsRenamed({"owner": "b", "key": "key_b", "text": "text_b"}), "b")
+        .join(fetched.withColumnsRenamed({"owner": "a", "key": "key_a", "text": "text_a"}), "a")  # pairs of one a stay together
         .select("key_a", "key_b", "text_a", "text_b")
     )
     hashes = WordHashes()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, a = None, None
         for batch in batches:
             out = []
             for key_a, key_b, text_a, text_b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for start_a, words_a, start_b, words_b in shared_spans(hashes.of(text_a.split()), hashes.of(text_b.split())):
+                if key_a != last:
+                    last, a = key_a, Prepared.of(hashes.of(text_a.split()))
+                b = Prepared(shingle(hashes.of(text_b.split())), NONE, NONE)
+                for start_a, words_a, start_b, words_b in shared_spans(a, b):
                     out += [(key_a, start_a, words_a, key_b, False), (key_b, start_b, words_b, key_a, True)]
             if out:
                 kinds = (pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
