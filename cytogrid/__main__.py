@@ -1,12 +1,14 @@
 """Batch run over the regions of one or more studies.
 
-    spark-submit -m cytogrid --region_ids s255 s314 --meta_path 'data/*/metadata.yaml' \\
-        --root_dir /shared/tables --mem_dir /shared/stages --resume
+    spark-submit -m cytogrid --region_ids s1 s2 --meta_path 'data/*/metadata.yaml' \\
+        --root_dir /shared/tables --mem_dir /shared/stages \\
+        --backend mypackage.chat:Client --resume
 """
 
 from __future__ import annotations
 
 import argparse
+import importlib
 import logging
 import sys
 
@@ -34,6 +36,7 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     parser.add_argument("--root_dir", required=True, help="folder of the region tables and masks")
     parser.add_argument("--mem_dir", required=True, help="folder of the stage tables")
     parser.add_argument("--layout", default="measured", choices=["measured", "partitioned"])
+    parser.add_argument("--backend", required=True, help="module:Class of the chat backend")
     parser.add_argument("--resume", action="store_true")
     return parser.parse_args(argv)
 
@@ -64,6 +67,12 @@ def load_tables(spark: SparkSession, args: argparse.Namespace) -> StudyTables:
     )
 
 
+def load_backend(name: str):
+    """The chat backend named ``module:Class``, made without arguments."""
+    module, _, kind = name.partition(":")
+    return getattr(importlib.import_module(module), kind)()
+
+
 def main(argv: list[str] | None = None) -> int:
     logging.basicConfig(level=logging.INFO, format="%(asctime)s %(levelname)s %(message)s",
                         stream=sys.stdout)
@@ -71,7 +80,7 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("cytogrid").getOrCreate()
     try:
         store = tables.StageStore(spark, args.mem_dir)
-        Workflow(load_tables(spark, args), store, resume=args.resume).run()
+        Workflow(load_tables(spark, args), store, load_backend(args.backend), args.resume).run()
     except Exception:
         logging.exception("run failed")
         return 1

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import time
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from typing import Protocol
@@ -12,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.prompts import format_prompt, load_prompts, message
-from ..functions.replies import CLASSES
 from ..functions.skew import attach
 
 Values = Mapping[str, Column]
@@ -24,19 +22,6 @@ class ChatBackend(Protocol):
     def reply(self, dialogue: list[dict]) -> str: ...
 
 
-class OfflineBackend:
-    """Deterministic stand-in for a chat service; the default everywhere."""
-
-    def reply(self, dialogue: list[dict]) -> str:
-        text = "\n".join(f"{m['role']}: {m['content']}" for m in dialogue)
-        number = int(hashlib.sha256(text.encode("utf-8")).hexdigest()[:8], 16)
-        first, second = number % len(CLASSES), (number // 7) % len(CLASSES)
-        return (
-            f"1. **{CLASSES[first]}**:\nEvidence: {len(dialogue)} messages, {len(text)} characters\n"
-            f"2. **{CLASSES[second]}**:\nEvidence: none"
-        )
-
-
 def annotator_dialogue(values: Values) -> Column:
     """System, context, the three summaries, instruction."""
     p = load_prompts("omics_annotator")
@@ -85,21 +70,22 @@ def curator_openings(values: Values) -> tuple[Column, Column]:
 
 def ask(
     dialogues: DataFrame,
-    backend: ChatBackend | None = None,
-    concurrency: int | None = None,
+    backend: ChatBackend,
+    concurrency: int = 16,
     min_interval: float = 0.0,
 ) -> DataFrame:
     """Append the model's reply to the ``dialogue`` of every row.
 
     ``concurrency`` sets how many tasks call the service, ``min_interval`` the
-    seconds between two calls of a task. Calls happen once per distinct dialogue;
-    write the result out and resume with :func:`not_done` rather than rerun.
+    seconds between two calls of a task, not of all of them. Equal dialogues are asked once
+    per run of a task; a task that is run again asks again. Write the result out and resume with
+    :func:`not_done` rather than rerun.
     """
-    backend = backend or OfflineBackend()
+    if backend is None:
+        raise ValueError("a chat backend is needed to ask")
     keyed = dialogues.withColumn("_ask", F.sha2(F.to_json(F.struct("dialogue")), 256))
     distinct = keyed.groupBy("_ask").agg(F.any_value("dialogue").alias("dialogue"))
-    if concurrency:
-        distinct = distinct.repartition(concurrency, "_ask")
+    distinct = distinct.repartition(concurrency, "_ask")
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last = 0.0
@@ -129,7 +115,7 @@ def not_done(todo: DataFrame, done: DataFrame | None, keys: Sequence[str]) -> Da
 
 
 def curate_context(
-    studies: DataFrame, values: Values, backend: ChatBackend | None = None,
+    studies: DataFrame, values: Values, backend: ChatBackend,
     keep: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Two questions per study; the second is asked with the first reply in view.
@@ -146,13 +132,14 @@ def curate_context(
 
 
 def aggregate_texts(
-    texts: DataFrame, keys: Sequence[str], text: str, order: str, per_prompt: int = 200
+    texts: DataFrame, keys: Sequence[str], text: str, order: str, per_prompt: int = 200,
+    weight: str | None = None,
 ) -> DataFrame:
-    """Texts of each group joined by a ``===`` line, with their number.
+    """Texts of each group joined by a ``===`` line, with their number (or the sum of ``weight``).
 
     Groups above ``per_prompt`` texts become several parts of about that size, by
     the order column modulo the number of parts: no value grows without limit, and
-    every text is in exactly one part.
+    every text is in exactly one part. ``n_parts`` tells whether a group is whole.
     """
     sizes = texts.groupBy(*keys).agg(
         F.ceil(F.count(F.lit(1)) / F.lit(float(per_prompt))).cast("long").alias("n_parts")
@@ -162,6 +149,6 @@ def aggregate_texts(
     )
     entry = F.struct(F.col(order).alias("o"), F.col(text).alias("t"))
     ordered = F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["t"])
-    return placed.groupBy(*keys, "part").agg(
-        F.count(F.lit(1)).alias("n_obs"), F.array_join(ordered, "\n===\n").alias("results")
+    return placed.groupBy(*keys, "part", "n_parts").agg(
+        F.sum(F.col(weight) if weight else F.lit(1)).cast("long").alias("n_obs"), F.array_join(ordered, "\n===\n").alias("results")
     )

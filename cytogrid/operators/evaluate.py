@@ -31,10 +31,11 @@ def accuracy_at_k(predictions: DataFrame, ks: Sequence[int] = (1, 2, 3)) -> Data
 
 
 def confusion_matrix(predictions: DataFrame) -> DataFrame:
-    """Counts and row shares of the first prediction, one row per true class.
+    """Counts and row shares of the first prediction, one row per class, also without replies.
 
     True labels outside the five classes are left out, not added to another class.
     """
+    classes = predictions.sparkSession.createDataFrame([(c,) for c in CLASSES], "truth string")
     top = predictions.where(F.col("truth").isin(*CLASSES) & (F.size("predicted") > 0)).select(
         "truth", F.get("predicted", F.lit(0)).alias("_top")
     )
@@ -43,7 +44,9 @@ def confusion_matrix(predictions: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"),
         *[F.count_if(F.col("_top") == c).alias(f"n_{n}") for c, n in zip(CLASSES, names)],
     )
-    return counts.withColumns({f"share_{n}": F.try_divide(f"n_{n}", "n") for n in names})
+    numbers = ["n", *[f"n_{n}" for n in names]]
+    every = classes.join(counts, "truth", "left").fillna(0, numbers)
+    return every.withColumns({f"share_{n}": F.try_divide(f"n_{n}", "n") for n in names})
 
 
 def entries_by_truth(replies: DataFrame, reply: str = "reply") -> DataFrame:

@@ -70,8 +70,9 @@ def composition(
 
 
 def enrichment(members: DataFrame, cells: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Composition of each group and its ratio to the region's composition."""
-    region = composition(cells, ["region_id"]).select(
+    """Composition of each group and its ratio to the composition of the region's typed cells."""
+    typed = cells.where(F.col("cell_type").isNotNull())
+    region = composition(typed, ["region_id"]).select(
         "region_id", "cell_type", F.col("share").alias("region_share")
     )
     groups = composition(members, keys)

@@ -21,12 +21,20 @@ COLORS = (
 )
 
 
-def normalize(pixels: DataFrame, params: DataFrame, spread: Sequence[str]) -> DataFrame:
-    """Scale valid channels to 0..1 between their ``low`` and ``high``; drop the others."""
-    valid = params.where("valid").select("channel", "low", "high")
+def normalize(
+    pixels: DataFrame,
+    params: DataFrame,
+    spread: Sequence[str],
+    keys: Sequence[str] = ("region_id", "channel"),
+) -> DataFrame:
+    """Scale valid channels to 0..1 between their ``low`` and ``high``; drop the others.
+
+    Every region has limits of its own; ``params`` has one row per ``keys``.
+    """
+    valid = params.where("valid").select(*keys, "low", "high")
     span = F.col("high") - F.col("low")
     scaled = clip(F.try_divide(F.col("value") - F.col("low"), span), 0.0, 1.0)
-    return attach(pixels, valid, ["channel"], spread).withColumn("value", scaled).drop("low", "high")
+    return attach(pixels, valid, list(keys), spread).withColumn("value", scaled).drop("low", "high")
 
 
 def average(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:

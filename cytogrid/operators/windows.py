@@ -36,11 +36,22 @@ def window_origins(
     )
 
 
-def _covering(position: Column, start: Column, size: int, stride: int) -> Column:
-    """One row per window along one axis that holds the position, edges included."""
-    first = F.greatest(
-        F.ceil((position - start - size) / F.lit(float(stride))).cast("long"), F.lit(0).cast("long")
+def region_origins(cells: DataFrame, size: int = 128, stride_ratio: float = 0.5) -> DataFrame:
+    """One lower-left corner per region, a stride below its own minimum."""
+    stride = int(size * stride_ratio)
+    return cells.groupBy("region_id").agg(
+        *[(F.floor(F.min(c)) - stride).cast("long").alias(f"{c}_start") for c in ("x", "y")]
     )
+
+
+def _covering(position: Column, start: Column, size: int, stride: int, bounded: bool) -> Column:
+    """One row per window along one axis that holds the position, edges included.
+
+    ``bounded``: no window lies below the start; else windows go on on either side of it.
+    """
+    first = F.ceil((position - start - size) / F.lit(float(stride))).cast("long")
+    if bounded:
+        first = F.greatest(first, F.lit(0).cast("long"))
     last = F.floor((position - start) / F.lit(float(stride))).cast("long")
     return F.explode(F.when(last >= first, F.sequence(first, last)))
 
@@ -49,15 +60,19 @@ def window_members(
     cells: DataFrame,
     size: int = 128,
     stride_ratio: float = 0.5,
-    origin: tuple[int, int] | DataFrame = (-64, -64),
+    origin: tuple[int, int] | DataFrame | None = None,
     keep: Sequence[str] = (),
 ) -> DataFrame:
     """One row per (window, cell), without limits on the window's cell count.
 
     The windows a cell falls in follow from its coordinates, so no join against
-    the windows is needed and empty windows cost nothing. ``origin`` is one corner
-    for all regions or a table of :func:`window_origins`.
+    the windows is needed and empty windows cost nothing. ``origin`` is a table of
+    corners per region (:func:`region_origins`, which is also the default, or
+    :func:`window_origins`), or one corner for all regions; the grid of such a corner goes
+    on below it, so cells anywhere have windows.
     """
+    if origin is None:
+        origin = region_origins(cells, size, stride_ratio)
     stride = int(size * stride_ratio)
     base = cells.where(F.col("x").isNotNull() & F.col("y").isNotNull())
     if isinstance(origin, DataFrame):
@@ -70,16 +85,17 @@ def window_members(
         x_start, y_start = F.col("_start.x_start"), F.col("_start.y_start")
     else:
         x_start, y_start = (F.lit(o).cast("long") for o in origin)
+    bounded = isinstance(origin, DataFrame)
     members = (
-        base.withColumn("_ix", _covering(F.col("x"), x_start, size, stride))
-        .withColumn("_iy", _covering(F.col("y"), y_start, size, stride))
+        base.withColumn("_ix", _covering(F.col("x"), x_start, size, stride, bounded))
+        .withColumn("_iy", _covering(F.col("y"), y_start, size, stride, bounded))
         .withColumn("x0", x_start + F.col("_ix") * stride)
         .withColumn("y0", y_start + F.col("_iy") * stride)
         .withColumn("patch_size", F.lit(size))
         .select(*PATCH, "cell_id", *[F.col(f"`{c}`") for c in keep])
     )
     # Grids of two repeats may share windows.
-    return members.dropDuplicates([*PATCH, "cell_id"]) if isinstance(origin, DataFrame) else members
+    return members.dropDuplicates([*PATCH, "cell_id"]) if bounded else members
 
 
 def cap_members(
@@ -106,20 +122,22 @@ def sliding_windows(
     cells: DataFrame,
     sizes: Sequence[int] = (128,),
     stride_ratio: float = 0.5,
-    origin: tuple[int, int] | DataFrame | None = (-64, -64),
-    repeats: int = 1,
+    origin: tuple[int, int] | DataFrame | None = None,
+    repeats: int = 0,
     seed: int = 123,
     keep: Sequence[str] = (),
 ) -> DataFrame:
     """Membership of all windows of the given sizes, not yet limited in cell count.
 
-    ``origin=None`` draws ``repeats`` random corners per region and size. Pass the
-    result to :func:`window_averages` for statistics or :func:`cap_members` for ids.
+    Without an ``origin`` every region starts at its own minimum, or at ``repeats`` random
+    corners per size near it. Pass the result to :func:`window_averages` for statistics or :func:`cap_members` for ids.
     """
     parts = []
     for size in sizes:
         corner = (
-            window_origins(cells, size, stride_ratio, repeats, seed) if origin is None else origin
+            window_origins(cells, size, stride_ratio, repeats, seed)
+            if origin is None and repeats
+            else origin
         )
         parts.append(window_members(cells, size, stride_ratio, corner, keep))
     members = parts[0]
@@ -132,12 +150,12 @@ def window_averages(
     members: DataFrame,
     columns: Sequence[str],
     n_min: int = 5,
-    n_max: int = 50,
+    n_max: int | None = None,
     seed: int = 123,
 ) -> DataFrame:
     """Number of cells and mean of every column per window, one wide row each.
 
-    Windows up to ``n_max`` cells, nearly all of them, are plain aggregates with
+    All cells of a window count, unless ``n_max`` asks for a draw. Then windows up to ``n_max`` cells, nearly all of them, are plain aggregates with
     partial sums before the shuffle. They are written once; the members are read
     again only if there are crowded windows, to draw from these.
     """
@@ -147,6 +165,8 @@ def window_averages(
                  for c in columns]
         return rows.groupBy(*PATCH).agg(F.count(F.lit(1)).alias("n_cells"), *means)
 
+    if n_max is None:
+        return averages(members).where(F.col("n_cells") >= n_min)
     every = cut_lineage(averages(members))
     plain = every.where(F.col("n_cells").between(n_min, n_max))
     crowded = every.where(F.col("n_cells") > n_max).select(*PATCH)
@@ -156,14 +176,14 @@ def window_averages(
     return plain.unionByName(averages(drawn.drop("n_cells")))
 
 
-def describe_windows(members: DataFrame, n_min: int = 5, n_max: int = 50) -> DataFrame:
-    """One row per window: rectangle, centre, name and number of cells (capped)."""
+def describe_windows(members: DataFrame, n_min: int = 5, n_max: int | None = None) -> DataFrame:
+    """One row per window: rectangle, centre, name and number of cells (those drawn, if capped)."""
     x1, y1 = F.col("x0") + F.col("patch_size"), F.col("y0") + F.col("patch_size")
     return (
         members.groupBy(*PATCH)
         .agg(F.count(F.lit(1)).alias("n_cells"))
         .where(F.col("n_cells") >= n_min)
-        .withColumn("n_cells", F.least("n_cells", F.lit(n_max)))
+        .withColumn("n_cells", F.least("n_cells", F.lit(n_max).cast("long")))
         .withColumn("x1", x1)
         .withColumn("y1", y1)
         .withColumn("center_x", (F.col("x0") + F.col("x1")) / F.lit(2.0))

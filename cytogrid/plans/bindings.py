@@ -13,6 +13,7 @@ WIDTH = 1239
 BIOMARKERS = ["qty", "price", "disc", "tax"]
 ROI = ["region_id", "roi_id"]
 TILE_SIDE = 8
+CORNER = (-64, -64)  # of the window grid that the SQL twins lay over every region
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -49,16 +49,19 @@ def frames(spark, sf_dir):
 
 @query(with_parts(PIXELS, """
 params AS (
-  SELECT label AS channel, -0.1::DOUBLE * (1 + label % 3) AS low, 0.2::DOUBLE + 0.01::DOUBLE * label AS high,
-         label % 4 <> 3 AS valid FROM embeddings GROUP BY label)""", select="""
-SELECT tile_id, channel, row, col,
+  SELECT DISTINCT vec_id // 100 AS region_id, label AS channel,
+         -0.1::DOUBLE * (1 + (label + vec_id // 100) % 3) AS low, 0.2::DOUBLE + 0.01::DOUBLE * label AS high,
+         label % 4 <> 3 AS valid FROM embeddings)""", select="""
+SELECT tile_id // 100 AS region_id, tile_id, channel, row, col,
        round(least(greatest((value - low) / (high - low), 0), 1), 6) AS value
-FROM pixels JOIN params USING (channel) WHERE valid"""))
+FROM pixels p JOIN params USING (channel) WHERE valid AND region_id = tile_id // 100"""))
 def image_normalize(spark, sf_dir):
     params = b.table(spark, sf_dir, "embeddings").select(
-        F.col("label").alias("channel"), F.expr("-0.1D * (1 + label % 3)").alias("low"),
+        F.expr("vec_id div 100").alias("region_id"), F.col("label").alias("channel"),
+        F.expr("-0.1D * (1 + (label + vec_id div 100) % 3)").alias("low"),
         F.expr("0.2D + 0.01D * label").alias("high"), F.expr("label % 4 <> 3").alias("valid")).distinct()
-    return rounded(images.normalize(b.pixels(spark, sf_dir), params, ["tile_id", "row", "col"]), "value")
+    pixels = b.pixels(spark, sf_dir).withColumn("region_id", F.expr("tile_id div 100"))
+    return rounded(images.normalize(pixels, params, ["tile_id", "row", "col"]), "value")
 
 
 @query(with_parts(PIXELS, select="""

@@ -32,20 +32,20 @@ pairs AS (
 def biomarker_block(spark, sf_dir):
     cells = mosaic.scale_columns(
         b.enriched(spark, sf_dir).select("region_id", "cell_id", "x", "y", *B), B)
-    means = windows.window_averages(windows.sliding_windows(cells, keep=B), B)
+    means = windows.window_averages(windows.sliding_windows(cells, origin=b.CORNER, keep=B), B)
     return means.select(*KEY, F.array(*B).alias("block"))
 
 
 def shape_block(spark, sf_dir):
     cells = mosaic.scale_columns(
         b.cells(spark, sf_dir).select("region_id", "cell_id", "x", "y", *SHAPE), SHAPE)
-    means = windows.window_averages(windows.sliding_windows(cells, keep=SHAPE), SHAPE)
+    means = windows.window_averages(windows.sliding_windows(cells, origin=b.CORNER, keep=SHAPE), SHAPE)
     return means.select(*KEY, F.array(*SHAPE).alias("block"))
 
 
 def type_block(spark, sf_dir):
     cells = b.cells(spark, sf_dir)
-    members = windows.cap_members(windows.sliding_windows(cells, keep=["cell_type"]))
+    members = windows.cap_members(windows.sliding_windows(cells, origin=b.CORNER, keep=["cell_type"]))
     return features.type_vector(members, cells, KEY).select(*KEY, F.col("shares").alias("block"))
 
 
@@ -152,7 +152,7 @@ def roi_retrieve(spark, sf_dir):
 def mosaic_rois(spark, sf_dir):
     blocks = {"biomarkers": biomarker_block(spark, sf_dir), "types": type_block(spark, sf_dir),
               "shape": shape_block(spark, sf_dir)}
-    members = windows.sliding_windows(b.cells(spark, sf_dir))
+    members = windows.sliding_windows(b.cells(spark, sf_dir), origin=b.CORNER)
     centers = windows.describe_windows(members).select(*KEY, "center_x", "center_y")
     _, picked = mosaic.mosaic(blocks, centers, KEY)
     return rounded(picked.drop("features"), "distance")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.prompts import format_prompt, load_prompts, transcript
@@ -125,10 +126,10 @@ def accuracy_at_k(spark, sf_dir):
 NAMES = [(c, c.lower().replace(" ", "_")) for c in CLASSES]
 
 
-@query(with_parts(*PARSE, ITEMS, LABELS, PREDICTED, select="SELECT truth, count(*) AS n, " + ", ".join(
-    f"count(*) FILTER (label = '{c}') AS n_{n}, round(count(*) FILTER (label = '{c}') / count(*), 6) AS share_{n}"
-    for c, n in NAMES) + """
-FROM predicted WHERE pos = 1 AND label IS NOT NULL AND truth <> 'Other' GROUP BY truth"""))
+@query(with_parts(*PARSE, ITEMS, LABELS, PREDICTED, select="SELECT c.truth, count(label) AS n, " + ", ".join(
+    f"count(*) FILTER (label = '{c}') AS n_{n}, round(count(*) FILTER (label = '{c}') / nullif(count(label), 0), 6) AS share_{n}"
+    for c, n in NAMES) + " FROM (VALUES " + ", ".join(f"('{c}')" for c in CLASSES) + """) c(truth)
+LEFT JOIN (SELECT truth, label FROM predicted WHERE pos = 1 AND label IS NOT NULL) p ON p.truth = c.truth GROUP BY c.truth"""))
 def confusion_matrix(spark, sf_dir):
     matrix = evaluate.confusion_matrix(evaluate.with_predictions(b.replies(spark, sf_dir)))
     return rounded(matrix, *[f"share_{n}" for _, n in NAMES])
@@ -173,10 +174,11 @@ def _sql_dialogue(agent: str, parts: list[tuple[str, str]], values: dict[str, st
 
 @query("SELECT doc_id, " + _sql_dialogue("omics_annotator", [
     ("SYSTEM", "system"), ("HUMAN", "user_context"), ("HUMAN", "user_input"), ("HUMAN", "user_instruction")],
-    DOCUMENT_VALUES) + " AS dialogue FROM documents JOIN pages ON page_id = doc_id % 250")
+    DOCUMENT_VALUES) + " AS dialogue FROM documents JOIN pages ON page_id = doc_id % (SELECT count(*) FROM pages)")
 def annotator_dialogue(spark, sf_dir):
     pages = b.table(spark, sf_dir, "pages").withColumnRenamed("page_id", "page")
-    rows = b.table(spark, sf_dir, "documents").withColumn("page", F.expr("doc_id % 250")).join(pages, "page")
+    page = F.col("doc_id") % pages.count()
+    rows = b.table(spark, sf_dir, "documents").withColumn("page", page).join(pages, "page")
     values = {k: F.expr(v.replace("VARCHAR", "STRING")) for k, v in DOCUMENT_VALUES.items()}
     return rows.select("doc_id", transcript(agents.annotator_dialogue(values)).alias("dialogue"))
 
@@ -192,7 +194,7 @@ joined AS (
 
 def aggregated(spark, sf_dir):
     documents = b.table(spark, sf_dir, "documents")
-    return agents.aggregate_texts(documents, ["lang", "source"], "text", "doc_id", per_prompt=40)
+    return agents.aggregate_texts(documents, ["lang", "source"], "text", "doc_id", per_prompt=40).drop("n_parts")
 
 
 @query(with_parts(AGGREGATED, select="SELECT * FROM joined"))
@@ -221,41 +223,23 @@ QUESTION = ("(" + _sql_text("pathology_scorer", "user_final_input", PATHOLOGY_VA
 
 @query(with_parts("""
 turns AS (
-  SELECT conv_id, first(text ORDER BY turn) FILTER (role = 'user') AS user_input,
-         first(text ORDER BY turn) FILTER (role = 'assistant') AS ai_output
-  FROM conversations GROUP BY ALL)""", select="SELECT conv_id, " + _sql_dialogue("pathology_scorer", [
+  SELECT conv_id, turn, role, text AS user_input,
+         lead(text) OVER w AS ai_output, lead(role) OVER w AS next_role
+  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))""", select="SELECT conv_id, turn, " + _sql_dialogue("pathology_scorer", [
     ("SYSTEM", "system"), ("HUMAN", "(user_input)"), ("AI", "(ai_output)"), ("HUMAN", QUESTION)],
-    PATHOLOGY_VALUES) + """ AS dialogue FROM turns JOIN customer ON c_custkey = conv_id
-WHERE user_input IS NOT NULL AND ai_output IS NOT NULL"""))
+    PATHOLOGY_VALUES) + """ AS dialogue FROM turns
+JOIN customer ON c_custkey = conv_id % (SELECT max(c_custkey) + 1 FROM customer)
+WHERE role = 'user' AND next_role = 'assistant' AND user_input IS NOT NULL AND ai_output IS NOT NULL"""))
 def pathology_dialogue(spark, sf_dir):
-    def first(role):
-        return F.min_by(F.when(F.col("role") == role, F.col("text")),
-                        F.when(F.col("role") == role, F.col("turn")))
-
-    turns = b.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
-        first("user").alias("user_input"), first("assistant").alias("ai_output"))
-    patients = b.table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "conv_id")
-    rows = turns.where("user_input IS NOT NULL AND ai_output IS NOT NULL").join(patients, "conv_id")
+    """A dialogue for every turn of a user that an assistant answers."""
+    in_turn = Window.partitionBy("conv_id").orderBy("turn")
+    turns = b.table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", "role", F.col("text").alias("user_input"),
+        F.lead("text").over(in_turn).alias("ai_output"), F.lead("role").over(in_turn).alias("next_role"))
+    patients = b.table(spark, sf_dir, "customer")
+    last = patients.agg(F.max("c_custkey")).first()[0] or 0
+    answered = turns.where("role = 'user' AND next_role = 'assistant' AND user_input IS NOT NULL AND ai_output IS NOT NULL")
+    rows = answered.join(patients, F.col("c_custkey") == F.col("conv_id") % (last + 1))
     values = {k: F.expr(v) for k, v in PATHOLOGY_VALUES.items()}
     values |= {"user_input": F.col("user_input"), "ai_output": F.col("ai_output")}
-    return rows.select("conv_id", transcript(agents.pathology_dialogue(values)).alias("dialogue"))
-
-
-@query()
-def annotator_reply(spark, sf_dir):
-    """Replies of the offline backend to one dialogue per document."""
-    values = {"tissue_types": F.lower("lang"), "major_phenotypes": F.col("source"), "context": F.col("source"),
-              "bm_summary": F.col("text"), "ct_summary": F.col("lang"), "seg_summary": F.col("source")}
-    rows = b.table(spark, sf_dir, "documents").withColumn("dialogue", agents.annotator_dialogue(values))
-    return agents.ask(rows.select("doc_id", "dialogue")).select("doc_id", "reply")
-
-
-@query()
-def curate_context(spark, sf_dir):
-    """One curated context per nation, as if each were a study."""
-    studies = b.table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("study")).agg(
-        F.array_join(F.sort_array(F.collect_set("c_mktsegment")), ", ").alias("phenotypes"),
-        F.format_string("%d patients", F.count(F.lit(1))).alias("background"))
-    values = {"tissue_types": F.concat(F.lit("tissue "), "study"), "major_phenotypes": F.col("phenotypes"),
-              "biomarker_list": F.col("phenotypes"), "background": F.col("background")}
-    return agents.curate_context(studies, values).select("study", transcript(F.col("dialogue")).alias("context"))
+    return rows.select("conv_id", "turn", transcript(agents.pathology_dialogue(values)).alias("dialogue"))

@@ -20,7 +20,7 @@ TARGETS = (*BASE, o.ROIS, o.roi_members("enriched"))
 
 def patches(spark, sf_dir):
     """Mean expression of every reference window."""
-    return windows.window_averages(windows.sliding_windows(b.enriched(spark, sf_dir), keep=B), B)
+    return windows.window_averages(windows.sliding_windows(b.enriched(spark, sf_dir), origin=b.CORNER, keep=B), B)
 
 
 def targets(spark, sf_dir):
@@ -33,7 +33,7 @@ SELECT region_id, CAST(x0 AS BIGINT) AS x0, CAST(y0 AS BIGINT) AS y0, CAST(x0 +
        x0 || '-' || (x0 + 128) || '-' || y0 || '-' || (y0 + 128) AS patch_name, count(*) AS n_cells
 FROM window_members GROUP BY region_id, x0, y0"""))
 def sliding_windows(spark, sf_dir):
-    members = windows.sliding_windows(b.cells(spark, sf_dir))
+    members = windows.sliding_windows(b.cells(spark, sf_dir), origin=b.CORNER)
     return windows.describe_windows(members).drop("patch_size")
 
 
@@ -41,7 +41,7 @@ def sliding_windows(spark, sf_dir):
 SELECT region_id, CAST(x0 AS BIGINT) AS x0, CAST(y0 AS BIGINT) AS y0, biomarker,
        round(value, 6) AS value FROM avgs"""))
 def capped_signal_average(spark, sf_dir):
-    members = windows.sliding_windows(b.enriched(spark, sf_dir), keep=B)
+    members = windows.sliding_windows(b.enriched(spark, sf_dir), origin=b.CORNER, keep=B)
     means = windows.window_averages(members, B, n_max=12)
     return rounded(features.means_to_long(means, ["region_id", "x0", "y0"], B), "value")
 
@@ -49,7 +49,7 @@ def capped_signal_average(spark, sf_dir):
 @query(with_parts(o.CELLS, o.windows(n_max=12), select="""
 SELECT region_id, CAST(x0 AS BIGINT) AS x0, CAST(y0 AS BIGINT) AS y0, cell_id FROM window_members"""))
 def window_cap(spark, sf_dir):
-    members = windows.cap_members(windows.sliding_windows(b.cells(spark, sf_dir)), n_max=12)
+    members = windows.cap_members(windows.sliding_windows(b.cells(spark, sf_dir), origin=b.CORNER), n_max=12)
     return members.select("region_id", "x0", "y0", "cell_id")
 
 
@@ -59,7 +59,7 @@ JOIN (SELECT region_id, x0, y0, row_number() OVER (PARTITION BY region_id
              ORDER BY md5('123:128:' || x0 || ':' || y0), x0, y0) AS pick
       FROM window_members GROUP BY region_id, x0, y0) USING (region_id, x0, y0) WHERE pick <= 100"""))
 def reference_patches_drawn(spark, sf_dir):
-    members = windows.cap_members(windows.sliding_windows(b.cells(spark, sf_dir)))
+    members = windows.cap_members(windows.sliding_windows(b.cells(spark, sf_dir), origin=b.CORNER))
     drawn = windows.reference_patches(members, count=100)
     return drawn.select("region_id", "x0", "y0", "cell_id")
 
@@ -74,13 +74,29 @@ multi AS (
 SELECT region_id, CAST(patch_size AS INT) AS patch_size, CAST(x0 AS BIGINT) AS x0,
        CAST(y0 AS BIGINT) AS y0, cell_id FROM multi WHERE n >= 5"""))
 def reference_patches(spark, sf_dir):
-    members = windows.cap_members(windows.sliding_windows(b.cells(spark, sf_dir), sizes=(64, 128)))
+    members = windows.cap_members(windows.sliding_windows(b.cells(spark, sf_dir), origin=b.CORNER, sizes=(64, 128)))
     return windows.reference_patches(members).select(*PATCH, "cell_id")
 
 
+@query(with_parts(o.CELLS, """
+moved AS (SELECT region_id, cell_id, x - 5000 AS x, y - 300.5::DOUBLE AS y FROM cells)""", """
+corners AS (
+  SELECT region_id, CAST(floor(min(x)) AS BIGINT) - 64 AS xs, CAST(floor(min(y)) AS BIGINT) - 64 AS ys
+  FROM moved GROUP BY region_id)""", """
+held AS (
+  SELECT region_id, xs + 64 * i AS x0, ys + 64 * j AS y0
+  FROM moved JOIN corners USING (region_id), range(23) a(i), range(23) b(j)
+  WHERE x BETWEEN xs + 64 * i AND xs + 64 * i + 128 AND y BETWEEN ys + 64 * j AND ys + 64 * j + 128)""", select="""
+SELECT region_id, x0, y0, count(*) AS n_cells FROM held GROUP BY ALL HAVING count(*) >= 5"""))
+def sliding_windows_by_region(spark, sf_dir):
+    """Windows from each region's own minimum, here at negative coordinates."""
+    moved = b.cells(spark, sf_dir).withColumns({"x": F.col("x") - 5000, "y": F.col("y") - 300.5})
+    return windows.describe_windows(windows.sliding_windows(moved)).select("region_id", "x0", "y0", "n_cells")
+
+
 @query()
 def random_windows(spark, sf_dir):
-    members = windows.sliding_windows(b.cells(spark, sf_dir), origin=None, repeats=2)
+    members = windows.sliding_windows(b.cells(spark, sf_dir), repeats=2)
     return windows.describe_windows(members)
 
 
@@ -227,6 +243,24 @@ def cell_type_enrichment(spark, sf_dir):
     return rounded(found.drop("n"), "share", "region_share", "enrichment")
 
 
+@query(with_parts(o.CELLS.replace("o_orderpriority AS cell_type",
+    "CASE WHEN o_orderkey % 7 <> 3 THEN o_orderpriority END AS cell_type"), o.ROIS, o.roi_members(), """
+shares AS (
+  SELECT region_id, roi_id, cell_type, n / sum(n) OVER (PARTITION BY region_id, roi_id) AS share
+  FROM (SELECT region_id, roi_id, cell_type, count(*) AS n FROM roi_members GROUP BY ALL))""", """
+typed AS (
+  SELECT region_id, cell_type, n / sum(n) OVER (PARTITION BY region_id) AS region_share
+  FROM (SELECT region_id, cell_type, count(*) AS n FROM cells WHERE cell_type IS NOT NULL GROUP BY ALL))""", select="""
+SELECT region_id, roi_id, cell_type, round(share, 6) AS share, round(region_share, 6) AS region_share,
+       round(share / (region_share + 1e-5::DOUBLE), 6) AS enrichment
+FROM shares JOIN typed USING (region_id, cell_type)"""))
+def cell_type_enrichment_untyped(spark, sf_dir):
+    """A seventh of the cells has no type: they count in the group, not in the region."""
+    cells = b.cells(spark, sf_dir).withColumn("cell_type", F.expr("CASE WHEN cell_id % 7 <> 3 THEN cell_type END"))
+    found = features.enrichment(cells_in_rois(cells, b.rois(spark, sf_dir)), cells, b.ROI)
+    return rounded(found.drop("n"), "share", "region_share", "enrichment")
+
+
 @query(with_parts(*TYPES, select="""
 SELECT region_id, cell_type, biomarker, round(level, 6) AS level FROM signatures"""))
 def signature_biomarkers(spark, sf_dir):
@@ -380,7 +414,7 @@ def segmentation_of_targets(spark, sf_dir, strict=True, drop=()):
     measured = measured_cells(spark, sf_dir).drop(*drop)
     found = describe.segmentation_summary(
         cells_in_rois(measured, b.rois(spark, sf_dir)),
-        windows.window_averages(windows.sliding_windows(measured, keep=S), S), b.ROI, strict)
+        windows.window_averages(windows.sliding_windows(measured, origin=b.CORNER, keep=S), S), b.ROI, strict)
     return rounded(found, *[c for c in found.columns if c not in b.ROI])
 
 
@@ -428,4 +462,4 @@ def encode_rois(spark, sf_dir):
     from .workflow import encode
 
     measured = measured_cells(spark, sf_dir).join(b.expression(spark, sf_dir), "cell_id", "left")
-    return encode(measured, cells_in_rois(measured, b.rois(spark, sf_dir)), b.ROI, B, digits=6)
+    return encode(measured, cells_in_rois(measured, b.rois(spark, sf_dir)), b.ROI, B, digits=6, origin=b.CORNER)

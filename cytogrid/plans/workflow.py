@@ -31,15 +31,16 @@ def encode(
     percentile_threshold: float = 90.0,
     n_key_cell_types: int = 3,
     digits: int | None = None,
+    origin: tuple[int, int] | DataFrame | None = None,
 ) -> DataFrame:
-    """The three texts of every target group.
+    """The three texts of every target group; a text is empty where nothing is known of the group.
 
     ``cells`` carry position, type, expression, shape and density; ``targets`` are
     their members per group. ``digits`` rounds the statistics before they are
     categorised and written out.
     """
     columns = [*biomarkers, *describe.DENSITY_FEATURES]
-    references = windows.window_averages(windows.sliding_windows(cells, keep=columns), columns)
+    references = windows.window_averages(windows.sliding_windows(cells, origin=origin, keep=columns), columns)
 
     def tidy(df: DataFrame, *names: str) -> DataFrame:
         return df if digits is None else df.withColumns({c: F.round(c, digits) for c in names})
@@ -55,7 +56,10 @@ def encode(
     shape = describe.segmentation_summary(targets, references, keys)
     shape = tidy(shape, *[c for c in shape.columns if c not in keys])
     forms = describe.segmentation_text(describe.segmentation_flags(shape), keys, um_per_pixel)
-    return marks.join(kinds, list(keys)).join(forms, list(keys))
+    every = targets.select(*keys).distinct()
+    for part in (marks, kinds, forms):
+        every = every.join(part, list(keys), "left")
+    return every.select(*keys, *[F.coalesce(t, F.lit("")).alias(t) for t in ("bm_text", "ct_text", "seg_text")])
 
 
 @dataclass
@@ -120,12 +124,14 @@ class Workflow:
 
     def __init__(
         self, tables: StudyTables, store: StageStore,
-        backend: agents.ChatBackend | None = None, resume: bool = False,
+        backend: agents.ChatBackend, resume: bool = False, portions: int = 4,
     ):
         self.tables = tables
         self.store = store
         self.backend = backend
         self.resume = resume
+        self.portions = portions
+        self._answered: set[str] = set()
 
     def _stage(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         stored = self.store.load(name) if self.resume else None
@@ -136,10 +142,16 @@ class Workflow:
         return stored
 
     def _answer(self, name: str, todo: DataFrame, keys: Sequence[str]) -> DataFrame:
-        """Ask for rows without a stored answer and add the answers to the stage."""
-        done = self.store.load(name) if self.resume else None
-        answered = agents.ask(agents.not_done(todo, done, keys), self.backend)
-        self.store.save(answered, name, "overwrite" if done is None else "append")
+        """Ask for rows without a stored answer and add the answers to the stage.
+
+        Answers are stored after each of some portions, so a crash loses one portion at most.
+        """
+        for portion in range(self.portions):
+            done = self.store.load(name) if self.resume or name in self._answered else None
+            part = F.pmod(F.xxhash64(*keys), F.lit(self.portions)) == portion
+            answered = agents.ask(agents.not_done(todo.where(part), done, keys), self.backend)
+            self.store.save(answered, name, "overwrite" if done is None else "append")
+            self._answered.add(name)
         log.info("%s ready", name)
         return self.store.load(name)
 
@@ -192,12 +204,24 @@ class Workflow:
         return self._answer("annotations", todo, SAMPLE)
 
     def aggregate(self, annotations: DataFrame, context: DataFrame) -> DataFrame:
-        numbered = annotations.withColumn("_order", F.xxhash64("component", "part"))
-        joined = agents.aggregate_texts(numbered, CLUSTER, "reply", "_order")
-        rows = self._with_context(joined, context, [*CLUSTER, "part"])
+        """One answer per cluster: answers about parts are joined and asked about again."""
         values = {c: F.col(c) for c in ("tissue_types", "major_phenotypes", "context", "n_obs", "results")}
-        todo = rows.select(*CLUSTER, "part", agents.aggregate_dialogue(values).alias("dialogue"))
-        return self._answer("aggregates", todo, [*CLUSTER, "part"])
+        texts = annotations.select(
+            *CLUSTER, "reply", F.xxhash64("component", "part").alias("_order"), F.lit(1).alias("_n")
+        )
+        level = 0
+        while True:
+            joined = agents.aggregate_texts(texts, CLUSTER, "reply", "_order", weight="_n")
+            rows = self._with_context(joined, context, [*CLUSTER, "part"])
+            todo = cut_lineage(
+                rows.select(*CLUSTER, "part", "n_parts", "n_obs", agents.aggregate_dialogue(values).alias("dialogue"))
+            )
+            final = self._answer("aggregates", todo.where("n_parts = 1"), CLUSTER)
+            partial, level = todo.where("n_parts > 1"), level + 1
+            if partial.isEmpty():
+                return final
+            replies = self._answer(f"aggregate_parts_{level}", partial, [*CLUSTER, "part"])
+            texts = replies.select(*CLUSTER, "reply", F.col("part").alias("_order"), F.col("n_obs").alias("_n"))
 
     def score(self, annotations: DataFrame, context: DataFrame) -> DataFrame:
         diagnoses = diagnoses_of(self.tables.studies)

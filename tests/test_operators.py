@@ -35,24 +35,41 @@ def test_window_edges_and_limits(spark):
     sizes = {}
     for n in (4, 5, 50, 51):
         cells = make_cells(spark, [(10 + i / 100, 10) for i in range(n)], f"r{n}")
-        members = windows.window_members(cells, origin=(0, 0))
+        members = windows.window_members(cells, origin=(0, 0), keep=["x"]).where("x0 = 0 AND y0 = 0")
         sizes[n] = windows.cap_members(members).count()
-        table = windows.describe_windows(members).collect()
+        table = windows.describe_windows(members, n_max=50).collect()
         assert [r.n_cells for r in table] == ([min(n, 50)] if n >= 5 else [])
-        means = windows.window_averages(windows.window_members(cells, origin=(0, 0), keep=["x"]), ["x"]).collect()
+        means = windows.window_averages(members, ["x"], n_max=50).collect()
         assert [r.n_cells for r in means] == ([min(n, 50)] if n >= 5 else [])
+        every = windows.window_averages(windows.window_members(cells, keep=["x"]), ["x"]).collect()
+        assert {r.n_cells for r in every} == ({n} if n >= 5 else set())
     assert sizes == {4: 0, 5: 5, 50: 50, 51: 50}
 
 
 def test_capped_draw_is_reproducible(spark):
     cells = make_cells(spark, [(1 + i / 100, 1) for i in range(80)])
-    members = windows.window_members(cells, origin=(0, 0))
+    members = windows.window_members(cells, origin=(0, 0)).where("x0 = 0 AND y0 = 0")
     a = windows.cap_members(members.repartition(5), n_max=20).select("cell_id").collect()
     b = windows.cap_members(members.repartition(2), n_max=20).select("cell_id").collect()
     c = windows.cap_members(members, n_max=20, seed=9).select("cell_id").collect()
     assert sorted(a) == sorted(b) and sorted(a) != sorted(c) and len(set(a)) == 20
 
 
+def test_windows_cover_cells_anywhere(spark):
+    cells = make_cells(spark, [(-500 + 13 * i, -300.5) for i in range(20)])
+    for members in (windows.window_members(cells), windows.window_members(cells, origin=(-64, -64))):
+        assert {r.cell_id for r in members.collect()} == set(range(20))
+        inside = (F.col("x") >= F.col("x0")) & (F.col("x") <= F.col("x0") + 128)
+        assert members.join(cells, ["region_id", "cell_id"]).where(~inside).count() == 0
+
+
+def test_normalisation_limits_are_per_region(spark):
+    pixels = spark.createDataFrame([("a", 1, 0, 0, 5.0), ("b", 1, 0, 0, 5.0)], "region_id string, channel int, row int, col int, value double")
+    limits = spark.createDataFrame([("a", 1, 0.0, 10.0, True), ("b", 1, 0.0, 20.0, True)], "region_id string, channel int, low double, high double, valid boolean")
+    found = {r.region_id: r.value for r in images.normalize(pixels, limits, ["row", "col"]).collect()}
+    assert found == {"a": 0.5, "b": 0.25}
+
+
 def test_random_origins_in_bounds(spark):
     cells = make_cells(spark, [(100.7, 50.2), (300, 400)])
     for r in windows.window_origins(cells, 128, 0.5, 20, 5).collect():
@@ -306,7 +323,8 @@ def test_accuracy_and_confusion(spark):
     got = {r.k: (r.n, r.correct) for r in evaluate.accuracy_at_k(df).collect()}
     assert got == {1: (4, 1), 2: (4, 2), 3: (4, 2)}
     matrix = {r.truth: r for r in evaluate.confusion_matrix(df).collect()}
-    assert set(matrix) == {"Glomeruli", "Interstitium"}
+    assert len(matrix) == 5 and {t for t, r in matrix.items() if r.n} == {"Glomeruli", "Interstitium"}
+    assert matrix["Blood vessel"].n_glomeruli == 0 and matrix["Blood vessel"].share_glomeruli is None
     assert matrix["Interstitium"].n_glomeruli == 1 and matrix["Interstitium"].share_glomeruli == 1.0
 
 
@@ -330,7 +348,13 @@ def test_aggregated_texts_keep_everything(spark):
 
 def test_ask_once_per_dialogue(spark):
     df = spark.range(4).selectExpr("id", "array(named_struct('role', 'human', 'content', concat('q', id % 2))) AS dialogue")
-    got = agents.ask(df).collect()
+    class Echo:
+        def reply(self, dialogue):
+            return dialogue[-1]["content"] + "!"
+
+    got = agents.ask(df, Echo()).collect()
+    with pytest.raises(ValueError):
+        agents.ask(df, None)
     assert len(got) == 4 and len({r.reply for r in got}) <= 2
     assert all(r.dialogue[-1].role == "ai" and r.dialogue[-1].content == r.reply for r in got)
     done = df.where("id < 3")

@@ -11,7 +11,6 @@ from cytogrid.operators.morphology import cell_morphology
 from cytogrid.plans.workflow import StudyTables, Workflow
 from cytogrid.session import cut_lineage, shared_dir
 from cytogrid.sources import chunked_images, metadata, tables
-from cytogrid.streaming import arrivals
 
 
 def write_array(folder, values, chunk, compress=True):
@@ -174,25 +173,3 @@ def test_workflow_and_resume(spark, study_tables, tmp_path):
     again = Workflow(study_tables, store, counting_backend(str(calls)), resume=True).run()
     assert len(list(calls.iterdir())) == before
     assert again["annotations"].count() == n and again["texts"].count() == n
-
-
-def test_arrivals_skip_stored_regions(spark, tmp_path):
-    source = tmp_path / "cells"
-    for region in ("a", "b"):
-        (source / f"region_id={region}").mkdir(parents=True)
-        (source / f"region_id={region}" / "part.csv").write_text("cell_id,x,y\n1,1,2\n2,3,4\n")
-    store = tables.StageStore(spark, str(tmp_path / "stages"))
-
-    def count(cells):
-        return cells.groupBy("region_id").count()
-
-    def drain():
-        stream = arrivals.arriving_cells(spark, str(source))
-        arrivals.process_arrivals(stream, count, store, "counts", str(tmp_path / "state")).awaitTermination()
-        return sorted(map(tuple, store.load("counts").collect()))
-
-    assert drain() == [("a", 2), ("b", 2)]
-    for region in ("a", "c"):
-        (source / f"region_id={region}").mkdir(exist_ok=True)
-        (source / f"region_id={region}" / "more.csv").write_text("cell_id,x,y\n7,1,2\n")
-    assert drain() == [("a", 2), ("b", 2), ("c", 1)]
