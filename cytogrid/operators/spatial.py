@@ -103,9 +103,9 @@ def _nearest_in_group(
             squares[np.arange(len(mine)), mine] = np.inf
             reach = np.partition(squares, want - 1, axis=1)[:, want - 1]
             row, other = np.nonzero(squares <= reach[:, None])
-            length = np.sqrt(squares[row, other])
-            order = np.lexsort((other, length, row))
-            row, other, length = row[order], other[order], length[order]
+            square = squares[row, other]  # two squares may share a root
+            order = np.lexsort((other, square, row))
+            row, other, length = row[order], other[order], np.sqrt(square[order])
             rank = np.arange(len(row)) - np.searchsorted(row, row) + 1
             keep = rank <= want
             found.append(pd.DataFrame({
@@ -175,16 +175,16 @@ def _nearest_by_grid(
         squared = squared_distance(
             [F.col(c) for c in coords], [F.col(f"_n_{c}") for c in coords]
         )
-        nearest = Window.partitionBy(group, key).orderBy("distance", "neighbor")
+        nearest = Window.partitionBy(group, key).orderBy("_square", "neighbor")
         hits = (
             probes.join(targets.drop("_side"), [group, *[f"_t{i}" for i in range(len(grid))]])
             .where((F.col("neighbor") != F.col(key)) & (squared <= reach * reach))
-            .select(group, key, "_want", "neighbor", F.sqrt(squared).alias("distance"))
+            .select(group, key, "_want", "neighbor", squared.alias("_square"))
             .withColumn("rank", F.row_number().over(nearest))
             .where(F.col("rank") <= k)
             .withColumn("_hits", F.count(F.lit(1)).over(Window.partitionBy(group, key)))
             .where(F.col("_hits") >= F.col("_want"))
-            .select(group, key, "neighbor", "distance", "rank")
+            .select(group, key, "neighbor", F.sqrt("_square").alias("distance"), "rank")
         )
         hits = cut_lineage(hits)
         found = hits if found is None else found.unionByName(hits)

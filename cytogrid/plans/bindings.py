@@ -5,6 +5,8 @@ Integer arithmetic only, so that another SQL engine derives the same values.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +44,17 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def cells_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole table as one region, as dense at every scale: its width grows with the root of the count."""
+    orders = table(spark, sf_dir, "orders")
+    width = math.floor(32 * math.sqrt(orders.count()))
+    return cells(spark, sf_dir).withColumns({
+        "region_id": F.lit(0).cast("long"),
+        "x": F.col("x") / WIDTH * width,
+        "y": F.col("y") / WIDTH * width,
+    })
+
+
 def expression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wide expression, one row per cell with line items."""
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("cell_id")).agg(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import (  # noqa: F401
     graph_queries,
     image_queries,
+    large_queries,
     mosaic_queries,
     reply_queries,
     statistics_queries,
