@@ -8,6 +8,7 @@
 from __future__ import annotations
 
 import argparse
+import functools
 import importlib
 import logging
 import sys
@@ -50,15 +51,23 @@ def load_tables(spark: SparkSession, args: argparse.Namespace) -> StudyTables:
     def chosen(df: DataFrame) -> DataFrame:
         return df.join(regions, "region_id", "left_semi")
 
-    # One row per study: the biomarkers all of them measured, in order.
-    per_study = [r[0] for r in studies.select("biomarkers").collect()]
-    biomarkers = sorted(set(per_study[0]).intersection(*per_study[1:]))
-    expression = tables.read_expression(spark, args.root_dir, biomarkers, args.layout)
+    # Every study has its own panel of biomarkers, and its own header.
+    panels = {r["study_id"]: r["biomarkers"] for r in studies.select("study_id", "biomarkers").collect()}
+    of_study: dict[str, list[str]] = {}
+    for r in regions.collect():
+        of_study.setdefault(r["region_id"].split("_")[0], []).append(r["region_id"])
+    parts = [
+        tables.read_expression(spark, args.root_dir, panels[study], args.layout, ids)
+        for study, ids in sorted(of_study.items())
+    ]
+    expression = functools.reduce(DataFrame.unionByName, parts)
+    biomarkers = sorted({m for study in of_study for m in panels[study]})
+    ids = sorted(i for part in of_study.values() for i in part)
     tiles = chunked_images.read_tiles(spark, args.root_dir)
     return StudyTables(
-        cells=chosen(tables.read_cells(spark, args.root_dir, args.layout)),
-        types=chosen(tables.read_cell_types(spark, args.root_dir, args.layout)),
-        expression=arcsinh_normalize(chosen(expression)),
+        cells=tables.read_cells(spark, args.root_dir, args.layout, ids),
+        types=tables.read_cell_types(spark, args.root_dir, args.layout, ids),
+        expression=arcsinh_normalize(expression),
         shapes=cell_morphology(chosen(chunked_images.mask_pixels(tiles)))
         .drop("major_axis", "minor_axis")
         .withColumnsRenamed(SHAPES),

@@ -234,12 +234,14 @@ def feature_edges(features: DataFrame, columns: Sequence[str], k: int = 4) -> Da
 
 
 def _expand(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
-    reached = seeds
-    for _ in range(hops):
-        step = reached.join(
-            edges.select("region_id", F.col("src").alias("node"), "dst"), ["region_id", "node"]
-        ).select("region_id", "seed", F.col("dst").alias("node"))
-        reached = reached.unionByName(step).distinct()
+    """Nodes at the end of paths of up to ``hops`` edges; each turn goes on from the last one's ends only."""
+    steps = edges.select("region_id", F.col("src").alias("node"), "dst")
+    reached = ends = seeds
+    for hop in range(hops):
+        ends = ends.join(steps, ["region_id", "node"]).select("region_id", "seed", F.col("dst").alias("node"))
+        if hop:  # first steps are distinct already
+            ends = ends.distinct()
+        reached = reached.unionByName(ends)
     return reached
 
 

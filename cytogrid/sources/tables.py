@@ -18,16 +18,18 @@ from ..session import scratch_path
 _REGION_IN_PATH = r"(?:region_id=([^/]+)/[^/]+|([^/]+)/[^/]+)$"
 
 
-def _paths(root: str, kind: str, layout: str) -> str:
+def _paths(root: str, kind: str, layout: str, regions: Sequence[str] | None = None) -> list[str]:
+    """Files of the chosen regions, or of all; no others are listed or read."""
     if layout == "measured":
-        return f"{root}/*/*.{kind}.csv"
+        return [f"{root}/{r}/*.{kind}.csv" for r in (regions or ["*"])]
     if layout == "partitioned":
-        return f"{root}/{kind}/*/*.csv"
+        return [f"{root}/{kind}/{f'region_id={r}' if regions else r}/*.csv" for r in (regions or ["*"])]
     raise ValueError(f"unknown layout {layout}")
 
 
 def _scan(
-    spark: SparkSession, root: str, kind: str, schema: T.StructType | None, layout: str
+    spark: SparkSession, root: str, kind: str, schema: T.StructType | None, layout: str,
+    regions: Sequence[str] | None = None,
 ) -> DataFrame:
     """All regions in one scan; the region is read off the file's path."""
     reader = spark.read.option("header", True).option("enforceSchema", False)
@@ -38,18 +40,22 @@ def _scan(
         F.nullif(F.regexp_extract(path, _REGION_IN_PATH, 1), F.lit("")),
         F.regexp_extract(path, _REGION_IN_PATH, 2),
     )
-    rows = reader.csv(_paths(root, kind, layout))
+    rows = reader.csv(_paths(root, kind, layout, regions))
     return rows.select(region.alias("region_id"), "*")
 
 
-def _header(spark: SparkSession, root: str, kind: str, layout: str) -> list[str]:
+def _header(
+    spark: SparkSession, root: str, kind: str, layout: str, regions: Sequence[str] | None = None
+) -> list[str]:
     """Column names of one file of the table; the data is not read."""
-    return spark.read.option("header", True).csv(_paths(root, kind, layout)).columns
+    return spark.read.option("header", True).csv(_paths(root, kind, layout, regions)).columns
 
 
-def read_cells(spark: SparkSession, root: str, layout: str = "partitioned") -> DataFrame:
+def read_cells(
+    spark: SparkSession, root: str, layout: str = "partitioned", regions: Sequence[str] | None = None
+) -> DataFrame:
     """Cell positions (``CELL_ID, X, Y``); other columns are ignored. Fails if missing."""
-    names = _header(spark, root, "cell_data", layout)
+    names = _header(spark, root, "cell_data", layout, regions)
     wanted = {f.name.upper(): f for f in CELLS.fields}
     missing = set(wanted) - {n.upper() for n in names}
     if missing:
@@ -58,21 +64,23 @@ def read_cells(spark: SparkSession, root: str, layout: str = "partitioned") -> D
         [T.StructField(n, wanted[n.upper()].dataType if n.upper() in wanted else T.StringType())
          for n in names]
     )
-    rows = _scan(spark, root, "cell_data", schema, layout)
+    rows = _scan(spark, root, "cell_data", schema, layout, regions)
     return rows.select(
         "region_id", F.col("CELL_ID").alias("cell_id"), F.col("X").alias("x"), F.col("Y").alias("y")
     )
 
 
-def read_cell_types(spark: SparkSession, root: str, layout: str = "partitioned") -> DataFrame:
+def read_cell_types(
+    spark: SparkSession, root: str, layout: str = "partitioned", regions: Sequence[str] | None = None
+) -> DataFrame:
     """Cell types: exactly three columns, named by position."""
-    names = _header(spark, root, "cell_types", layout)
+    names = _header(spark, root, "cell_types", layout, regions)
     if len(names) != 3:
         raise ValueError(f"a cell type table has 3 columns, found {len(names)}")
     given = T.StructType(
         [T.StructField(n, f.dataType) for n, f in zip(names, CELL_TYPES.fields)]
     )
-    return _scan(spark, root, "cell_types", given, layout).toDF(
+    return _scan(spark, root, "cell_types", given, layout, regions).toDF(
         "region_id", "cell_id", "value", "cell_type"
     )
 
@@ -87,9 +95,13 @@ def read_expression(
     root: str,
     channels: Sequence[str] = (),
     layout: str = "partitioned",
+    regions: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Long expression of the requested channels (all if none); unknown names raise."""
-    names = _header(spark, root, "expression", layout)
+    """Long expression of the requested channels (all if none); unknown names raise.
+
+    The files of one call share one header: call it once per study, with the study's regions.
+    """
+    names = _header(spark, root, "expression", layout, regions)
     available = [n for n in names if n.upper() != "CELL_ID"]
     unknown = set(channels) - set(available)
     if unknown:
@@ -97,7 +109,7 @@ def read_expression(
     schema = T.StructType(
         [T.StructField(n, T.LongType() if n.upper() == "CELL_ID" else T.DoubleType()) for n in names]
     )
-    rows = _scan(spark, root, "expression", schema, layout).withColumnRenamed("CELL_ID", "cell_id")
+    rows = _scan(spark, root, "expression", schema, layout, regions).withColumnRenamed("CELL_ID", "cell_id")
     return to_long(rows, ["region_id", "cell_id"], list(channels) or available)
 
 

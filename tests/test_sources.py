@@ -87,6 +87,12 @@ def test_measured_csv_layout(spark, tmp_path):
     assert {(r.region_id, r.biomarker, r.value) for r in bm} == {("s1_a", "B.1", 2.0), ("s1_b", "B.1", 2.0)}
     with pytest.raises(ValueError):
         tables.read_expression(spark, str(tmp_path), ["nope"], "measured")
+    (tmp_path / "s2_a").mkdir()  # another study: other panel, other column order
+    (tmp_path / "s2_a" / "s2_a.expression.csv").write_text("B.1,C,CELL_ID\n7,8,1\n")
+    other = tables.read_expression(spark, str(tmp_path), ["B.1", "C"], "measured", ["s2_a"]).collect()
+    assert {(r.region_id, r.biomarker, r.value) for r in other} == {("s2_a", "B.1", 7.0), ("s2_a", "C", 8.0)}
+    same = tables.read_expression(spark, str(tmp_path), ["B.1"], "measured", ["s1_a"]).collect()
+    assert {r.region_id for r in same} == {"s1_a"}
     with pytest.raises(Exception):
         tables.read_cells(spark, str(tmp_path / "absent"), "measured").collect()
 
