@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -68,16 +69,22 @@ def train(bags: list[bytes], owners: np.ndarray, labels: np.ndarray, seed: int =
     other. An empty bag is a clean one.
     """
     vocabulary: dict[bytes, int] = {}
-    split = [b.split() for b in bags] + [[]]
     labels = np.append(labels, 0).astype(np.int64)
     owners = np.append(owners, owners.max(initial=-1) + 1)
-    word_ids = np.array([vocabulary.setdefault(w, len(vocabulary)) for ws in split for w in ws], np.int64)
-    word_counts = np.array([len(ws) for ws in split])
-    word_starts = np.cumsum(word_counts) - word_counts
-    grams = [subwords(w) for w in vocabulary]
-    gram_counts = np.array([len(g) for g in grams], np.int64)
-    gram_starts = np.cumsum(gram_counts) - gram_counts
-    used, flat = np.unique(np.array([x for g in grams for x in g], np.int64), return_inverse=True)
+    words, lengths, grams, sizes = array("i"), array("i"), array("i"), array("i")  # far smaller than lists
+    for bag in (*bags, b""):
+        split = bag.split()
+        lengths.append(len(split))
+        words.extend(vocabulary.setdefault(w, len(vocabulary)) for w in split)
+    for word in vocabulary:
+        found = subwords(word)
+        sizes.append(len(found))
+        grams.extend(found)
+    del vocabulary
+    word_ids, word_counts, gram_counts = (np.array(x, np.int32) for x in (words, lengths, sizes))
+    word_starts, gram_starts = np.cumsum(word_counts) - word_counts, np.cumsum(gram_counts) - gram_counts
+    used, flat = np.unique(np.array(grams, np.int32), return_inverse=True)
+    flat = flat.astype(np.int32)
     rng = np.random.default_rng(seed)
     scale = float(WINDOW)
     params = [
@@ -100,14 +107,14 @@ def train(bags: list[bytes], owners: np.ndarray, labels: np.ndarray, seed: int =
     def difference(chosen: np.ndarray) -> np.ndarray:
         scalar = params[0] @ (params[1][:, 1] - params[1][:, 0])
         out = np.empty(len(chosen))
-        for at in range(0, len(chosen), 4096):
-            ids, bag, counts = gather(chosen[at : at + 4096])
+        for at in range(0, len(chosen), 1024):
+            ids, bag, counts = gather(chosen[at : at + 1024])
             sums = np.bincount(bag, scalar[ids], len(counts))
-            out[at : at + 4096] = sums / np.maximum(counts, 1) * scale + params[2][1] - params[2][0]
+            out[at : at + 1024] = sums / np.maximum(counts, 1) * scale + params[2][1] - params[2][0]
         return out
 
-    everything = np.arange(len(split))
-    epochs = max(EPOCHS, -(-LEAST_STEPS * BATCH // len(split)))  # a small sample is gone through more often
+    everything = np.arange(len(lengths))
+    epochs = max(EPOCHS, -(-LEAST_STEPS * BATCH // len(lengths)))  # a small sample is gone through more often
     for epoch in range(epochs):
         chosen = everything
         if epoch >= 1:
@@ -117,7 +124,7 @@ def train(bags: list[bytes], owners: np.ndarray, labels: np.ndarray, seed: int =
             some = rng.random(len(order)) < 0.15
             keep = top | ((labels[order] == 0) & (second_best | some))
             chosen = order[keep]
-        chosen = np.append(rng.permutation(chosen), np.full(8, len(split) - 1))
+        chosen = np.append(rng.permutation(chosen), np.full(8, len(lengths) - 1))
         for at in range(0, len(chosen), BATCH):
             part = chosen[at : at + BATCH]
             ids, bag, counts = gather(part)
