@@ -100,16 +100,6 @@ def running_counts(
     )
 
 
-def counts_in_group(values: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
-    """:func:`running_counts` for groups known to be small: one window per group."""
-    group = Window.partitionBy(*keys)
-    before = group.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    counted = values.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n_at"))
-    return counted.withColumn("n_total", F.sum("n_at").over(group)).withColumn(
-        "n_below", F.coalesce(F.sum("n_at").over(before), F.lit(0))
-    )
-
-
 def percentile_rank(below: Column, at: Column, total: Column) -> Column:
     """Percentile of a score, "rank" kind: ties take the mean of their ranks."""
     seen = F.when(at > 0, F.lit(1)).otherwise(F.lit(0))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Sequence
 
 import numpy as np
@@ -11,8 +12,6 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import draw_order, draw_uniform, squared_distance
 from ..functions.ranking import (
-    SMALL_GROUP,
-    counts_in_group,
     exact_quantiles,
     largest_group,
     running_counts,
@@ -20,6 +19,8 @@ from ..functions.ranking import (
 from ..functions.skew import attach
 from ..session import cut_lineage, spread_out
 
+log = logging.getLogger(__name__)
+
 BLOCK_ROWS = 1024
 HISTOGRAM_BINS = 4096
 # Weights of the feature blocks.
@@ -112,9 +113,12 @@ def pair_quantile(
     Otherwise pairs of blocks are, and distances are never written out. A first pass counts them per fine bin
     between zero and the diagonal of the group's bounding box. A second pass emits
     only those in the bins around the wanted ranks, and the exact values are picked
-    from these.
+    from these, equal ones counted. Rows without a vector, or with a NULL or NaN in it, are left out.
     """
     kind = dict(points.dtypes)[group]
+    points = points.where(
+        F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x.cast("double")))
+    )
     if largest_group(points, [group]) <= BLOCK_ROWS:
 
         def whole(block: pd.DataFrame) -> pd.DataFrame:
@@ -126,7 +130,8 @@ def pair_quantile(
         return spread_out(points.select(group, vector), group).groupBy(group).applyInPandas(
             whole, f"{group} {kind}, scale double"
         )
-    dims = points.select(F.size(vector)).first()[0]
+    first = points.select(F.size(vector)).first()
+    dims = first[0] if first else 0
     box = points.groupBy(group).agg(
         F.count(F.lit(1)).alias("_n"),
         F.sqrt(sum(
@@ -167,7 +172,8 @@ def pair_quantile(
         d = _distances(block)
         bins = np.floor(d / float(block["_far"].iat[0]) * HISTOGRAM_BINS)
         d = d[(bins >= block["_first"].iat[0]) & (bins <= block["_last"].iat[0])]
-        return pd.DataFrame({group: block[group].iat[0], "value": d})
+        values, counts = np.unique(d, return_counts=True)
+        return pd.DataFrame({group: block[group].iat[0], "value": values, "_count": counts})
 
     sought = _block_pairs(
         attach(bounded, around.drop("_before"), [group], list(key)),
@@ -175,11 +181,10 @@ def pair_quantile(
     )
     near = cut_lineage(
         spread_out(sought, group, "_i", "_j").groupBy(group, "_i", "_j").applyInPandas(
-            emit, f"{group} {kind}, value double"
+            emit, f"{group} {kind}, value double, _count bigint"
         )
     )
-    small = largest_group(near, [group]) <= SMALL_GROUP
-    counted = counts_in_group(near, [group]) if small else running_counts(near, [group])
+    counted = running_counts(near, [group], weight="_count")
     counted = counted.join(wanted, group).join(around, group)
     end = F.col("_before") + F.col("n_below") + F.col("n_at")
     picked = counted.groupBy(group).agg(
@@ -279,6 +284,8 @@ def grouped_kmeans(
         centers = moved.drop("_moved")
         if moved.where("_moved").isEmpty():
             break
+    else:
+        log.warning("k-means did not settle in %d iterations", iterations)
     return assign(centers).drop("_centers")
 
 
