@@ -17,6 +17,7 @@ from cytogrid.llm.common import BATCH_ROWS, binary_text, map_batches
 SAMPLE = 6000
 #: A rule stays only if it is right this often on rows that it was not grown on.
 PRECISION = 0.97
+BASE_FAILED = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
 SYMBOLS = "#*$%&|<>"
 BLANKS = "\t\n\x0b\x0c\r "
 COUNTS = (
@@ -186,25 +187,28 @@ def learn(table: dict[str, np.ndarray], low: np.ndarray, pruning: np.ndarray, pr
     """
     rules: list[Rule] = []
     left = np.ones(len(low), bool)
-    while (left & low & ~pruning).any():
+    while (left & low & ~pruning).any():  # every turn takes at least one row away
         rule = prune(grow(table, low, left & ~pruning), table, low, left & pruning)
         covered = rule.covers(table) & left
         right = int((covered & low).sum())
         unseen = covered & pruning
-        if not rule.conditions or right < 3 or worth(rule, table, low, left & pruning) < 2 * precision - 1 or not unseen.any():
+        if not rule.conditions or not right:
             break
-        rules.append(rule)
-        left &= ~covered
+        if right >= 3 and unseen.any() and worth(rule, table, low, left & pruning) >= 2 * precision - 1:
+            rules.append(rule)
+            left &= ~covered
+        else:  # not to be trusted; go on without the rows that it was grown for
+            left &= ~(covered & low & ~pruning)
     return rules
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> list[Rule]:
-    """Learns on the driver from counts of at most ``SAMPLE`` labelled rows."""
+    """Learns on the driver from counts of at most ``SAMPLE`` labelled rows, of those that pass the base."""
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
     usable = usable.groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     sample = F.broadcast(usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE))  # of a fixed number of ids at most
     rows = docs.select("doc_id", "text").join(sample.select("doc_id"), "doc_id", "left_semi")
-    known = with_counts(rows).join(sample, "doc_id").toPandas().sort_values(["doc_id", *COUNTS])
+    known = with_counts(rows).where(f"NOT ({BASE_FAILED})").join(sample, "doc_id").toPandas().sort_values(["doc_id", *COUNTS])
     if not len(known):
         return []
     table = {n: (known[o] / np.maximum(known[u], 1)).to_numpy("float64") for n, o, u in RATIOS}
@@ -222,9 +226,6 @@ def rejected(rules: list[Rule]) -> Column:
     return chain.otherwise(F.lit(False))
 
 
-BASE_FAILED = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
-
-
 def passing(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows that pass the base and the list, with all their columns, whatever their names.
 
