@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cytogrid.llm.common import BATCH_ROWS, binary_text, map_batches, text_key
-from cytogrid.llm.shingles import STEP, WORDS, WordHashes, mix, occurrences, shingle
+from cytogrid.llm.shingles import STEP, WORDS, WordHashes, mix, shingle
 from cytogrid.session import cut_lineage
 
 #: Words of the shortest passage, and the shingles in it.
@@ -27,6 +27,8 @@ DRIFT = SPAN - ENOUGH + 4
 FUNCTIONS, AGREEING = 5, 2
 #: Windows that a task combines before the shuffle.
 CHUNK = 1_000_000
+#: Pairs of places of equal shingles that are looked at in one go.
+PAIRS = 1 << 20
 NONE = np.zeros(0, np.int64)
 SEEDS = mix(np.arange(501, 501 + FUNCTIONS, dtype=np.uint64) * STEP)[:, None]
 
@@ -148,52 +150,77 @@ def covered(mask: np.ndarray) -> list[tuple[int, int]]:
 
 @dataclass
 class Prepared:
-    """Shingles of a text, its different ones in order, and the first place of each."""
+    """Shingles of a text, its different ones in order, and where the places of each begin in ``places``."""
 
     shingles: np.ndarray
     distinct: np.ndarray
-    first: np.ndarray
+    begin: np.ndarray
+    places: np.ndarray
 
     @classmethod
     def of(cls, words: np.ndarray) -> Prepared:
         shingles = shingle(words)
-        return cls(shingles, *np.unique(shingles, return_index=True))
+        places = np.argsort(shingles, kind="stable")
+        ordered = shingles[places]
+        begin = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]][: len(ordered)])
+        return cls(shingles, ordered[begin], np.append(begin, len(ordered)), places)
+
+
+def diagonals(a: Prepared, sb: np.ndarray) -> np.ndarray:
+    """Matching shingles on every diagonal, that of (last of a, first of b) first: all places in a meet all in b."""
+    out = np.zeros(len(a.shingles) + len(sb) - 1, np.int64)
+    at = np.minimum(np.searchsorted(a.distinct, sb), len(a.distinct) - 1)
+    hit = np.flatnonzero(a.distinct[at] == sb)
+    if len(hit) < ENOUGH:
+        return out
+    begin, count = a.begin[at[hit]], a.begin[at[hit] + 1] - a.begin[at[hit]]
+    total = np.cumsum(count)
+    cuts = np.unique(np.searchsorted(total, np.arange(PAIRS, total[-1], PAIRS)))
+    for low, high in zip([0, *cuts], [*cuts, len(hit)], strict=True):
+        n = count[low:high]
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        places = a.places[np.repeat(begin[low:high], n) + within]
+        out += np.bincount(np.repeat(hit[low:high], n) - places + len(a.shingles) - 1, minlength=len(out))
+    return out
 
 
 def shared_spans(a: Prepared, b: Prepared) -> list[tuple[int, int, int, int]]:
     """(start in a, words in a, start in b, words in b) of near-duplicate passages.
 
-    Shingles are matched along the diagonals on which shingles of both texts meet; diagonals
-    closer than an alignment may drift count together. A passage is a run of windows in which so many
-    shingles match that the Jaccard similarity is at least 0.8.
+    Shingles are matched along the diagonals on which shingles of both texts meet, wherever they
+    are repeated; diagonals closer than an alignment may drift count together. A passage is a run of
+    windows in which so many shingles match that the Jaccard similarity is at least 0.8.
     """
     sa, sb = a.shingles, b.shingles
     if len(sa) < SPAN or len(sb) < SPAN:
         return []
-    at = np.minimum(np.searchsorted(a.distinct, sb), len(a.distinct) - 1)
-    hit = np.flatnonzero(a.distinct[at] == sb)
-    if len(hit) < ENOUGH:
+    counts = diagonals(a, sb)
+    seeds = np.flatnonzero(counts >= WORDS)
+    if not len(seeds):
         return []
-    diagonals = [hit - a.first[at[hit]]]
-    if len(a.distinct) < len(sa):  # repeats inside a: its n-th occurrence meets b's n-th one, too
-        la, lb = (s + occurrences(s).astype(np.uint64) * STEP for s in (sa, sb))
-        _, ia, ib = np.intersect1d(la, lb, assume_unique=True, return_indices=True)
-        diagonals.append(ib - ia)
-    values, counts = np.unique(np.concatenate(diagonals), return_counts=True)
-    values = values[counts >= WORDS]
+    there = np.flatnonzero(counts)
     found = []
-    for group in np.split(values, np.flatnonzero(np.diff(values) > DRIFT) + 1) if len(values) else []:
+    for seed in np.split(seeds, np.flatnonzero(np.diff(seeds) > DRIFT) + 1):
+        group = there[np.searchsorted(there, seed[0] - DRIFT) : np.searchsorted(there, seed[-1] + DRIFT, "right")]
+        if counts[group].sum() < ENOUGH:
+            continue
         mask_a, mask_b = np.zeros(len(sa), bool), np.zeros(len(sb), bool)
-        for d in group:
+        for d in group - len(sa) + 1:
             low, high = max(0, d), min(len(sb), len(sa) + d)
             equal = sb[low:high] == sa[low - d : high - d]
             mask_b[low:high] |= equal
             mask_a[low - d : high - d] |= equal
         in_a = covered(mask_a)
         for start, words in covered(mask_b):
-            shift = int(group[len(group) // 2])
-            partners = [s for s in in_a if s[0] + shift < start + words + DRIFT and start < s[0] + s[1] + shift + DRIFT]
-            found += [(*partner, start, words) for partner in partners]
+            for partner in in_a:
+                if len(seed) == 1 or seed[-1] - seed[0] <= DRIFT:
+                    shift = int(seed[len(seed) // 2]) - len(sa) + 1
+                    meet = partner[0] + shift < start + words + DRIFT and start < sum(partner) + shift + DRIFT
+                else:  # many diagonals: no one of them tells which passages belong together
+                    other = sa[partner[0] : sum(partner) - WORDS + 1]
+                    meet = np.isin(sb[start : start + words - WORDS + 1], other).sum() >= ENOUGH
+                if meet:
+                    found.append((*partner, start, words))
     return found
 
 
@@ -233,7 +260,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
             for key_a, key_b, text_a, text_b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key_a != last:
                     last, a = key_a, Prepared.of(hashes.of(text_a.split()))
-                b = Prepared(shingle(hashes.of(text_b.split())), NONE, NONE)
+                b = Prepared(shingle(hashes.of(text_b.split())), NONE, NONE, NONE)
                 for start_a, words_a, start_b, words_b in shared_spans(a, b):
                     out += [(key_a, start_a, words_a, key_b, False), (key_b, start_b, words_b, key_a, True)]
             if out:

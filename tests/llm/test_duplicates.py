@@ -193,6 +193,22 @@ def test_passages_are_found_and_cut(spark, passage_docs):
     assert untouched and all(r.text == dict(passage_docs)[r.doc_id] for r in left if r.doc_id in untouched)
 
 
+def test_passages_of_lines_that_stand_elsewhere_before():
+    rng, hashes = random.Random(41), WordHashes()
+    one, two = prose(rng, 25), prose(rng, 25)
+    seam = " ".join(one.split()[-6:] + two.split()[:6])  # with it, every shingle of the passage stands elsewhere before
+    a = f"{one} {prose(rng, 30)} {two} {seam} {prose(rng, 18)} {one} {two} {prose(rng, 10)}"
+    b = f"{prose(rng, 12)} {one} {two} {prose(rng, 12)}"
+    of = lambda text: passages.Prepared.of(hashes.of(text.encode().split()))
+    for x, y, starts in ((a, b, (110, 12)), (b, a, (12, 110))):
+        assert (starts[0], 50, starts[1], 50) in passages.shared_spans(of(x), of(y))
+    many = " ".join(f"{one} {prose(rng, 9)} {two} {prose(rng, rng.randint(9, 30))}" for _ in range(30))
+    long = f"{many} {one} {two} {prose(rng, 9)}"  # diagonals lie so close that they count together
+    start = len(many.split())
+    found = passages.shared_spans(of(long), of(f"{many[::-1]} {b}"))
+    assert any(x <= start and x + n >= start + 50 for x, n, _, _ in found)
+
+
 def test_cut_spans_merge():
     assert passages.cut_spans(b" a b c d e ", [(1, 2), (2, 2), (9, 1)]) == b" a e "
     assert passages.cut_spans(b"a b", [(0, 2)]) == b""
