@@ -23,10 +23,11 @@ SIMILARITY = 0.8
 ENOUGH = int(np.ceil(2 * SPAN * SIMILARITY / (1 + SIMILARITY)))
 #: Shift of words inside a passage that an alignment may take up.
 DRIFT = SPAN - ENOUGH + 4
-#: Min-hash functions, and the equal minima from which two texts are compared.
+#: Min-hash functions, and the equal minima on overlapping windows from which two texts are compared.
 FUNCTIONS, AGREEING = 5, 2
-#: Windows that a task combines before the shuffle.
-CHUNK = 1_000_000
+#: Windows that a task combines before the shuffle, and rows of a batch behind it.
+CHUNK, PORTION = 1_000_000, 50_000
+MASK = (1 << 30) - 1
 #: Pairs of places of equal shingles that are looked at in one go.
 PAIRS = 1 << 20
 NONE = np.zeros(0, np.int64)
@@ -64,42 +65,28 @@ def compact_windows(shingles: np.ndarray, span: int = SPAN) -> tuple[np.ndarray,
     return function, mix(minima[function, start] + SEEDS[function, 0]), start, end
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """(a, b) hashes of texts with a < b that share at least ``AGREEING`` signatures.
+def stars(keys: list[np.ndarray], owners: list[np.ndarray]) -> pa.RecordBatch:
+    """(key, owner, head): one row without a head for each key, its smallest owner, and one row for each
+    other owner and the smallest one of a key that it has. The key of the latter only spreads them."""
+    key, owner = np.concatenate(keys), np.concatenate(owners)
+    order = np.lexsort((owner, key))
+    key, owner = key[order], owner[order]
+    first = np.r_[True, key[1:] != key[:-1]][: len(key)]
+    head = owner[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))]
+    spokes = np.unique(np.stack([head, owner], 1)[head != owner], axis=0)
+    heads = np.r_[np.zeros(int(first.sum()), np.int64), spokes[:, 0]]
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.r_[key[first], spokes[:, 1]]),
+            pa.array(np.r_[owner[first], spokes[:, 1]]),
+            pa.array(heads, mask=np.arange(len(heads)) < first.sum()),
+        ],
+        ["key", "owner", "head"],
+    )
 
-    Windows with one signature form a star around the text with the smallest hash, and a
-    chain; a star has as many links as members, however many texts share a line. Tasks draw the
-    stars of their own windows first and pass on the smallest text only, so a signature has
-    one row per million windows behind the shuffle.
-    """
-    hashes = WordHashes()
 
-    def combine(keys: list[np.ndarray], owners: list[np.ndarray]) -> pa.RecordBatch:
-        key, owner = np.concatenate(keys), np.concatenate(owners)
-        order = np.lexsort((owner, key))
-        key, owner = key[order], owner[order]
-        fresh = np.r_[True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])]
-        key, owner = key[fresh], owner[fresh]
-        first = np.r_[True, key[1:] != key[:-1]]
-        head = owner[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))]
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(owner), pa.array(head, mask=first)], ["key", "owner", "head"])
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, owners, held, seen = [], [], 0, set()
-        for batch in batches:
-            for owner, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if owner in seen:  # a copy
-                    continue
-                seen.add(owner)
-                found = np.unique(compact_windows(shingle(hashes.of(text.split())))[1].view(np.int64))
-                keys.append(found)
-                owners.append(np.full(len(found), owner, np.int64))
-                held += len(found)
-            if held >= CHUNK:
-                yield combine(keys, owners)
-                keys, owners, held, seen = [], [], 0, set()
-        if held:
-            yield combine(keys, owners)
+def linked(starred: DataFrame) -> DataFrame:
+    """(a, b) with a < b: the owners of each key linked to the smallest one and to the one before."""
 
     def connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_key = last_head = last_owner = None
@@ -117,16 +104,189 @@ def candidates(docs: DataFrame) -> DataFrame:
             before = np.r_[owner[0] if last_owner is None else last_owner, owner[:-1]]
             star = ~first & (head != owner)
             chain = star & (before != owner) & (before != head)
-            a, b = np.r_[head[star], before[chain]], np.r_[owner[star], owner[chain]]
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            pairs = np.unique(np.stack([np.r_[head[star], before[chain]], np.r_[owner[star], owner[chain]]], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], ["a", "b"])
             last_key, last_head, last_owner = key[-1], head[-1], owner[-1]
 
+    parts = int(starred.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = starred.repartition(parts, "key").sortWithinPartitions("key", "owner")
+    return map_batches(placed, connect, "a long, b long", rows=PORTION).distinct()
+
+
+def live_windows(docs: DataFrame) -> DataFrame:
+    """(owner, key, place): the compact windows whose signature another text has, too.
+
+    ``place`` holds function, first start and length of the interval of starts. Tasks know the signatures
+    that several of their own texts have, and pass on the windows of the smallest such text only.
+    """
+    hashes = WordHashes()
+
+    def combine(keys: list[np.ndarray], owners: list[np.ndarray], places: list[np.ndarray]) -> pa.RecordBatch:
+        key, owner, place = np.concatenate(keys), np.concatenate(owners), np.concatenate(places)
+        order = np.lexsort((owner, key))
+        key, owner, place = key[order], owner[order], place[order]
+        first = np.r_[True, key[1:] != key[:-1]]
+        group = np.cumsum(first) - 1
+        head = owner[first][group]
+        several = np.bincount(group, head != owner) > 0
+        names = ["route", "key", "owner", "place", "live"]
+        route = np.where(head == owner, key, owner)  # the others only need a place
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (route, key, owner, place, several[group].astype(np.int8) + (head != owner))], names)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, owners, places, held, seen = [], [], [], 0, set()
+        for batch in batches:
+            for owner, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if owner in seen:  # a copy
+                    continue
+                seen.add(owner)
+                function, key, start, end = compact_windows(shingle(hashes.of(text.split())))
+                keys.append(key.view(np.int64))
+                owners.append(np.full(len(key), owner, np.int64))
+                places.append((function << 60) | (start << 30) | (end - start))
+                held += len(key)
+            if held >= CHUNK:
+                yield combine(keys, owners, places)
+                keys, owners, places, held, seen = [], [], [], 0, set()
+        if held:
+            yield combine(keys, owners, places)
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_runs(batches, 1):
+            key, owner, live = (table.column(i).to_numpy() for i in (1, 2, 4))
+            sent = live < 2
+            kept = ~sent
+            if sent.any():
+                first = np.r_[True, key[sent][1:] != key[sent][:-1]]
+                group = np.cumsum(first) - 1
+                own = (owner[sent] != owner[sent][first][group]) | (live[sent] > 0)
+                kept[sent] = (np.bincount(group, own) > 0)[group]
+            yield table.select(["owner", "key", "place"]).filter(pa.array(kept))
+
     rows = docs.select(F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("owner"), binary_text().alias("text"))
-    windows = map_batches(rows, emit, "key long, owner long, head long")
+    windows = map_batches(rows, emit, "route long, key long, owner long, place long, live byte")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = windows.repartition(parts, "key").sortWithinPartitions("key", "owner")
-    links = placed.mapInArrow(connect, "a long, b long")
-    return links.groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= AGREEING).select("a", "b")
+    placed = windows.repartition(parts, "route").sortWithinPartitions("key", "owner")
+    return map_batches(placed, shared, "owner long, key long, place long", rows=PORTION)
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The rows in other portions, none of which ends inside a run of equal values of the column."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        values = batch.column(column).to_numpy()
+        if not len(values):
+            continue
+        change = np.flatnonzero(values[1:] != values[:-1]) + 1
+        if held and values[0] != held[-1].column(column)[-1].as_py():
+            yield pa.concat_batches(held)
+            held = []
+        if len(change):
+            yield pa.concat_batches([*held, batch.slice(0, change[-1])])
+            held = [batch.slice(change[-1])]
+        else:
+            held.append(batch)
+    if held:
+        yield pa.concat_batches(held)
+
+
+def joined_intervals(owner: np.ndarray, key: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(keys, their owners) of intervals of two functions that overlap, (owners, first, last) of the starts all functions have.
+
+    Owners stand in a row. A key names the signatures of both functions: texts with an equal one
+    agree in ``AGREEING`` functions on windows that overlap.
+    """
+    number = np.cumsum(np.r_[True, owner[1:] != owner[:-1]][: len(owner)]) - 1
+    names = owner[np.r_[True, owner[1:] != owner[:-1]][: len(owner)]]
+    function = place >> 60
+    start = (number << 31) + ((place >> 30) & MASK)
+    end = start + (place & MASK)
+    order = np.lexsort((start, function))
+    bounds = np.searchsorted(function[order], np.arange(FUNCTIONS + 1))
+    keys, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    sorted_by = [order[x:y] for x, y in zip(bounds, bounds[1:], strict=False)]
+    for f, left in enumerate(sorted_by):
+        for right in sorted_by[f + 1 :]:
+            low = np.searchsorted(end[right], start[left])
+            n = np.searchsorted(start[right], end[left], "right") - low
+            i = np.repeat(left, n)
+            j = right[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
+            keys.append(mix(mix(key[i].view(np.uint64)) + key[j].view(np.uint64)).view(np.int64))
+            owners.append(owner[i])
+    at, place_of = np.unique(np.r_[start, end + 1], return_inverse=True)
+    depth = np.cumsum(np.bincount(place_of, np.repeat([1, -1], len(start)), len(at))).astype(np.int64)
+    full = np.flatnonzero(depth == FUNCTIONS)
+    first, last = at[full], at[np.minimum(full + 1, len(at) - 1)] - 1
+    return np.concatenate(keys), np.concatenate(owners), names[first >> 31], first & (2**31 - 1), last & (2**31 - 1)
+
+
+def candidates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b) hashes of texts with a < b, and (owner, first, last) starts of passages that may be repeated word by word.
+
+    Windows are joined by the signatures of two functions on intervals that overlap, so each text's agreement
+    counts within its group, whichever text comes first under either signature. Texts with an equal pair of signatures form a star
+    around the text with the smallest hash, and a chain; a star has as many links as members, however many
+    texts share a line. Where windows start that other texts share under all functions, ``exact_links`` looks for exact repeats.
+    """
+    live = live_windows(docs)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = live.repartition(parts, "owner").sortWithinPartitions("owner", "place")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, owners, held = [], [], 0
+        names = ["key", "owner", "head", "last"]
+
+        def out() -> pa.RecordBatch:
+            found = stars(keys, owners)
+            return pa.RecordBatch.from_arrays([*found.columns, pa.nulls(found.num_rows, pa.int64())], names)
+
+        for table in whole_runs(batches, 0):
+            owner, key, place = (table.column(i).to_numpy() for i in range(3))
+            fresh = np.r_[True, (owner[1:] != owner[:-1]) | (place[1:] != place[:-1])]  # copies in other tasks
+            found, of, who, first, last = joined_intervals(owner[fresh], key[fresh], place[fresh])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (first, who, first, last)], names)
+            keys.append(found)
+            owners.append(of)
+            held += len(found)
+            if held >= CHUNK:
+                yield out()
+                keys, owners, held = [], [], 0
+        if held:
+            yield out()
+
+    found = cut_lineage(map_batches(placed, work, "key long, owner long, head long, last long", rows=PORTION))
+    ranges = found.where("last IS NOT NULL").select("owner", F.col("key").alias("first"), "last")
+    return linked(found.where("last IS NULL").select("key", "owner", "head")), ranges
+
+
+def exact_links(ranges: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b) with a < b: texts (owner, text) that repeat 50 words, linked to the smallest text that has them.
+
+    An exact repeat has the same signature under every function, so its start is in ``ranges``: none is lost.
+    """
+    hashes = WordHashes()
+    listed = ranges.groupBy("owner").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, owners, held = [], [], 0
+        for batch in batches:
+            for owner, text, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                shingles = shingle(hashes.of(text.split()))
+                starts = np.concatenate([np.arange(x["first"], x["last"] + 1) for x in spans])
+                value = np.zeros(len(starts), np.uint64)
+                for i in range(0, PASSAGE, WORDS):
+                    value = mix(value * STEP + shingles[starts + i])
+                keys.append(np.unique(value).view(np.int64))
+                owners.append(np.full(len(keys[-1]), owner, np.int64))
+                held += len(keys[-1])
+            if held >= CHUNK:
+                yield stars(keys, owners)
+                keys, owners, held = [], [], 0
+        if held:
+            yield stars(keys, owners)
+
+    rows = texts.join(listed, "owner").select("owner", "text", "ranges")
+    return linked(map_batches(rows, work, "key long, owner long, head long"))
 
 
 def covered(mask: np.ndarray) -> list[tuple[int, int]]:
@@ -234,8 +394,9 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     texts = docs.select(
         F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("owner"), text_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id")
     )
-    pairs = cut_lineage(candidates(docs))
-    owners = pairs.select(F.col("a").alias("owner")).union(pairs.select(F.col("b").alias("owner"))).distinct()
+    near, ranges = candidates(docs)
+    near = cut_lineage(near)
+    owners = near.select(F.col("a").alias("owner")).union(near.select(F.col("b").alias("owner"))).union(ranges.select("owner")).distinct()
     wanted = cut_lineage(
         texts.join(owners, "owner").groupBy("owner", "key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("holder"))
     )
@@ -246,6 +407,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
         .agg(F.first("text").alias("text"))
     )
     fetched = cut_lineage(fetched)
+    pairs = near.union(exact_links(ranges, fetched.select("owner", "text"))).distinct()
     both = (
         pairs.join(fetched.withColumnsRenamed({"owner": "b", "key": "key_b", "text": "text_b"}), "b")
         .join(fetched.withColumnsRenamed({"owner": "a", "key": "key_a", "text": "text_a"}), "a")  # pairs of one a stay together

@@ -193,6 +193,31 @@ def test_passages_are_found_and_cut(spark, passage_docs):
     assert untouched and all(r.text == dict(passage_docs)[r.doc_id] for r in left if r.doc_id in untouched)
 
 
+def test_no_exact_passage_hides_behind_texts_with_a_part_of_it(spark):
+    rng = random.Random(43)
+    texts = []
+    for _ in range(25):
+        passage = prose(rng, 52)
+        words = passage.split()
+        texts += [f"{prose(rng, 20)} {passage} {prose(rng, 20)}" for _ in range(2)]
+        for _ in range(40):  # each has a part only, so signatures have different heads
+            at = rng.randrange(22)
+            texts.append(f"{prose(rng, 20)} {' '.join(words[at : at + 31])} {prose(rng, 20)}")
+    base = prose(rng, 120)
+    texts += [edited(rng, base, 5) for _ in range(80)]  # near copies
+    rng.shuffle(texts)
+    windows = {}
+    for i, t in enumerate(texts):
+        ws = t.split()
+        for k in range(len(ws) - passages.PASSAGE + 1):
+            windows.setdefault(tuple(ws[k : k + passages.PASSAGE]), set()).add((i, k))
+    covered = {i: np.zeros(len(t.split()), bool) for i, t in enumerate(texts)}
+    for r in passages.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect():
+        covered[r.doc_id][r.start_word : r.start_word + r.n_words] = True
+    lost = {i for places in windows.values() if len(places) > 1 for i, k in places if not covered[i][k : k + passages.PASSAGE].all()}
+    assert not lost
+
+
 def test_passages_of_lines_that_stand_elsewhere_before():
     rng, hashes = random.Random(41), WordHashes()
     one, two = prose(rng, 25), prose(rng, 25)
