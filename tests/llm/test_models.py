@@ -147,6 +147,17 @@ def test_language_model_counts_and_scores(spark, fewer_steps, monkeypatch):
         assert r.score < 0 and math.isfinite(r.score)
 
 
+def test_scores_use_the_counts_of_all_words(spark, fewer_steps, monkeypatch):
+    rng = random.Random(13)
+    texts = [prose(rng, rng.randint(0, 80)) for _ in range(120)] + [None, "", "A a", "<|endoftext|> x"] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    scores = {}
+    for bound in (50, 200_000):
+        monkeypatch.setattr(language_model, "TOP_WORDS", bound)
+        scores[bound] = {r.doc_id: r.score for r in language_model.score_documents(docs).collect()}
+    assert scores[50] == pytest.approx(scores[200_000], rel=1e-5)
+
+
 def test_language_model_edge_cases(spark, fewer_steps, edge_docs, edge_rows, no_docs):
     found = language_model.score_documents(edge_docs).collect()
     assert len(found) == len(edge_rows) and all(math.isfinite(r.score) for r in found)
