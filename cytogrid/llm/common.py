@@ -33,6 +33,17 @@ def map_batches(
     return df.mapInArrow(work, schema)
 
 
+def slices(
+    work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], rows: int = BATCH_ROWS
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work`` over pieces of the batches that arrive, whatever the session's batch size is."""
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return work(b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows))
+
+    return sliced
+
+
 def fold(column: str, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; a null id counts as fold 0."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % parts, F.lit(0))
