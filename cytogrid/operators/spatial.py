@@ -1,23 +1,14 @@
-"""Neighbour searches inside regions, as equi-joins over a grid."""
+"""Densities by an equi-join over a grid, edges between nearest neighbours, and neighbourhoods."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import squared_distance
-from ..functions.ranking import largest_group
-from ..functions.skew import attach
-from ..session import cut_lineage, spread_out
-
-MAX_ROUNDS = 64
-SMALL_GROUP = 4096
-STRIP = 512
+from .nearest import nearest_neighbors
 
 
 def _tile(c: Column, side: Column) -> Column:
@@ -60,143 +51,6 @@ def radius_counts(cells: DataFrame, radius: float = 70.0) -> DataFrame:
     )
 
 
-def nearest_neighbors(
-    points: DataFrame,
-    coords: Sequence[str],
-    k: int,
-    group: str = "region_id",
-    key: str = "cell_id",
-    grid_dims: int = 2,
-    small_group: int = SMALL_GROUP,
-) -> DataFrame:
-    """The ``k`` nearest other points of each point's group, ties by key.
-
-    Returns ``group, key, neighbor, distance, rank``. Points of groups with too few
-    members keep what there is. Groups of at most ``small_group`` points, by their
-    counted size, are compared inside one task each; otherwise a grid narrows the
-    search and no task sees a whole group.
-    """
-    known = points
-    for c in coords:
-        known = known.where(F.col(c).isNotNull())
-    known = known.select(group, key, *coords)
-    if largest_group(known, [group]) <= small_group:
-        return _nearest_in_group(known, list(coords), k, group, key)
-    return _nearest_by_grid(known, list(coords), k, group, key, grid_dims)
-
-
-def _nearest_in_group(
-    known: DataFrame, coords: list[str], k: int, group: str, key: str
-) -> DataFrame:
-    types = dict(known.dtypes)
-
-    def search(members: pd.DataFrame) -> pd.DataFrame:
-        members = members.sort_values(key)
-        ids, at = members[key].to_numpy(), members[coords].to_numpy(dtype=float)
-        want = min(k, len(ids) - 1)
-        found = []
-        for low in range(0, len(ids) if want else 0, STRIP):
-            mine = np.arange(low, min(low + STRIP, len(ids)))
-            squares = np.zeros((len(mine), len(ids)))
-            for d in range(at.shape[1]):
-                squares += np.square(at[mine, d, None] - at[None, :, d])
-            squares[np.arange(len(mine)), mine] = np.inf
-            reach = np.partition(squares, want - 1, axis=1)[:, want - 1]
-            row, other = np.nonzero(squares <= reach[:, None])
-            square = squares[row, other]  # two squares may share a root
-            order = np.lexsort((other, square, row))
-            row, other, length = row[order], other[order], np.sqrt(square[order])
-            rank = np.arange(len(row)) - np.searchsorted(row, row) + 1
-            keep = rank <= want
-            found.append(pd.DataFrame({
-                key: ids[mine[row[keep]]], "neighbor": ids[other[keep]],
-                "distance": length[keep], "rank": rank[keep].astype(np.int32),
-            }))
-        empty = pd.DataFrame({key: [], "neighbor": [], "distance": [], "rank": []})
-        return pd.concat(found or [empty]).assign(**{group: members[group].iat[0]})
-
-    return spread_out(known, group).groupBy(group).applyInPandas(
-        search,
-        f"{group} {types[group]}, {key} {types[key]}, neighbor {types[key]}, distance double, rank int",
-    )
-
-
-def _nearest_by_grid(
-    known: DataFrame, coords: list[str], k: int, group: str, key: str, grid_dims: int
-) -> DataFrame:
-    """The first ``grid_dims`` coordinates lay out a grid whose tile side is set per
-    group so that a handful of points is expected within one side. A point with ``k``
-    hits within one side is settled, because anything nearer lies in the adjacent
-    tiles; the others go on with twice the side. Of the copies at one position only
-    the first ``k + 1`` can be anyone's neighbour, so no more are searched.
-    """
-    dims = len(coords)
-    grid = coords[: min(grid_dims, dims)]
-    ball = math.pi ** (dims / 2) / math.gamma(dims / 2 + 1)
-    spans = known.groupBy(group).agg(
-        F.count(F.lit(1)).alias("_n"),
-        *[(F.max(c) - F.min(c)).alias(f"_span{i}") for i, c in enumerate(coords)],
-    )
-    widest = F.greatest(*[F.col(f"_span{i}") for i in range(dims)], F.lit(0.0))
-    log_volume = F.lit(0.0)
-    for i in range(dims):
-        # A flat axis counts as a thousandth of the widest one.
-        log_volume = log_volume + F.log(F.greatest(F.col(f"_span{i}"), widest / 1000.0))
-    side = F.exp((log_volume + F.log(F.lit(3.0 * k / ball) / F.col("_n"))) / dims)
-    sides = spans.select(
-        group,
-        F.least(F.lit(k).cast("long"), F.col("_n") - 1).alias("_want"),
-        F.when(widest > 0, F.least(side, widest)).otherwise(F.lit(1.0)).alias("_side"),
-    )
-
-    def attach_side(rows: DataFrame) -> DataFrame:
-        return attach(rows, sides, [group], [key])
-
-    by_place = Window.partitionBy(group, *coords).orderBy(key)
-    searched = cut_lineage(
-        attach_side(known)
-        .withColumn("_copy", F.row_number().over(by_place))
-        .withColumn("_probe", F.col("_want") > 0)
-    )
-    candidates = searched.where(F.col("_copy") <= k + 1).select(
-        group, F.col(key).alias("neighbor"), "_side", *[F.col(c).alias(f"_n_{c}") for c in coords]
-    )
-    open_points = searched.where("_probe").drop("_copy", "_probe")
-    found = None
-    factor = 1.0
-    for _ in range(MAX_ROUNDS):
-        scaled = F.col("_side") * factor
-        probes = open_points
-        targets = candidates
-        for i, c in enumerate(grid):
-            probes = probes.withColumn(f"_t{i}", _tile(F.col(c), scaled))
-            targets = targets.withColumn(f"_t{i}", _around(F.col(f"_n_{c}"), scaled))
-        reach = F.col("_side") * factor
-        squared = squared_distance(
-            [F.col(c) for c in coords], [F.col(f"_n_{c}") for c in coords]
-        )
-        nearest = Window.partitionBy(group, key).orderBy("_square", "neighbor")
-        hits = (
-            probes.join(targets.drop("_side"), [group, *[f"_t{i}" for i in range(len(grid))]])
-            .where((F.col("neighbor") != F.col(key)) & (squared <= reach * reach))
-            .select(group, key, "_want", "neighbor", squared.alias("_square"))
-            .withColumn("rank", F.row_number().over(nearest))
-            .where(F.col("rank") <= k)
-            .withColumn("_hits", F.count(F.lit(1)).over(Window.partitionBy(group, key)))
-            .where(F.col("_hits") >= F.col("_want"))
-            .select(group, key, "neighbor", F.sqrt("_square").alias("distance"), "rank")
-        )
-        hits = cut_lineage(hits)
-        found = hits if found is None else found.unionByName(hits)
-        open_points = cut_lineage(
-            open_points.join(hits.where("rank = 1").select(group, key), [group, key], "left_anti")
-        )
-        if open_points.isEmpty():
-            return found
-        factor *= 2.0
-    raise RuntimeError("neighbour search did not settle")
-
-
 def mean_neighbor_distance(cells: DataFrame, k: int = 3) -> DataFrame:
     """Mean distance to the ``k`` nearest cells; NULL where a region has fewer others."""
     near = nearest_neighbors(cells, ["x", "y"], k)

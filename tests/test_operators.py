@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from cytogrid.operators import (
-    agents, community, describe, evaluate, features, filters, graph, images, morphology, mosaic, spatial, windows,
+    agents, community, describe, evaluate, features, filters, graph, images, morphology, mosaic, nearest, spatial, windows,
 )
+from cytogrid.plans import workflow
 
 CELLS = "region_id string, cell_id long, x double, y double"
 
@@ -136,19 +137,48 @@ def brute_nearest(at, k):
     return {(i, int(j), r + 1) for i in range(len(at)) for r, j in enumerate(order[i])}
 
 
-@pytest.mark.parametrize("small_group", [0, 10**6])
-def test_nearest_neighbors(spark, small_group):
+@pytest.mark.parametrize("ball, askers", [(2048, 8192), (6, 8192), (6, 4)])
+def test_nearest_neighbors(spark, monkeypatch, ball, askers):
+    monkeypatch.setattr(nearest, "BALL", ball)
+    monkeypatch.setattr(nearest, "ASKERS", askers)
     rng = np.random.default_rng(4)
     at = np.vstack([rng.uniform(0, 100, (60, 2)), [[50.0, 50.0]] * 12, [[900.0, 900.0]]])
-    got = spatial.nearest_neighbors(make_cells(spark, at), ["x", "y"], 3, small_group=small_group)
+    got = spatial.nearest_neighbors(make_cells(spark, at), ["x", "y"], 3)
     assert {(r.cell_id, r.neighbor, r.rank) for r in got.collect()} == brute_nearest(at, 3)
 
 
-@pytest.mark.parametrize("small_group", [0, 10**6])
-def test_nearest_neighbors_of_small_regions(spark, small_group):
+@pytest.mark.parametrize("dims, ball", [(4, 40), (30, 25)])
+def test_nearest_neighbors_in_many_dimensions(spark, monkeypatch, dims, ball):
+    monkeypatch.setattr(nearest, "BALL", ball)
+    at = np.random.default_rng(dims).normal(size=(400, dims)).round(2)
+    rows = [("r", i, *map(float, v)) for i, v in enumerate(at)]
+    names = [f"m{i}" for i in range(dims)]
+    points = spark.createDataFrame(rows, "region_id string, cell_id long, " + ", ".join(f"{c} double" for c in names))
+    got = nearest.nearest_neighbors(points, names, 4)
+    assert {(r.cell_id, r.neighbor, r.rank) for r in got.collect()} == brute_nearest(at, 4)
+
+
+def test_panels_are_compared_over_their_own_markers(spark):
+    """Two studies share one marker; each has one of its own, and no region has the third."""
+    rng = np.random.default_rng(8)
+    at = rng.normal(size=(60, 2))
+    rows = [("1_a", i, float(u), float(v), None, None) for i, (u, v) in enumerate(at[:30])]
+    rows += [("2_a", i, float(u), None, float(v), None) for i, (u, v) in enumerate(at[30:])]
+    rows += [("2_a", 30, 0.0, None, None, None)]  # lacks a marker of its panel
+    points = spark.createDataFrame(
+        [(*r[:2], float(r[1]), 0.0, *r[2:]) for r in rows],
+        "region_id string, cell_id long, x double, y double, `CD3/e` double, B double, C double, D double")
+    edges = workflow.build_graph(points, ["CD3/e", "B", "C", "D"], feature_knn=2).where("kind = 'feature'")
+    found = {(r.region_id, r.src, r.dst) for r in edges.collect()}
+    for region, part in (("1_a", at[:30]), ("2_a", at[30:])):
+        near = {(a, b) for a, b, _ in brute_nearest(part, 2)}
+        assert {e[1:] for e in found if e[0] == region} == near | {(b, a) for a, b in near}
+
+
+def test_nearest_neighbors_of_small_regions(spark):
     cells = make_cells(spark, [(0, 0)], "one").unionByName(make_cells(spark, [(0, 0), (3, 4)], "two")).unionByName(
         make_cells(spark, [(1, 1)] * 4, "same"))
-    got = spatial.nearest_neighbors(cells, ["x", "y"], 3, small_group=small_group)
+    got = spatial.nearest_neighbors(cells, ["x", "y"], 3)
     counts = {r.region_id: r["count"] for r in got.groupBy("region_id").count().collect()}
     assert counts == {"two": 2, "same": 12}
     means = spatial.mean_neighbor_distance(cells, 3).collect()
