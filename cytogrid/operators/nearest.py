@@ -20,6 +20,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions.skew import attach
 from ..session import cut_lineage, spread_out
@@ -68,9 +70,7 @@ def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
 
 
 def _empty(schema: str) -> pa.Table:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
+    """No rows of the schema; made on the driver, where its types can be parsed."""
     return to_arrow_schema(StructType.fromDDL(schema)).empty_table()
 
 
@@ -89,6 +89,7 @@ def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _in_balls(known: DataFrame, pivots: DataFrame, group: str, key: str, types: dict[str, str]) -> DataFrame:
     """Adds the nearest pivot (``_ball``) and the distance to it (``_away``), some points of a group at a time."""
     placed = f"{group} {types[group]}, {key} {types[key]}, _v array<double>, _ball int, _away double"
+    nothing = _empty(placed)
     chunks = F.ceil(F.col("_n") / CHUNK)
     points = known.withColumn("_chunk", F.pmod(F.xxhash64(key), chunks))
     counted = known.groupBy(group).agg(F.ceil(F.first("_n") / CHUNK).alias("_chunks"))  # alike in a group
@@ -98,7 +99,7 @@ def _in_balls(known: DataFrame, pivots: DataFrame, group: str, key: str, types:
 
     def place(mine: pa.Table, theirs: pa.Table) -> pa.Table:
         if not len(mine):  # no key of the group falls into this chunk
-            return _empty(placed)
+            return nothing
         middle, at = _matrix(pc.list_flatten(theirs["_pivots"])), _matrix(mine["_v"])
         balls, away = np.zeros(len(at), np.int32), np.zeros(len(at))
         step = max(1, CELLS // max(len(middle), 1))
@@ -162,8 +163,10 @@ def _cogrouped(left: DataFrame, right: DataFrame, group: str, work, schema: str)
     by = [group, "_ball", "_block"]
     right = right.toDF(*[f"{c}_" for c in right.columns]).toDF(*right.columns)  # both sides stem from one table
 
+    nothing = _empty(schema)
+
     def each(mine: pa.Table, theirs: pa.Table) -> pa.Table:
-        return work(mine, theirs) if len(mine) else _empty(schema)
+        return work(mine, theirs) if len(mine) else nothing
 
     return spread_out(left, *by).groupBy(*by).cogroup(spread_out(right, *by).groupBy(*by)).applyInArrow(each, schema)
 
