@@ -63,12 +63,12 @@ def load_tables(spark: SparkSession, args: argparse.Namespace) -> StudyTables:
     expression = functools.reduce(DataFrame.unionByName, parts)
     biomarkers = sorted({m for study in of_study for m in panels[study]})
     ids = sorted(i for part in of_study.values() for i in part)
-    tiles = chunked_images.read_tiles(spark, args.root_dir)
+    masks = chunked_images.read_tiles(spark, args.root_dir, ids, [chunked_images.MASK])
     return StudyTables(
         cells=tables.read_cells(spark, args.root_dir, args.layout, ids),
         types=tables.read_cell_types(spark, args.root_dir, args.layout, ids),
         expression=arcsinh_normalize(expression),
-        shapes=cell_morphology(chosen(chunked_images.mask_pixels(tiles)))
+        shapes=cell_morphology(chunked_images.mask_pixels(masks))
         .drop("major_axis", "minor_axis")
         .withColumnsRenamed(SHAPES),
         studies=studies,

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import images, morphology
+from ..session import scratch_path
+from ..sources import chunked_images
 from . import bindings as b
 from .registry import query, rounded, with_parts
 
@@ -141,6 +143,15 @@ def rgb_composite(spark, sf_dir):
     return rounded(mixed, "red", "green", "blue")
 
 
+@query(with_parts(PIXELS, CANVAS, select="""
+SELECT region_id, channel, row::BIGINT AS row, col::BIGINT AS col, value FROM canvas WHERE channel = 'lit'"""))
+def scan_image(spark, sf_dir):
+    """Images written as chunk files, then one channel of every region read from these."""
+    root = scratch_path(spark, "images")
+    chunked_images.write_image(canvas(spark, sf_dir), root, chunk=(32, 48), fill=-1.0)
+    return chunked_images.to_pixels(chunked_images.channel_tiles(chunked_images.read_tiles(spark, root, channels=["lit"])))
+
+
 MASK = (PIXELS, """
 mask AS (SELECT channel AS region_id, tile_id + 1 AS label, row, col FROM pixels WHERE value > 0)""")
 
@@ -222,3 +233,20 @@ def morphology_from_mask(spark, sf_dir):
     found = morphology.shape_features(mask(spark, sf_dir))
     exact = ("region_id", "label", "area", "area_convex", "area_filled")
     return rounded(found, *[c for c in found.columns if c not in exact])
+
+
+@query(with_parts(*MASK, MOMENTS, ELLIPSE, PERIMETER, HULL, FILLED, select=SHAPES, recursive=True))
+def morphology_from_files(spark, sf_dir):
+    """Shapes of masks written as chunk files, 32 tiles side by side; chunks cut through the objects."""
+    placed = mask(spark, sf_dir).selectExpr(
+        "concat('m', region_id) AS region_id", "'seg_mask' AS channel", "(label - 1) div 32 * 8 + row AS row",
+        "(label - 1) % 32 * 8 + col AS col", "CAST(label AS DOUBLE) AS value")
+    root = scratch_path(spark, "masks")
+    chunked_images.write_image(placed, root, chunk=(60, 100), dtype="<i4", separator="/")
+    tiles = chunked_images.read_tiles(spark, root, channels=[chunked_images.MASK])
+    found = morphology.shape_features(chunked_images.mask_pixels(tiles)).withColumns({
+        "region_id": F.expr("CAST(substr(region_id, 2) AS INT)"),
+        "centroid_x": F.expr("centroid_x - (label - 1) div 32 * 8"),
+        "centroid_y": F.expr("centroid_y - (label - 1) % 32 * 8")})
+    exact = ("region_id", "label", "area", "area_convex", "area_filled")
+    return rounded(found, *[c for c in found.columns if c not in exact])

@@ -35,6 +35,7 @@ TILES = T.StructType(
         T.StructField("height", T.IntegerType()),
         T.StructField("width", T.IntegerType()),
         T.StructField("pixels", T.ArrayType(T.DoubleType())),
+        T.StructField("stored", T.BooleanType()),
         T.StructField("error", T.StringType()),
     ]
 )

@@ -24,6 +24,7 @@ def local_session(cores: int = 8, app: str = "cytogrid") -> SparkSession:
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.python.filterPushdown.enabled", "true")
         .getOrCreate()
     )
 

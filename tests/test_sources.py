@@ -1,16 +1,18 @@
 import json
+import struct
 import zlib
 
 import numpy as np
 import pytest
 import yaml
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, In
 
 from cytogrid.operators.features import arcsinh_normalize
 from cytogrid.operators.morphology import cell_morphology
 from cytogrid.plans.workflow import StudyTables, Workflow
 from cytogrid.session import cut_lineage, shared_dir
-from cytogrid.sources import chunked_images, metadata, tables
+from cytogrid.sources import blosc, chunked_images, metadata, tables
 
 
 def write_array(folder, values, chunk, compress=True):
@@ -56,6 +58,116 @@ def test_tiles_and_mask(spark, image_root):
     assert (shape.region_id, shape.cell_id, shape.area) == ("s1_a", 4, 10)
 
 
+@pytest.mark.parametrize("codec", ["lz4_raw", "zlib", "zstd", "snappy"])
+@pytest.mark.parametrize("split", [True, False])
+@pytest.mark.parametrize("size", [0, 8, 1000, 1003, 70_001])
+def test_frames_round_trip(codec, split, size):
+    data = (np.arange(size) * 7 % 251 // 5).astype("u1").tobytes()
+    for width in (1, 2, 8):
+        assert blosc.unpack(blosc.pack(data, width, codec, block_size=4096, split=split)) == data
+
+
+def test_frames_by_hand():
+    """A stored frame, and a block of two streams of which one is not compressed."""
+    head = lambda flags, width, total, block, size: struct.pack("<BBBBiii", 2, 1, flags, width, total, block, size)
+    assert blosc.unpack(head(0x02, 1, 5, 5, 21) + b"abcde") == b"abcde"
+    low, high = bytes(range(128)), zlib.compress(b"\1" * 128)
+    body = struct.pack("<i", 20) + struct.pack("<i", 128) + low + struct.pack("<i", len(high)) + high
+    frame = head(0x01 | 3 << 5, 2, 256, 256, 16 + len(body)) + body
+    assert np.frombuffer(blosc.unpack(frame), "<u2").tolist() == [256 + i for i in range(128)]
+    with pytest.raises(ValueError, match="bit-shuffled"):
+        blosc.unpack(head(0x04 | 1 << 5, 2, 4, 4, 30) + b"\0" * 14)
+
+
+def header_of(folder, **changes):
+    meta = json.loads((folder / ".zarray").read_text()) | changes
+    (folder / ".zarray").write_text(json.dumps(meta))
+
+
+def test_absent_chunks_separators_and_filters(spark, tmp_path):
+    values = np.arange(35, dtype="<i4").reshape(5, 7) * 3
+    for name in ("gaps", "first_gone", "delta", "scaled", "odd", "none"):
+        write_array(tmp_path / "r" / name, values, (3, 4))
+    header_of(tmp_path / "r" / "gaps", fill_value=-5)
+    (tmp_path / "r" / "gaps" / "1.0").unlink()
+    (tmp_path / "r" / "first_gone" / "0.0").unlink()
+    (tmp_path / "r" / "none" / ".zarray").unlink()
+    header_of(tmp_path / "r" / "odd", filters=[{"id": "quantize"}])
+    chunk = np.zeros((3, 4), "<i4")
+    chunk[:] = values[:3, :4]
+    steps = np.diff(chunk.ravel(), prepend=0).astype("<i2")
+    (tmp_path / "r" / "delta" / "0.0").write_bytes(zlib.compress(steps.tobytes()))
+    header_of(tmp_path / "r" / "delta", shape=[3, 4], filters=[{"id": "delta", "dtype": "<i4", "astype": "<i2"}])
+    small = (chunk - 1) * 2
+    (tmp_path / "r" / "scaled" / "0.0").write_bytes(zlib.compress(small.astype("<i2").tobytes()))
+    header_of(tmp_path / "r" / "scaled", shape=[3, 4], dtype="<f8",
+              filters=[{"id": "fixedscaleoffset", "scale": 2, "offset": 1, "dtype": "<f8", "astype": "<i2"}])
+    nested = tmp_path / "r" / "nested"
+    write_array(nested, values, (3, 4))
+    header_of(nested, dimension_separator="/")
+    for path in list(nested.glob("[0-9].[0-9]")):
+        (nested / path.name[0]).mkdir(exist_ok=True)
+        path.rename(nested / path.name[0] / path.name[2])
+    tiles = chunked_images.read_tiles(spark, str(tmp_path))
+    found = {}
+    for r in chunked_images.to_pixels(chunked_images.channel_tiles(tiles)).collect():
+        found.setdefault(r.channel, {})[r.row, r.col] = r.value
+    assert found.keys() == {"gaps", "delta", "scaled", "nested"}
+    for name, shape in (("gaps", (5, 7)), ("delta", (3, 4)), ("scaled", (3, 4)), ("nested", (5, 7))):
+        want = values[: shape[0], : shape[1]].astype(float)
+        if name == "gaps":
+            want[3:, :4] = -5
+        assert found[name] == dict(np.ndenumerate(want))
+    problems = {r.channel: r.error for r in chunked_images.unreadable(tiles).collect()}
+    assert problems.keys() == {"odd", "none"} and "quantize" in problems["odd"] and "no array header" in problems["none"]
+
+
+def test_choosing_the_mask_opens_no_other_array(spark, image_root, monkeypatch):
+    root, mask = image_root
+    opened = []
+    read_header = chunked_images.ImageReader.read_header
+
+    def counting(self, region, channel):
+        opened.append((region, channel))
+        return read_header(self, region, channel)
+
+    monkeypatch.setattr(chunked_images.ImageReader, "read_header", counting)
+    monkeypatch.setattr(chunked_images, "RUN_PIXELS", 24)
+    reader = chunked_images.ImageReader({"root": str(root), "channels": json.dumps([chunked_images.MASK])})
+    runs = reader.partitions()
+    assert opened == [("s1_a", "seg_mask")] and [(r.start, r.stop) for r in runs] == [(0, 2), (2, 4)]
+    assert sum(b.num_rows for r in runs for b in reader.read(r)) == 4
+    opened.clear()
+    pushing = chunked_images.PushingReader({"root": str(root)})
+    taken = [EqualTo(("channel",), "CD3"), In(("region_id",), ("s1_a", "none"))]
+    rest = EqualTo(("y0",), 0)
+    assert list(pushing.pushFilters([*taken, rest])) == [rest]
+    pushing.partitions()
+    assert opened == [("s1_a", "CD3")]
+
+
+def test_filters_are_pushed(spark, image_root):
+    tiles = chunked_images.read_tiles(spark, str(image_root[0]))
+    one = tiles.where("channel = 'CD3' AND region_id IN ('s1_a', 's1_b')")
+    assert one.count() == 4 and one.rdd.getNumPartitions() == 1
+    assert tiles.where("channel = 'nothing'").count() == 0
+
+
+def test_written_images_come_back(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    values = rng.integers(0, 9, (50, 70)).astype(float)
+    values[:20, :20] = 7  # the fill value: no file, but for the first chunk
+    rows = [("r1", "A", int(i), int(j), float(v)) for (i, j), v in np.ndenumerate(values) if v != 7]
+    pixels = spark.createDataFrame(rows, "region_id string, channel string, row int, col int, value double")
+    for separator in ("./"):
+        root = str(tmp_path / f"out{ord(separator)}")
+        chunked_images.write_image(pixels, root, chunk=(10, 10), dtype="<u2", fill=7, separator=separator)
+        back = chunked_images.to_pixels(chunked_images.channel_tiles(chunked_images.read_tiles(spark, root))).collect()
+        assert {(r.row, r.col): r.value for r in back} == dict(np.ndenumerate(values))
+        files = [p for p in (tmp_path / f"out{ord(separator)}").rglob("*") if p.is_file() and p.name != ".zarray"]
+        assert len(files) == 35 - 3
+
+
 def study(biomarkers, regions):
     return {"study_id": "s1", "root_dir": "/x", "tissue_types": ["Kidney"], "major_phenotypes": "DKD",
             "biomarkers": biomarkers, "functional_biomarkers": [], "selected_acq_ids": regions,
