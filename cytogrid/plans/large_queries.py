@@ -52,10 +52,10 @@ reach(cell_id, seen) AS (
   UNION SELECT e.dst, r.seen FROM reach r JOIN edges e ON e.src = r.cell_id AND e.src_type = e.dst_type)""", select="""
 SELECT CAST(0 AS BIGINT) AS region_id, cell_id, min(seen) AS component FROM reach GROUP BY cell_id""", recursive=True))
 def components_large(spark, sf_dir):
-    """Components of cells of one type, by rounds of joins."""
+    """Components of cells of one type in one large region."""
     cells = b.cells_large(spark, sf_dir).withColumn("cluster", F.col("cell_type"))
     inner = graph.induced_edges(spatial.spatial_edges(cells), cells)
-    return graph.connected_components(cells, inner, small_region=0)
+    return graph.connected_components(cells, inner)
 
 
 @query(with_parts(CELLS, o.EXPRESSION, """

@@ -211,14 +211,16 @@ def two_way(spark, pairs):
     return spark.createDataFrame(rows, "region_id string, src long, dst long")
 
 
-@pytest.mark.parametrize("small_region", [0, 10**6])
-def test_components_of_chain_ring_and_single(spark, small_region):
+@pytest.mark.parametrize("size,growth,links", [(16_384, 64, 10**6), (20, 4, 10**6), (40, 2, 30)])
+def test_components_of_chain_ring_and_single(spark, monkeypatch, size, growth, links):
+    for name, value in (("TILE_NODES", size), ("GROWTH", growth), ("TILE_LINKS", links)):
+        monkeypatch.setattr(graph, name, value)
     rng = np.random.default_rng(8)
     names = rng.permutation(300)
     pairs = [(int(names[i]), int(names[i + 1])) for i in range(149)]
     pairs += [(int(names[i]), int(names[150 + (i - 149) % 100])) for i in range(150, 250)]
     nodes = spark.createDataFrame([("r", i) for i in range(300)], "region_id string, cell_id long")
-    got = graph.connected_components(nodes, two_way(spark, pairs), small_region).collect()
+    got = graph.connected_components(nodes, two_way(spark, pairs)).collect()
     assert len(got) == 300
     label = {r.cell_id: r.component for r in got}
     groups = [names[:150], names[150:250], *[[n] for n in names[250:]]]
@@ -226,6 +228,30 @@ def test_components_of_chain_ring_and_single(spark, small_region):
         assert {label[int(m)] for m in members} == {int(min(members))}
 
 
+@pytest.mark.parametrize("size", [30, 400])
+def test_components_across_tiles(spark, monkeypatch, size):
+    """Near pairs of scattered points in three regions, one of them a single place; edges may repeat."""
+    monkeypatch.setattr(graph, "TILE_NODES", size)
+    rng = np.random.default_rng(size)
+    at = rng.uniform(0, 20, (700, 2))
+    rows = [("a", i, float(x), float(y)) for i, (x, y) in enumerate(at)] + [("b", i, 1.0, 1.0) for i in range(60)]
+    nodes = spark.createDataFrame([*rows, ("c", 5, 0.0, None)], CELLS)
+    near = ((at[:, None] - at[None]) ** 2).sum(2) < 0.8
+    pairs = [(int(a), int(b)) for a, b in np.argwhere(near) if a < b]
+    edges = two_way(spark, pairs + pairs[:50]).withColumn("region_id", F.lit("a")).unionByName(
+        two_way(spark, [(i, i + 2) for i in range(58)] + [(7, 999)]).withColumn("region_id", F.lit("b")))
+    label = list(range(700))
+    while True:
+        new = label[:]
+        for a, b in pairs:
+            new[a] = new[b] = min(new[a], new[b])
+        if new == label:
+            break
+        label = new
+    want = {("a", i): c for i, c in enumerate(label)} | {("b", i): i % 2 for i in range(60)} | {("c", 5): 5}
+    assert {(r.region_id, r.cell_id): r.component for r in graph.connected_components(nodes, edges).collect()} == want
+
+
 @pytest.mark.parametrize("size,large", [(100, False), (101, True), (700, True)])
 def test_split_components(spark, size, large):
     side = 30
