@@ -166,6 +166,34 @@ def test_language_model_edge_cases(spark, fewer_steps, edge_docs, edge_rows, no_
     assert language_model.score_documents(only_held).count() == 2
 
 
+def test_mixture_of_counts_and_attention_sums_to_one(spark, fewer_steps, monkeypatch):
+    """Behind every prefix of every word, counts give one to all that may follow, and all of it the same weight."""
+    models = []
+    fit = language_model.fit
+    monkeypatch.setattr(language_model, "fit", lambda *a: models.append(fit(*a)) or models[-1])
+    rng = random.Random(14)
+    texts = [prose(rng, rng.randint(20, 90)) for _ in range(60)]
+    language_model.score_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    (model,) = models
+    scorer = language_model.Scorer(model)
+    words = [[], *([w] for w in model.words)]
+    before, starts, targets, seen, share, first, _ = scorer.streams(words)
+    follow, levels = {}, {}
+    for at in range(len(before)):
+        prefix = tuple(before[starts[at] + 1 : at + 1].tolist())  # one word a text: all of it before this place
+        follow.setdefault(prefix, {})[int(targets[at])] = (float(share[at]), bool(first[at]))
+        levels.setdefault(prefix, set()).add(int(language_model.level(seen[at : at + 1])[0]))
+    assert len(follow) > 60 and all(len(found) == 1 and found != {0} for found in levels.values())
+    for prefix, found in follow.items():
+        goes_on = sum(s for s, starts_word in found.values() if not starts_word)
+        end = sum(s for s, starts_word in found.values() if starts_word)
+        if prefix:  # the end of the text takes its part of what is left to all starts of words
+            assert goes_on + end / model.end_share == pytest.approx(1, abs=1e-4) or not end
+        else:
+            assert goes_on + end == pytest.approx(1, abs=1e-4)
+    assert model.mixing[0] == 0 and (model.mixing[1:] > 0).all() and (model.mixing < 1).all()
+
+
 def small_model(subwords=30, seed=2):
     rng = np.random.default_rng(seed)
     weights = attention.initial(subwords, seed)
