@@ -78,3 +78,27 @@ def predicted_labels(reply: Column) -> Column:
     """Labels of all guesses in order, without the unknown ones."""
     items = F.flatten(F.transform(parse_response(reply), parse_guess))
     return F.filter(F.transform(items, guess_to_label), lambda label: label != NO_LABEL)
+
+
+# Scores go from 0 to 100; a score ends its line behind a comma, or follows its own name.
+SCORE_LINE = r",\s*\[?(?:relevance score:?\s*)?(\d{1,3})(?:\s*/\s*100)?\]?\.?\s*$"
+SCORE_NAMED = r"score\D{0,20}(\d{1,3})"
+SCORE_RANGE = r"\(?0\s*(?:-|to)\s*100\)?"
+
+
+def relevance_score(reply: Column) -> Column:
+    """The relevance score a scorer's reply gives, 0 to 100; NULL if there is none.
+
+    It stands at the end of the line with the phenotype, before the numbered evidence; where no such line is
+    found, behind the word "score". Emphasis by asterisks and the range 0-100 are ignored.
+    """
+    plain = F.regexp_replace(F.replace(F.lower(reply), F.lit("*"), F.lit("")), SCORE_RANGE, "")
+    lines = F.split(plain, "\n")
+    evidence = F.transform(lines, lambda line: F.rlike(line, F.lit(r"^\s*1\.")))
+    ahead = F.array_position(evidence, F.lit(True)).cast("int") - 1
+    head = F.when(ahead >= 0, F.slice(lines, 1, ahead)).otherwise(lines)
+    found = F.transform(head, lambda line: F.regexp_extract(line, SCORE_LINE, 1))
+    at_end = F.get(F.filter(found, lambda score: score != ""), F.lit(0))
+    named = F.nullif(F.regexp_extract(F.array_join(lines, "\n"), SCORE_NAMED, 1), F.lit(""))
+    score = F.coalesce(at_end, named).cast("int")
+    return F.when(score <= 100, score)

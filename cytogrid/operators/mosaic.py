@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import logging
 from collections.abc import Sequence
 
 import numpy as np
@@ -19,8 +18,6 @@ from ..functions.ranking import (
 from ..functions.skew import attach
 from ..session import cut_lineage, spread_out
 
-log = logging.getLogger(__name__)
-
 BLOCK_ROWS = 1024
 HISTOGRAM_BINS = 4096
 # Weights of the feature blocks.
@@ -236,7 +233,7 @@ def grouped_kmeans(
     key: Sequence[str],
     vector: str,
     k: int,
-    iterations: int = 10,
+    iterations: int = 500,
     seed: int = 123,
     name: str = "cluster",
 ) -> DataFrame:
@@ -244,8 +241,11 @@ def grouped_kmeans(
 
     A group's ``k`` centres travel as one row; points are spread over tasks, and new
     centres are partial sums. Groups with fewer than ``k`` points get fewer clusters.
+    It goes on until no centre moves; a group that has settled is left alone from then on.
+    More than ``iterations`` turns raise.
     """
-    dims = points.select(F.size(vector)).first()[0]
+    head = points.select(F.size(vector)).first()
+    dims = head[0] if head else 0
     groups, key = list(groups), list(key)
     draw = Window.partitionBy(*groups).orderBy(
         draw_order(seed, *[F.col(c) for c in [*groups, *key]]), *key
@@ -268,25 +268,22 @@ def grouped_kmeans(
             name, near["label"]
         )
 
-    centers = cut_lineage(packed(start))
+    state = cut_lineage(packed(start).withColumn("_moved", F.lit(True)))
     for _ in range(iterations):
-        means = assign(centers).groupBy(*groups, name).agg(
+        moving = state.where("_moved").drop("_moved")
+        if moving.isEmpty():
+            return assign(state.drop("_moved")).drop("_centers")
+        means = assign(moving).groupBy(*groups, name).agg(
             *[F.round(F.avg(c), 9).alias(f"_c{i}") for i, c in enumerate(coordinates)]
         )
         fresh = means.select(
             *groups, F.col(name).alias("_label"),
             F.array(*[f"_c{i}" for i in range(dims)]).alias("center"),
         )
-        moved = cut_lineage(
-            packed(fresh).join(centers.withColumnRenamed("_centers", "_old"), groups)
-            .withColumn("_moved", F.col("_centers") != F.col("_old")).drop("_old")
-        )
-        centers = moved.drop("_moved")
-        if moved.where("_moved").isEmpty():
-            break
-    else:
-        log.warning("k-means did not settle in %d iterations", iterations)
-    return assign(centers).drop("_centers")
+        moved = packed(fresh).join(moving.withColumnRenamed("_centers", "_old"), groups)
+        moved = moved.withColumn("_moved", F.col("_centers") != F.col("_old")).drop("_old")
+        state = cut_lineage(state.where("NOT _moved").unionByName(moved))
+    raise RuntimeError(f"k-means did not settle in {iterations} turns")
 
 
 def cluster_medians(points: DataFrame, groups: Sequence[str], vector: str = "features") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.prompts import format_prompt, load_prompts, transcript
-from ..functions.replies import CLASSES, guess_to_label, parse_guess, parse_response
+from ..functions.replies import CLASSES, guess_to_label, parse_guess, parse_response, relevance_score
 from ..operators import agents, evaluate
 from . import bindings as b
 from .registry import query, rounded, with_parts
@@ -243,3 +243,29 @@ def pathology_dialogue(spark, sf_dir):
     values = {k: F.expr(v) for k, v in PATHOLOGY_VALUES.items()}
     values |= {"user_input": F.col("user_input"), "ai_output": F.col("ai_output")}
     return rows.select("conv_id", "turn", transcript(agents.pathology_dialogue(values)).alias("dialogue"))
+
+
+@query(with_parts("""
+scored AS (
+  SELECT p_partkey AS reply_id, lower(replace(CASE p_partkey % 5
+    WHEN 0 THEN '**Phenotype-driven interpretation**:' || chr(10) || '   ' || p_name || ', **' || p_size * 3 || '**' || chr(10)
+                || '   1. ' || p_type || ', 12'
+    WHEN 1 THEN p_name || ', [' || p_size || '/100]' || chr(10) || '1. ' || p_brand
+    WHEN 2 THEN p_type || chr(10) || 'Relevance Score: ' || p_size || chr(10) || '1. x, 7'
+    WHEN 3 THEN p_type || chr(10) || '1. ' || p_brand || ', 5' END, '*', '')) AS reply FROM part)""", r"""
+found AS (
+  SELECT reply_id,
+    regexp_extract(regexp_replace(reply, '(?s)\n\s*1\..*', ''), '(?m),\s*\[?(\d{1,3})(?:/100)?\]?\s*$', 1) AS at_end,
+    regexp_extract(reply, 'score\D{0,20}(\d{1,3})', 1) AS named FROM scored),
+numbers AS (
+  SELECT reply_id, CAST(coalesce(nullif(at_end, ''), nullif(named, '')) AS INT) AS score FROM found)""", select="""
+SELECT reply_id, CASE WHEN score <= 100 THEN score END AS score FROM numbers"""))
+def pathology_score(spark, sf_dir):
+    """Relevance scores read from scorers' replies of several forms."""
+    reply = F.expr(r"""CASE p_partkey % 5
+      WHEN 0 THEN concat('**Phenotype-driven interpretation**:\n   ', p_name, ', **', p_size * 3, '**\n   1. ', p_type, ', 12')
+      WHEN 1 THEN concat(p_name, ', [', p_size, '/100]\n1. ', p_brand)
+      WHEN 2 THEN concat(p_type, '\nRelevance Score: ', p_size, '\n1. x, 7')
+      WHEN 3 THEN concat(p_type, '\n1. ', p_brand, ', 5') END""")
+    return b.table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("reply_id"), relevance_score(reply).alias("score"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.prompts import transcript
+from ..functions.replies import relevance_score
 from ..functions.skew import attach
 from ..operators import agents, community, describe, filters, graph, spatial, windows
 from ..session import cut_lineage
@@ -176,20 +177,16 @@ class Workflow:
         return self._stage("clusters", lambda: community.resolution_sweep(prepared, edges))
 
     def subsets(self, prepared: DataFrame, edges: DataFrame, clusters: DataFrame) -> DataFrame:
-        """Members and texts of the sampled groups; regions encoded before are kept."""
-        done = self.store.load("subset_texts")
-        if done is not None:
-            fresh = clusters.join(done.select("region_id").distinct(), "region_id", "left_anti")
-        else:
-            fresh = clusters
-        fresh = cut_lineage(fresh)
+        """Members and texts of the sampled groups; regions encoded before, with or without samples, are kept."""
+        done = self.store.load("subset_regions")
+        fresh = cut_lineage(clusters if done is None else clusters.join(done, "region_id", "left_anti"))
         if not fresh.isEmpty():
             samples = cut_lineage(graph.cluster_samples(fresh, edges.where("kind = 'spatial'")))
             targets = samples.join(prepared.drop("cluster"), ["region_id", "cell_id"])
             regions = fresh.select("region_id").distinct()
             cells = prepared.join(regions, "region_id", "left_semi")
-            self.store.save(samples, "subset_cells", "append")
-            self.store.save(encode(cells, targets, SAMPLE, self.tables.biomarkers), "subset_texts", "append")
+            texts = encode(cells, targets, SAMPLE, self.tables.biomarkers)
+            self.store.commit({"subset_cells": samples, "subset_texts": texts, "subset_regions": regions}, "append")
         return self.store.load("subset_texts")
 
     def _with_context(self, rows: DataFrame, context: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -236,7 +233,8 @@ class Workflow:
             "phenotype_desc": F.col("context"),
         }
         todo = rows.select(*SAMPLE, agents.pathology_dialogue(values).alias("dialogue"))
-        return self._answer("pathology", todo, SAMPLE)
+        scored = self._answer("pathology", todo, SAMPLE)
+        return scored.withColumn("score", relevance_score(F.col("reply")))
 
     def run(self) -> dict[str, DataFrame]:
         context = self.context()

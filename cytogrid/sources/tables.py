@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+import uuid
+from collections.abc import Mapping, Sequence
 
-from pyspark.errors import AnalysisException
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +14,9 @@ from pyspark.sql import types as T
 from ..operators.features import to_long
 from ..schema import CELL_TYPES, CELLS
 from ..session import scratch_path
+from .chunked_images import file_system
+
+COMMITS = "_commits"
 
 # Two layouts hold the same table: <root>/<region>/<region>.<kind>.csv as measured,
 # and <root>/<kind>/region_id=<region>/*.csv as Spark writes it.
@@ -128,7 +133,11 @@ def export_native(df: DataFrame, kind: str, root: str | None = None) -> str:
 
 
 class StageStore:
-    """Stage results as Parquet tables below one folder."""
+    """Stage results as Parquet tables below one folder, added by commits.
+
+    Every save writes to a folder of its own; a small manifest, written last, makes all tables of
+    the save visible at once. What a run that broke off has written without one is never read.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
@@ -142,13 +151,40 @@ class StageStore:
         return f"{self.folder}/{stage}"
 
     def save(self, df: DataFrame, stage: str, mode: str = "overwrite") -> None:
-        df.write.mode(mode).parquet(self.path(stage))
+        self.commit({stage: df}, mode)
+
+    def commit(self, tables: Mapping[str, DataFrame], mode: str = "overwrite") -> None:
+        """Save several tables, all of them or none; ``append`` adds to what the stages hold."""
+        name = uuid.uuid4().hex
+        for stage, df in tables.items():
+            df.write.parquet(f"{self.path(stage)}/{name}")
+        self._publish(name, {
+            "append": mode == "append", "tables": {stage: df.schema.json() for stage, df in tables.items()}})
+
+    def _publish(self, name: str, manifest: dict) -> None:
+        files, folder = file_system(f"{self.folder}/{COMMITS}")
+        files.create_dir(folder)
+        number = len(self._commits()) + 1
+        with files.open_output_stream(f"{folder}/{name}.draft") as stream:
+            stream.write(json.dumps(manifest).encode("utf-8"))
+        files.move(f"{folder}/{name}.draft", f"{folder}/{number:08d}-{name}.json")
+
+    def _commits(self) -> list[tuple[str, dict]]:
+        """Names and manifests of all commits in order; one driver writes to a store at a time."""
+        files, folder = file_system(f"{self.folder}/{COMMITS}")
+        listed = files.get_file_info(pyarrow.fs.FileSelector(folder, allow_not_found=True))
+        found = []
+        for info in sorted((f for f in listed if f.base_name.endswith(".json")), key=lambda f: f.base_name):
+            with files.open_input_stream(info.path) as stream:
+                found.append((info.base_name[9:-5], json.loads(stream.read())))
+        return found
 
     def load(self, stage: str) -> DataFrame | None:
-        """The stage's table, or ``None`` if it was never saved."""
-        try:
-            return self.spark.read.parquet(self.path(stage))
-        except AnalysisException as missing:
-            if missing.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                return None
-            raise
+        """The stage's rows, or ``None`` if it was never saved."""
+        paths: list[str] = []
+        schema = None
+        for name, manifest in self._commits():
+            if stage in manifest["tables"]:
+                schema = T.StructType.fromJson(json.loads(manifest["tables"][stage]))
+                paths = [*(paths if manifest["append"] else []), f"{self.path(stage)}/{name}"]
+        return None if schema is None else self.spark.read.schema(schema).parquet(*paths)

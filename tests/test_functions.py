@@ -149,3 +149,13 @@ def test_prompt_variables(spark):
 def test_prompt_files_declare_their_variables():
     for agent in ("context_curator", "omics_annotator", "omics_annotator_aggregate", "pathology_scorer"):
         assert prompts.load_prompts(agent)
+
+
+def test_relevance_scores(spark):
+    given = {
+        "**Phenotype-driven interpretation**:\n   DKD, **85**\n   1. evidence, 12": 85, "DKD 2A, 100/100.": 100, "x, 101": None,
+        "x, relevance score: 40": 40, "Relevance Score (0-100): 85": 85, "Relevance Score (0-100)": None, "score of\nrelevance is 7": 7, "1. a, 5\nb, 9": None, "": None, None: None,
+    }
+    frame = spark.createDataFrame([(r,) for r in given], "reply string")
+    found = {r.reply: r.score for r in frame.select("reply", replies.relevance_score(F.col("reply")).alias("score")).collect()}
+    assert found == given

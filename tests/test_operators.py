@@ -359,6 +359,22 @@ def test_kmeans_separates_groups(spark):
     for _, part in got.groupby("region_id"):
         assert part[part.k < 50].cluster.nunique() == 1 and part[part.k >= 50].cluster.nunique() == 1
         assert part.cluster.nunique() == 2
+    none = mosaic.grouped_kmeans(df.where("false"), ["region_id"], ["k"], "v", 2)
+    assert none.count() == 0 and "cluster" in none.columns
+
+
+def test_kmeans_ends_with_every_point_at_its_nearest_centre(spark):
+    rng = np.random.default_rng(12)
+    rows = [(g, i, rng.uniform(0, 1, 2).tolist()) for g in "abc" for i in range({"a": 300, "b": 90, "c": 3}[g])]
+    df = spark.createDataFrame(rows, "region_id string, k long, v array<double>")
+    for _, part in mosaic.grouped_kmeans(df, ["region_id"], ["k"], "v", 5).toPandas().groupby("region_id"):
+        at, own = np.array(part["v"].tolist()), part["cluster"].to_numpy()
+        middle = {c: at[own == c].mean(axis=0) for c in set(own)}
+        far = {c: np.square(at - m).sum(axis=1) for c, m in middle.items()}
+        assert len(middle) == min(5, len(at))
+        assert all(far[c][i] <= min(f[i] for f in far.values()) + 1e-7 for i, c in enumerate(own))
+    with pytest.raises(RuntimeError, match="did not settle"):
+        mosaic.grouped_kmeans(df, ["region_id"], ["k"], "v", 5, iterations=2)
 
 
 @pytest.mark.parametrize("method", ["center", "sample"])

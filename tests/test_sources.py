@@ -215,6 +215,26 @@ def test_stage_store(spark, tmp_path):
     store.save(spark.range(3), "x")
     store.save(spark.range(2), "x", "append")
     assert store.load("x").count() == 5
+    store.save(spark.range(1), "x")
+    assert store.load("x").count() == 1
+    store.save(spark.range(4).where("false"), "empty")
+    assert store.load("empty").count() == 0
+
+
+def test_a_crash_between_tables_leaves_no_trace(spark, tmp_path, monkeypatch):
+    store = tables.StageStore(spark, str(tmp_path))
+    store.commit({"cells": spark.range(2), "texts": spark.range(1)}, "append")
+    broken = spark.range(1).select((F.col("id") + F.raise_error(F.lit("lost")).cast("long")).alias("id"))
+    with pytest.raises(Exception, match="lost"):
+        store.commit({"cells": spark.range(5), "texts": broken}, "append")
+    monkeypatch.setattr(tables.StageStore, "_publish", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        store.commit({"cells": spark.range(5), "texts": spark.range(5)}, "append")
+    monkeypatch.undo()
+    again = tables.StageStore(spark, str(tmp_path))
+    assert again.load("cells").count() == 2 and again.load("texts").count() == 1
+    again.commit({"cells": spark.range(5), "texts": spark.range(5)}, "append")
+    assert again.load("cells").count() == 7 and again.load("texts").count() == 6
 
 
 class FakeSession:
@@ -283,6 +303,7 @@ def test_workflow_and_resume(spark, study_tables, tmp_path):
     out = Workflow(study_tables, store, counting_backend(str(calls))).run()
     n = out["texts"].count()
     assert n > 0 and out["annotations"].count() == n and out["pathology"].count() == n
+    assert "score" in out["pathology"].columns
     assert out["texts"].where("bm_text IS NULL OR ct_text IS NULL OR seg_text IS NULL").count() == 0
     prompt = out["pathology"].where("region_id = 's1_a'").first().dialogue
     assert "DKD 2A" in prompt[3].content and prompt[2].role == "ai"
