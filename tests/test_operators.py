@@ -281,6 +281,19 @@ def test_split_components(spark, size, large):
         assert seen == members
 
 
+def test_refused_nodes_go_to_the_next_part(spark):
+    """Left to itself no node stays outside while a part beside it has room."""
+    side = 20
+    pairs = [(i, i + 1) for i in range(399) if (i + 1) % side] + [(i, i + side) for i in range(400 - side)]
+    components = spark.createDataFrame([("r", i, 0) for i in range(400)], "region_id string, cell_id long, component long")
+    parts = graph.split_components(components, two_way(spark, pairs), max_size=30, hops=25).toPandas()
+    part = dict(zip(parts["cell_id"], parts["part"], strict=True))
+    sizes = parts.groupby("part").size()
+    assert len(sizes) == 5 and sizes.max() <= 30
+    for a, b in [*pairs, *[(b, a) for a, b in pairs]]:
+        assert a not in part or b in part or sizes[part[a]] == 30
+
+
 def test_cluster_samples_need_twenty_cells(spark):
     pairs = [(i, i + 1) for i in range(18)] + [(i, i + 1) for i in range(100, 119)]
     nodes = [*range(19), *range(100, 120)]
