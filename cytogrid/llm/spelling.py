@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from cytogrid.functions.skew import attach
 from cytogrid.llm.blocks import groups
 from cytogrid.llm.common import slices
-from cytogrid.llm.letter_tree import DIMS, LetterTree, letter_counts
+from cytogrid.llm.letter_tree import LetterTree, letter_counts
 from cytogrid.session import cut_lineage
 
 #: Fixed values of the word rule.
