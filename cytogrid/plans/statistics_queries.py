@@ -94,7 +94,24 @@ def sliding_windows_by_region(spark, sf_dir):
     return windows.describe_windows(windows.sliding_windows(moved)).select("region_id", "x0", "y0", "n_cells")
 
 
-@query()
+def _random_start(corner: str, low: str) -> str:
+    draw = f"(('0x' || substr(md5('123:{corner}:128:' || region_id || ':' || repeat), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296"
+    start = f"{low} - 64 + floor({draw} * 128)"
+    return f"CAST(CASE WHEN {start} < 0 THEN ceil({start}) ELSE floor({start}) END AS BIGINT)"
+
+
+@query(with_parts(o.CELLS, f"""
+starts AS (
+  SELECT DISTINCT region_id, {_random_start('_x', 'low_x')} AS xs, {_random_start('_y', 'low_y')} AS ys
+  FROM (SELECT region_id, min(x) AS low_x, min(y) AS low_y FROM cells GROUP BY region_id), range(2) t(repeat))""", """
+held AS (
+  SELECT DISTINCT region_id, xs + 64 * i AS x0, ys + 64 * j AS y0, cell_id
+  FROM cells JOIN starts USING (region_id), range(25) a(i), range(25) b(j)
+  WHERE x BETWEEN xs + 64 * i AND xs + 64 * i + 128 AND y BETWEEN ys + 64 * j AND ys + 64 * j + 128)""", select="""
+SELECT region_id, CAST(128 AS INT) AS patch_size, x0, y0, count(*) AS n_cells, x0 + 128 AS x1, y0 + 128 AS y1,
+       (x0 + 64)::DOUBLE AS center_x, (y0 + 64)::DOUBLE AS center_y,
+       concat_ws('-', x0, x0 + 128, y0, y0 + 128) AS patch_name
+FROM held GROUP BY region_id, x0, y0 HAVING count(*) >= 5"""))
 def random_windows(spark, sf_dir):
     members = windows.sliding_windows(b.cells(spark, sf_dir), repeats=2)
     return windows.describe_windows(members)
