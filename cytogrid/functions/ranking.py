@@ -1,11 +1,8 @@
-"""Exact ranks and quantiles of groups of any size.
-
-A window over a whole group puts the largest group into one task, so it is used
-only when no group has more than ``SMALL_GROUP`` rows. Beyond that, equal values
-are counted first, groups with many distinct values are cut into bins of similar
-size along a quantile sketch, and the running counts inside a bin are shifted by
-the size of the bins before it. The sketch only places the cuts: the counts are
-exact wherever the cuts fall.
+"""Exact ranks and quantiles of groups of any size, by one plan whatever the sizes.
+
+No task holds a whole group. A quantile sketch per group proposes cuts, as many as the
+group's size asks for; counts between the cuts then make ranks exact wherever the cuts
+fall. A value that fills a share of its group is a cut, and needs no sorting.
 """
 
 from __future__ import annotations
@@ -18,8 +15,13 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from .skew import attach
 
-SMALL_GROUP = 100_000
+#: Rows of a group that one bin is meant to hold, and the most bins a group is cut into.
+PER_BIN = 50_000
 BINS = 256
+#: Parts over which rows that need no order are spread.
+SPREAD = 1024
+#: Relative rank error of the sketches that bracket quantiles, and how many errors wide a bracket is.
+SKETCH, MARGIN = 10_000, 4
 
 
 def largest_group(rows: DataFrame, keys: Sequence[str]) -> int:
@@ -42,12 +44,21 @@ def _bin_of(value: Column, cuts: Column, bins: int) -> Column:
     return F.when(F.size(cuts) > 0, found).otherwise(F.lit(0))
 
 
+def _cuts(value: Column, rows: Column, per_bin: int, bins: int) -> Column:
+    """Aggregate: distinct rising cuts of about ``per_bin`` rows each, none for groups of one bin."""
+    wanted = F.ceil(rows / F.lit(float(per_bin)))
+    every = F.percentile_approx(value, [i / bins for i in range(1, bins)], 4 * bins)
+    step = lambda i: F.floor(i * wanted / F.lit(float(bins)))
+    chosen = F.array_distinct(F.filter(every, lambda _, i: step(i + 1) > step(i)))
+    return F.coalesce(chosen, F.slice(every, 1, 0), F.expr("array()").cast("array<double>"))
+
+
 def running_counts(
     values: DataFrame,
     keys: Sequence[str],
     value: str = "value",
     weight: str | None = None,
-    small_group: int = SMALL_GROUP,
+    per_bin: int = PER_BIN,
     bins: int = BINS,
     group_stats: DataFrame | None = None,
 ) -> DataFrame:
@@ -60,16 +71,7 @@ def running_counts(
     unit = F.col(weight) if weight else F.lit(1).cast("long")
     counted = values.groupBy(*keys, value).agg(F.sum(unit).alias("n_at"))
     cuts = counted.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_distinct"),
-        F.sum("n_at").alias("n_total"),
-        F.percentile_approx(value, [i / bins for i in range(1, bins)], 4 * bins).alias("_cuts"),
-    )
-    cuts = cuts.select(
-        *keys,
-        "n_total",
-        F.when(F.col("_distinct") > small_group, F.col("_cuts"))
-        .otherwise(F.slice("_cuts", 1, 0))
-        .alias("_cuts"),
+        F.sum("n_at").alias("n_total"), _cuts(F.col(value), F.count(F.lit(1)), per_bin, bins).alias("_cuts")
     )
     if group_stats is not None:
         cuts = cuts.join(group_stats, keys, "left")
@@ -111,14 +113,17 @@ def score_against(
     query: DataFrame | None,
     keys: Sequence[str],
     value: str = "value",
-    small_group: int = SMALL_GROUP,
+    per_bin: int = PER_BIN,
+    bins: int = BINS,
 ) -> DataFrame:
     """Add ``z`` and ``percentile`` of each query value among its group's reference.
 
     ``query=None`` scores the reference rows themselves. z uses the population
     deviation. Groups without spread have a NULL z, queries without a value stay
-    NULL in both. Reference and query are written to the shared folder once, since
-    the size check and the scores both read them.
+    NULL in both. Reference and query are written to the shared folder once. Then
+    each row is shuffled once, by group and bin: what lies below its bin is known from
+    counts, its place inside the bin from a window. Rows equal to a cut have a bin
+    of their own and are spread, as the counts alone tell their rank.
     """
     keys = list(keys)
     one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
@@ -133,51 +138,67 @@ def score_against(
     tagged = cut_lineage(
         tagged.withColumn("_ref", F.when(F.col(value).isNotNull(), F.col("_ref")).otherwise(zero))
     )
-    if largest_group(tagged, keys) <= small_group:
-        scored = _scores_in_group(tagged, keys, value).where("_ask")
-    else:
-        scored = _scores_by_bins(tagged, keys, value, [c for c in columns if c not in keys])
-    return scored.select(*columns, "z", "percentile")
+    spread = [c for c in columns if c not in keys]
+    limits = _limits(tagged, keys, value, spread, per_bin, bins)
+    placed = attach(tagged, limits, keys, spread).withColumn("_bin", _place(F.col(value), bins))
+    alone = F.col("_bin").isNull() | (F.col("_bin") % 2 == 1)
+    placed = placed.withColumns({
+        "_part": F.when(alone, F.pmod(F.xxhash64(*spread), F.lit(SPREAD))).otherwise(zero),
+        "_start": F.coalesce(F.get("_bins", "_bin")["_start"], zero),
+        "_size": F.get("_bins", "_bin")["_size"],
+    }).drop("_bins", "_cuts")
+    inside = Window.partitionBy(*keys, "_bin", "_part")
+    upto = inside.orderBy(value).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    ties = Window.partitionBy(*keys, "_bin", "_part", value)
+    ranked = placed.withColumn("_upto", F.sum("_ref").over(upto)).withColumn("_ties", F.sum("_ref").over(ties))
+    at = F.when(alone, F.col("_size")).otherwise(F.col("_ties"))
+    below = F.col("_start") + F.when(alone, zero).otherwise(F.col("_upto") - F.col("_ties"))
+    return ranked.where("_ask").select(
+        *columns,
+        F.try_divide(F.col(value) - F.col("_mean"), F.col("_sd")).alias("z"),
+        F.when(F.col(value).isNotNull(), percentile_rank(below, at, F.col("_n"))).alias("percentile"),
+    )
 
 
-def _scores_in_group(tagged: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Everything about a group from one shuffle and one sort, for bounded groups."""
-    group = Window.partitionBy(*keys)
-    ties = Window.partitionBy(*keys, value)
-    upto = Window.partitionBy(*keys).orderBy(value).rangeBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    known = F.when(F.col("_ref") > 0, F.col(value))
-    ranked = (
-        tagged.withColumn("_mean", F.avg(known).over(group))
-        .withColumn("_sd", F.stddev_pop(known).over(group))
-        .withColumn("_n", F.sum("_ref").over(group))
-        .withColumn("_upto", F.sum("_ref").over(upto))
-        .withColumn("_at", F.sum("_ref").over(ties))
-    )
-    rank = percentile_rank(F.col("_upto") - F.col("_at"), F.col("_at"), F.col("_n"))
-    return ranked.withColumn(
-        "z", F.try_divide(F.col(value) - F.col("_mean"), F.col("_sd"))
-    ).withColumn("percentile", F.when(F.col(value).isNotNull(), rank))
+def _place(value: Column, bins: int) -> Column:
+    """Bin of a value: twice the number of cuts below it, and one more where it is a cut; NULL without a value."""
+    below = _bin_of(value, F.col("_cuts"), bins)
+    at_cut = F.coalesce(F.get("_cuts", below) == value, F.lit(False))
+    return F.when(value.isNotNull(), below * 2 + at_cut.cast("int"))
 
 
-def _scores_by_bins(
-    tagged: DataFrame, keys: list[str], value: str, spread: list[str]
+def _limits(
+    tagged: DataFrame, keys: list[str], value: str, spread: list[str], per_bin: int, bins: int
 ) -> DataFrame:
-    """The same for groups of any size: no task holds a whole group."""
+    """One row per group: mean, deviation, number, cuts, and per bin the references in it and before it.
+
+    Only groups with cuts are read a second time, to count their bins.
+    """
     known = F.when(F.col("_ref") > 0, F.col(value))
-    stats = tagged.groupBy(*keys).agg(
-        F.avg(known).alias("_mean"), F.stddev_pop(known).alias("_sd")
-    )
-    ranks = running_counts(
-        tagged.where(F.col(value).isNotNull()), keys, value, weight="_ref", group_stats=stats
-    ).select(
-        *keys,
-        value,
-        F.try_divide(F.col(value) - F.col("_mean"), F.col("_sd")).alias("z"),
-        percentile_rank(F.col("n_below"), F.col("n_at"), F.col("n_total")).alias("percentile"),
+    limits = tagged.groupBy(*keys).agg(
+        F.avg(known).alias("_mean"),
+        F.stddev_pop(known).alias("_sd"),
+        F.sum("_ref").alias("_n"),
+        _cuts(F.col(value), F.count(value), per_bin, bins).alias("_cuts"),
+    )
+    cut = limits.where(F.size("_cuts") > 0).select(*keys, "_cuts")
+    sizes = (
+        attach(tagged.select(*keys, value, "_ref", *[c for c in spread if c != value]), cut, keys, spread)
+        .select(*keys, _place(F.col(value), bins).alias("_bin"), "_ref")
+        .where(F.col("_bin").isNotNull())
+        .groupBy(*keys, "_bin")
+        .agg(F.sum("_ref").alias("_size"))
     )
-    return attach(tagged.where("_ask"), ranks, [*keys, value], spread, "left")
+    every = cut.select(*keys, F.explode(F.sequence(F.lit(0), F.size("_cuts") * 2)).alias("_bin"))
+    before = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        every.join(sizes, [*keys, "_bin"], "left")
+        .withColumn("_size", F.coalesce("_size", F.lit(0).cast("long")))
+        .withColumn("_start", F.coalesce(F.sum("_size").over(before), F.lit(0).cast("long")))
+        .groupBy(*keys)
+        .agg(F.sort_array(F.collect_list(F.struct("_bin", "_start", "_size"))).alias("_bins"))
+    )
+    return limits.join(starts, keys, "left")
 
 
 def exact_quantiles(
@@ -186,17 +207,61 @@ def exact_quantiles(
     quantiles: dict[str, float],
     value: str = "value",
     weight: str | None = None,
-    small_group: int = SMALL_GROUP,
 ) -> DataFrame:
     """Exact quantiles (name -> fraction), linearly interpolated, one row per key.
+
+    A first pass brackets each wanted rank by two values of a sketch. A second one
+    counts what lies below the bracket and each value within it, so neither pass
+    moves more than partial counts; groups without values get NULL. Rows with a ``weight``
+    (counted values) are ranked in bins.
     """
     keys = list(keys)
-    if weight is None and largest_group(values, keys) <= small_group:
-        return values.groupBy(*keys).agg(
-            *[F.percentile(value, F.lit(float(q))).alias(n) for n, q in quantiles.items()]
+    if weight is not None:
+        ranked = running_counts(values.where(F.col(value).isNotNull()), keys, value, weight)
+        return ranked.groupBy(*keys).agg(*_picks(F.col(value), quantiles))
+    names, off = list(quantiles), MARGIN / SKETCH
+    rows = values.select(*keys, F.col(value).cast("double").alias("_v"))
+    edges = [min(max(quantiles[n] + side, 0.0), 1.0) for n in names for side in (-off, off)]
+    brackets = rows.groupBy(*keys).agg(
+        F.count("_v").alias("_n"), F.percentile_approx("_v", edges, SKETCH).alias("_edges")
+    )
+    brackets = brackets.select(*keys, "_n", F.posexplode(F.array(*[
+        F.struct(F.lit(q).cast("double").alias("q"), F.get("_edges", F.lit(2 * i)).alias("low"),
+                 F.get("_edges", F.lit(2 * i + 1)).alias("high"))
+        for i, q in enumerate(quantiles.values())])).alias("_i", "_b"))
+    lookup = brackets.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_i", "_n", "_b"))).alias("_all"))
+    side = F.when(F.col("_v") < F.col("_one._b.low"), -1).when(F.col("_v") > F.col("_one._b.high"), 1).otherwise(0)
+    counted = (
+        attach(rows, lookup, keys, ["_v"])
+        .select(*keys, "_v", F.explode("_all").alias("_one"))
+        .select(*keys, "_v", "_one", F.when(F.col("_v").isNotNull(), side).alias("_side"))
+        .groupBy(*keys, F.col("_one._i").alias("_i"), F.col("_one._n").alias("_n"), F.col("_one._b.q").alias("_q"),
+                 "_side", F.when(F.col("_side") == 0, F.col("_v")).alias("_in"))
+        .agg(F.count("_v").alias("n_at"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+    )
+    upto = Window.partitionBy(*keys, "_i").orderBy("_side", "_in").rowsBetween(Window.unboundedPreceding, 0)
+    placed = counted.withColumn("_upto", F.sum("n_at").over(upto))
+    at = (F.col("_n") - 1) * F.col("_q")
+
+    def ranked(rank: Column) -> Column:
+        """The value of a rank, from its row; beside the bracket only the next value is known."""
+        first = F.col("_upto") - F.col("n_at")
+        here = (rank >= first) & (rank < F.col("_upto"))
+        known = (
+            F.when(F.col("_side") == 0, F.col("_in"))
+            .when((F.col("_side") < 0) & (rank == F.col("_upto") - 1), F.col("_max"))
+            .when((F.col("_side") > 0) & (rank == first), F.col("_min"))
+            .otherwise(F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double"))
         )
-    ranked = running_counts(values.where(F.col(value).isNotNull()), keys, value, weight)
-    return ranked.groupBy(*keys).agg(*_picks(F.col(value), quantiles))
+        return F.min(F.when(here, known))
+
+    picked = placed.groupBy(*keys, "_i").agg(
+        ranked(F.floor(at)).alias("low"), ranked(F.ceil(at)).alias("high"), F.max(at - F.floor(at)).alias("share")
+    )
+    found = F.col("low") + (F.col("high") - F.col("low")) * F.col("share")
+    return picked.groupBy(*keys).agg(
+        *[F.max(F.when(F.col("_i") == i, found)).alias(n) for i, n in enumerate(names)]
+    )
 
 
 def _picks(value: Column, quantiles: dict[str, float]) -> list[Column]:

@@ -75,12 +75,12 @@ ranked AS (
 SELECT x0, y0, biomarker, round((value - mean) / nullif(sd, 0), 6) AS z,
        round((below + below + ties + 1) * 50.0::DOUBLE / n, 6) AS percentile FROM ranked"""))
 def scores_large(spark, sf_dir):
-    """z-scores and percentiles of all windows of one region, ranked in bins."""
+    """z-scores and percentiles of all windows of one region, a group per biomarker."""
     cells = b.cells_large(spark, sf_dir).join(b.expression(spark, sf_dir), "cell_id", "left")
     members = windows.sliding_windows(cells, origin=b.CORNER, keep=b.BIOMARKERS)
     means = windows.window_averages(members, b.BIOMARKERS)
     long = cut_lineage(features.means_to_long(means, ["region_id", "x0", "y0"], b.BIOMARKERS).where("value IS NOT NULL"))
-    scored = score_against(long, None, ["region_id", "biomarker"], small_group=0)
+    scored = score_against(long, None, ["region_id", "biomarker"])
     return rounded(scored.select("x0", "y0", "biomarker", "z", "percentile"), "z", "percentile")
 
 
@@ -88,7 +88,7 @@ def scores_large(spark, sf_dir):
 SELECT biomarker, round(quantile_cont(value, 0.2), 6) AS low, round(quantile_cont(value, 0.5), 6) AS middle
 FROM expression_long GROUP BY biomarker"""))
 def quantiles_large(spark, sf_dir):
-    """Exact quantiles of all cells' expression as one group per biomarker, ranked in bins."""
+    """Exact quantiles of all cells' expression as one group per biomarker."""
     long = b.expression(spark, sf_dir).unpivot(["cell_id"], b.BIOMARKERS, "biomarker", "value")
-    found = exact_quantiles(long, ["biomarker"], {"low": 0.2, "middle": 0.5}, small_group=0)
+    found = exact_quantiles(long, ["biomarker"], {"low": 0.2, "middle": 0.5})
     return rounded(found, "low", "middle")

@@ -23,10 +23,10 @@ def scored_input(spark):
             spark.createDataFrame(query, "id int, g string, value double"), ref)
 
 
-@pytest.mark.parametrize("small_group", [0, 10**6])
-def test_scores_match_numpy(scored_input, small_group):
+@pytest.mark.parametrize("per_bin", [4, 10**6])
+def test_scores_match_numpy(scored_input, per_bin):
     ref, query, values = scored_input
-    got = ranking.score_against(ref, query, ["g"], small_group=small_group).collect()
+    got = ranking.score_against(ref, query, ["g"], per_bin=per_bin).collect()
     assert len(got) == 7
     for r in got:
         group = np.array([v for g, v in values if g == r.g and v is not None])
@@ -40,11 +40,11 @@ def test_scores_match_numpy(scored_input, small_group):
             assert r.z == pytest.approx((r.value - group.mean()) / group.std())
 
 
-@pytest.mark.parametrize("small_group", [0, 10**6])
-def test_self_scores(scored_input, small_group):
+@pytest.mark.parametrize("per_bin", [4, 10**6])
+def test_self_scores(scored_input, per_bin):
     ref, _, _ = scored_input
     known = ref.where("value IS NOT NULL AND g <> 'flat'").withColumn("id", F.monotonically_increasing_id())
-    got = ranking.score_against(known, None, ["g"], small_group=small_group)
+    got = ranking.score_against(known, None, ["g"], per_bin=per_bin)
     stats = got.groupBy("g").agg(F.avg("z").alias("m"), F.stddev_pop("z").alias("s"),
                                  F.min("percentile").alias("low"), F.max("percentile").alias("high"))
     for r in stats.collect():
@@ -52,20 +52,35 @@ def test_self_scores(scored_input, small_group):
         assert 0 < r.low and r.high <= 100
 
 
-@pytest.mark.parametrize("small_group", [0, 10**6])
-def test_quantiles_match_numpy(spark, small_group):
+def test_quantiles_match_numpy(spark):
     rng = np.random.default_rng(5)
     data = {g: np.round(rng.lognormal(size=n), 2) for g, n in (("a", 501), ("b", 3), ("c", 1))}
     rows = spark.createDataFrame([(g, float(v)) for g, vs in data.items() for v in vs], "g string, value double")
-    got = ranking.exact_quantiles(rows, ["g"], {"q2": 0.2, "q95": 0.95}, small_group=small_group)
+    got = ranking.exact_quantiles(rows, ["g"], {"q2": 0.2, "q95": 0.95})
     for r in got.collect():
         assert [r.q2, r.q95] == pytest.approx(list(np.quantile(data[r.g], [0.2, 0.95])))
 
 
+def test_quantiles_of_large_groups(spark):
+    """Brackets narrower than the group: ties over a third of the rows, the ends, a group without values."""
+    rows = spark.range(300_000, numPartitions=4).select(
+        (F.col("id") % 3 % 2).alias("g"),
+        F.when(F.col("id") % 7 < 3, 0.25).otherwise(F.pmod(F.hash("id"), F.lit(100_003)) / 100_003).alias("value"))
+    empty = spark.createDataFrame([(5, None), (6, 1.5), (6, None)], "g long, value double")
+    wanted = {"q0": 0.0, "q2": 0.2, "q5": 0.5, "q95": 0.95, "q1": 1.0}
+    got = {r.g: r for r in ranking.exact_quantiles(rows.union(empty), ["g"], wanted).collect()}
+    frame = rows.toPandas()
+    for g in (0, 1):
+        want = np.quantile(frame.loc[frame["g"] == g, "value"], list(wanted.values()))
+        assert [got[g][n] for n in wanted] == pytest.approx(list(want), abs=1e-15)
+    assert [got[5][n] for n in wanted] == [None] * 5 and [got[6][n] for n in wanted] == [1.5] * 5
+    assert ranking.exact_quantiles(rows.where("g > 9"), ["g"], wanted).collect() == []
+
+
 def test_binned_running_counts(spark):
     values = np.random.default_rng(7).normal(size=5000) ** 3
     rows = spark.createDataFrame([("a", float(v)) for v in values], "g string, value double")
-    got = ranking.running_counts(rows, ["g"], small_group=100, bins=16).toPandas().sort_values("value")
+    got = ranking.running_counts(rows, ["g"], per_bin=100, bins=16).toPandas().sort_values("value")
     assert (got["n_below"].to_numpy() == np.arange(5000)).all()
     assert set(got["n_total"]) == {5000}
 
