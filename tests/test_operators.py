@@ -302,16 +302,60 @@ def test_cluster_samples_need_twenty_cells(spark):
     assert sorted(r.cell_id for r in got) == list(range(100, 120))
 
 
+def gaining_nodes(labels, pairs, resolution):
+    """Nodes that gain by a move to another community or to none, each move tried."""
+    found = []
+    for node, own in labels.items():
+        total = lambda c: sum(1 for n, l in labels.items() if l == c and n != node)  # noqa: B023, E731, E741
+        toward = lambda c: sum(1 for a, b in pairs if node in (a, b) and labels[a if b == node else b] == c)  # noqa: B023, E731
+        worth = {c: toward(c) - resolution * total(c) for c in {*labels.values()}} | {None: 0.0}
+        if max(worth.values()) > worth[own] + 1e-9:
+            found.append(node)
+    return found
+
+
 def test_communities_follow_the_graph(spark):
     blocks = [[(a, b) for a in range(s, s + 12) for b in range(a + 1, s + 12)] for s in range(0, 96, 12)]
     pairs = [p for block in blocks for p in block] + [(s, s + 12) for s in range(0, 84, 12)]
     edges = two_way(spark, pairs).withColumn("kind", F.lit("spatial"))
     nodes = spark.createDataFrame([("r", i) for i in range(96)], "region_id string, cell_id long")
-    labels = community.detect(nodes, edges, [0.05, 0.9], rounds=8)
-    counts = {r.resolution: r.n for r in labels.groupBy("resolution").agg(F.countDistinct("cluster").alias("n")).collect()}
-    assert counts[0.05] <= 12 < 96 and counts[0.05] <= counts[0.9]
-    chosen = community.resolution_sweep(nodes, edges, [0.05, 0.9], rounds=8)
-    assert chosen.count() == 96 and chosen.select("resolution").distinct().count() == 1
+    labels = community.detect(nodes, edges.unionByName(edges), [0.05, 0.9]).collect()
+    assert len(labels) == 192 and {(r.cluster, r.resolution) for r in labels} >= {(s, 0.9) for s in range(0, 96, 12)}
+    assert all(r.cluster == r.cell_id // 12 * 12 for r in labels)  # blocks are the best at both
+    chosen = community.resolution_sweep(nodes, edges, [0.05, 0.9])
+    assert chosen.count() == 96 and {r.resolution for r in chosen.collect()} == {0.05}
+    assert community.detect(nodes.limit(0), edges, [0.05]).count() == 0
+
+
+def test_tile_communities_leave_no_gaining_node():
+    rng = np.random.default_rng(5)
+    for resolution in (0.02, 0.1, 0.4):
+        n = 60
+        pairs = sorted({(min(a, b), max(a, b)) for a, b in rng.integers(0, n, (170, 2)).tolist() if a != b})
+        a, b = np.array(pairs).T
+        tile = community.TileGraph(np.ones(n), np.r_[a, b], np.r_[b, a], np.ones(2 * len(pairs)))
+        assert not gaining_nodes(dict(enumerate(tile.communities(resolution).tolist())), pairs, resolution)
+
+
+def test_communities_over_several_tiles_are_settled(spark, monkeypatch):
+    monkeypatch.setattr(community, "TILE_NODES", 40)
+    monkeypatch.setattr(community, "GRID_NODES", 4)
+    rng = np.random.default_rng(7)
+    xy = rng.random((150, 2))
+    xy[:45] = 0.5  # one place that exceeds a tile
+    near = np.argsort(((xy[:, None] - xy) ** 2).sum(-1), axis=1, kind="stable")[:, :6]
+    pairs = sorted({(min(a, b), max(a, b)) for a in range(150) for b in near[a].tolist() if a != b})
+    nodes = spark.createDataFrame(
+        [("r", i, float(x), float(y)) for i, (x, y) in enumerate(xy)] + [("s", 7, 0.0, 0.0)],
+        "region_id string, cell_id long, x double, y double",
+    )
+    assert {r.n > 1 for r in community._tiles(nodes).where("region_id = 'r'").groupBy("region_id").agg(
+        F.countDistinct("tile").alias("n")).collect()} == {True}
+    got = community.detect(nodes, two_way(spark, pairs), [0.15]).collect()
+    labels = {r.cell_id: r.cluster for r in got if r.region_id == "r"}
+    assert len(got) == 151 and len(labels) == 150 and not gaining_nodes(labels, pairs, 0.15)
+    assert all(min(n for n, l in labels.items() if l == c) == c for c in set(labels.values()))  # noqa: E741
+    assert [r.cluster for r in got if r.region_id == "s"] == [7]
 
 
 def test_histogram_edges(spark):
