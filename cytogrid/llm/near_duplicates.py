@@ -250,7 +250,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     A component is what links (similarity of at least 0.8) connect; ``component_id`` is its
     smallest doc_id, and exactly one row of it is kept: that with the smallest doc_id (null last),
     of repeated rows the first. Texts without words, null ones too, link with nothing and are kept.
-    Texts of less than five words link with equal texts. ``row`` numbers the rows of one scan.
+    Texts of less than five words link with equal texts; very long ones are compared whole, within a band. ``row`` numbers the rows of one scan.
     """
     base = cut_lineage(sketched(docs))
     with_words = base.where("n_words > 0")

@@ -446,7 +446,8 @@ def report(docs: DataFrame) -> DataFrame:
 
     One row per passage of a distinct text and partner text, under the smallest doc_id of either (null last); a text
     that occurs several times gives one row more for each further copy: the whole text, removed (rows that
-    repeat both id and text are one document). Null, empty and short texts have no passages. A repeat inside one text alone is not reported. Other columns are ignored.
+    repeat both id and text are one document). Null, empty and short texts have no passages. A repeat inside one text alone is not reported.
+    Very long texts are searched whole. Other columns are ignored.
     """
     names = cut_lineage(keepers(docs))
     spans = cut_lineage(repeated_passages(docs))

@@ -229,7 +229,7 @@ def rejected(rules: list[Rule]) -> Column:
 def passing(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows that pass the base and the list, with all their columns, whatever their names.
 
-    Learns from the labelled ones among ``docs``; null and empty texts fail the base.
+    Learns from the labelled ones among ``docs``; null and empty texts fail the base. Very long texts are counted whole.
     """
     rules = fit(docs, labels)
     counts = ", ".join(f"{c} long" for c in COUNTS)
@@ -247,7 +247,7 @@ def passing(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, the base counts, base_failed, kept, rule) of every row.
 
-    A null or empty text has no words and fails the base. Labels other than 0 and 1 or without an
+    A null or empty text has no words and fails the base; a very long one is counted whole, by one task. Labels other than 0 and 1 or without an
     id are left out; if no rule is found, the base alone decides. Rows are judged one by
     one: repeated rows come back repeated; other columns are ignored; an empty table gives no rows.
     ``rule`` is the place in the list of the rule that rejected the row, else null.

@@ -237,7 +237,8 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Labels of the held-out fold (crc32 of the id modulo 4 is 2) are never learned from. Null
     ids count as not held out; labels other than 0 and 1, or without an id, are left out; a document with
-    both labels counts as toxic. Repeated rows and other columns do no harm; an empty table gives no rows.
+    both labels counts as toxic. A null or empty text has the score of an empty bag; every bag of a very long text is
+    scored, by one task. Repeated rows and other columns do no harm; an empty table gives no rows.
     """
     score = scoring_udf(docs, fit(docs, labels))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), score(binary_text()).alias("score")).select(

@@ -112,7 +112,8 @@ def filter_urls(
     Host: behind the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z in lower case.
     Path: from there up to ``?``, ``#`` or the end. A URL that is null or lacks ``://`` has neither
     and gets the default. Of equally long rules the smaller one by code point decides. Rows are
-    judged one by one, so repeated rows and empty tables need no care; other columns are ignored.
+    judged one by one, so repeated rows and empty tables need no care; other columns are ignored. Very long URLs are
+    read to their end.
     Globs are anchored twice, once for the host itself and once for its subdomains.
     """
     for rule, _ in rules:

@@ -107,6 +107,14 @@ def test_rules_are_learned_and_pruned(spark):
     assert sum(not found[i].kept for i in range(0, 900, 4)) >= 220  # of 225; wrong labels hide the rest
     assert quality_rules.passing(docs, labels).count() == sum(r.kept for r in found.values())
     assert {found[i].rule for i in range(900) if i % 4 == 0} <= {None, 1, 2, 3, 4}
+    for i, text, _ in rows:  # the list read from the top, in plain Python
+        counts = dict(zip(quality_rules.COUNTS, quality_rules.count_statistics(text.encode()), strict=True))
+        first = None
+        for place, rule in enumerate(rules, 1):
+            worth = {n: counts[o] / max(counts[u], 1) for n, o, u in quality_rules.RATIOS}
+            if first is None and all((worth[c.statistic] > c.threshold) == c.above for c in rule.conditions):
+                first = place
+        assert found[i].rule == first and found[i].kept == (first is None)
 
 
 def test_quality_edge_cases(spark, edge_docs, edge_rows, no_docs):

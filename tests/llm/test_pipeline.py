@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 from conftest import prose
+from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 import corpus_pipeline
@@ -62,7 +63,37 @@ def test_registered():
     assert "pipeline" in names and sum(n.startswith("op") for n in names) >= 10
     assert corpus_pipeline.ORACLE_SQL is None and "pipeline" not in contract.oracle_sql()
     numbers = {int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()}
-    assert numbers == set(range(1, 11))
+    assert numbers == set(range(1, 14))
+
+
+def test_stages_take_any_rows(spark, tmp_path, edge_docs, edge_rows):
+    """Nulls, empty and very long texts, repeated rows and ids, and columns named as operators name their own."""
+    labels = [(5, 1, 0), (8, 1, 0), (8, 1, 0), (3, 0, None), (None, 0, 1), (99, 0, 1)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs, folder = edge_docs, str(tmp_path)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.cut_lineage(stage(spark, docs, folder))
+        assert docs.columns == edge_docs.columns and {(r.row, r.key, r.id) for r in docs.collect()} <= {(1, "a", "z")}, name
+        if name == "toxicity":  # no text here is labelled toxic
+            assert sorted(map(tuple, docs.select("doc_id", "text").collect()), key=str) == sorted(edge_rows, key=str)
+        if name == "quality_rules":  # the very long text and three copies of one have 50 words
+            assert sorted(r.doc_id for r in docs.collect()) == [5, 8, 8, 8]
+        if name == "near_duplicates":
+            assert sorted(r.doc_id for r in docs.collect()) == [5, 8]
+    assert {r.doc_id: r.text for r in docs.collect()} == {5: edge_rows[5][1], 8: edge_rows[8][1]}
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, folder)
+    sums = {r.doc_id: (r.n, r.whole) for r in pieces.groupBy("doc_id").agg(
+        F.sum("length").alias("n"), F.max("doc_tokens").alias("whole")).collect()}
+    assert set(sums) == {5, 8} and all(n == whole for n, whole in sums.values())
+
+
+def test_stages_take_empty_tables(spark, corpus, no_docs, tmp_path):
+    spark.read.parquet(f"{corpus[0]}/labels.parquet").where("false").write.parquet(f"{tmp_path}/labels.parquet")
+    for labels in (corpus[0], str(tmp_path)):
+        docs = no_docs
+        for name, stage in corpus_pipeline.STAGES:
+            docs = corpus_pipeline.cut_lineage(stage(spark, docs, labels))
+            assert docs.count() == 0, name
 
 
 def test_near_duplicates_of_long_texts_stay_small():
