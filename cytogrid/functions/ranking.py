@@ -213,14 +213,15 @@ def exact_quantiles(
     A first pass brackets each wanted rank by two values of a sketch. A second one
     counts what lies below the bracket and each value within it, so neither pass
     moves more than partial counts; groups without values get NULL. Rows with a ``weight``
-    (counted values) are ranked in bins.
+    (counted values) are ranked in bins. The values are written once between the passes: worked out
+    again, averages differ in the last bits with the order of summation, and ties would leave their bracket.
     """
     keys = list(keys)
     if weight is not None:
         ranked = running_counts(values.where(F.col(value).isNotNull()), keys, value, weight)
         return ranked.groupBy(*keys).agg(*_picks(F.col(value), quantiles))
     names, off = list(quantiles), MARGIN / SKETCH
-    rows = values.select(*keys, F.col(value).cast("double").alias("_v"))
+    rows = cut_lineage(values.select(*keys, F.col(value).cast("double").alias("_v")))
     edges = [min(max(quantiles[n] + side, 0.0), 1.0) for n in names for side in (-off, off)]
     brackets = rows.groupBy(*keys).agg(
         F.count("_v").alias("_n"), F.percentile_approx("_v", edges, SKETCH).alias("_edges")

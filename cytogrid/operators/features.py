@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.expressions import present
 from ..functions.ranking import exact_quantiles
 from ..functions.skew import attach
+from ..session import cut_lineage
 
 # Averages of the same cells differ in the last bits with the order of summation,
 # which flips ranks among ties. Rounding makes ranks independent of partitioning.
@@ -46,6 +47,7 @@ def arcsinh_normalize(expression: DataFrame, quantile: float = 0.2) -> DataFrame
     """Per region and biomarker: asinh of the value over 5 times its 20 % quantile,
     divided by the sample deviation of the result."""
     keys = ["region_id", "biomarker"]
+    expression = cut_lineage(expression)  # read for the quantiles and for the result
     base = exact_quantiles(expression, keys, {"_base": quantile})
     bent = attach(expression, base, keys, ["cell_id"]).withColumn(
         "value", F.asinh(F.try_divide(F.col("value"), F.col("_base") * 5 + EPSILON))

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -174,3 +175,16 @@ def test_relevance_scores(spark):
     frame = spark.createDataFrame([(r,) for r in given], "reply string")
     found = {r.reply: r.score for r in frame.select("reply", replies.relevance_score(F.col("reply")).alias("score")).collect()}
     assert found == given
+
+
+def test_quantiles_of_values_that_differ_when_worked_out_again(spark):
+    def drawn(batches):
+        for batch in batches:
+            noise = np.random.default_rng().random(batch.num_rows)  # another one in every pass
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(noise)], ["g", "value"])
+
+    rows = spark.range(0, 20000, 1, 2).select((F.col("id") % 2).alias("g")).mapInArrow(drawn, "g long, value double")
+    found = ranking.exact_quantiles(rows, ["g"], {"low": 0.2, "middle": 0.5}).collect()
+    assert len(found) == 2
+    for row in found:
+        assert abs(row["low"] - 0.2) < 0.05 and abs(row["middle"] - 0.5) < 0.05
