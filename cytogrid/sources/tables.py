@@ -17,6 +17,8 @@ from ..session import scratch_path
 from .chunked_images import file_system
 
 COMMITS = "_commits"
+#: Rows of a region that one file is meant to hold.
+FILE_ROWS = 500_000
 
 # Two layouts hold the same table: <root>/<region>/<region>.<kind>.csv as measured,
 # and <root>/<kind>/region_id=<region>/*.csv as Spark writes it.
@@ -125,10 +127,13 @@ def export_native(df: DataFrame, kind: str, root: str | None = None) -> str:
     for c in ("x", "y"):
         if c in native.columns:
             native = native.withColumnRenamed(c, c.upper())
-    # Several files per region where it is large; the rows of a region stay together otherwise.
-    native.repartition("region_id", F.pmod(F.xxhash64("CELL_ID"), F.lit(4))).write.partitionBy(
-        "region_id"
-    ).option("header", True).csv(f"{root}/{kind}")
+    # Several files per region where it is large, one where it is not: files cost time to list and open.
+    sizes = native.groupBy("region_id").agg(F.ceil(F.count(F.lit(1)) / FILE_ROWS).alias("_files"))
+    dealt = native.join(sizes.withColumnRenamed("region_id", "_region"), F.col("region_id").eqNullSafe(F.col("_region")))
+    part = F.pmod(F.xxhash64("CELL_ID"), F.col("_files"))
+    dealt.repartition("region_id", part).drop("_files", "_region").write.partitionBy("region_id").option(
+        "header", True
+    ).csv(f"{root}/{kind}")
     return root
 
 

@@ -488,3 +488,15 @@ def test_ask_once_per_dialogue(spark):
     assert all(r.dialogue[-1].role == "ai" and r.dialogue[-1].content == r.reply for r in got)
     done = df.where("id < 3")
     assert [r.id for r in agents.not_done(df, done, ["id"]).collect()] == [3]
+
+
+def test_a_tile_of_one_community_is_proven():
+    def graph(pairs, n):
+        a, b = np.array(pairs).T
+        return community.TileGraph(np.ones(n), np.r_[a, b], np.r_[b, a], np.ones(2 * len(pairs)))
+
+    clique = [(a, b) for a in range(12) for b in range(a)]
+    assert graph(clique, 12).best_whole(0.9) and not graph(clique, 12).best_whole(1.1)
+    twice = [*clique, *[(a + 12, b + 12) for a, b in clique], (0, 12)]  # cut by one link, 144 pairs
+    assert graph(twice, 24).best_whole(0.5 / 144) and not graph(twice, 24).best_whole(1.1 / 144)
+    assert not graph(twice[:-1], 24).best_whole(1e-5)  # not connected

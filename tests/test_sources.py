@@ -312,3 +312,17 @@ def test_workflow_and_resume(spark, study_tables, tmp_path):
     again = Workflow(study_tables, store, counting_backend(str(calls)), resume=True).run()
     assert len(list(calls.iterdir())) == before
     assert again["annotations"].count() == n and again["texts"].count() == n
+
+
+def test_small_regions_have_one_file_and_large_ones_several(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "FILE_ROWS", 100, raising=False)
+    cells = spark.range(0, 340).selectExpr("CASE WHEN id < 40 THEN 'a' ELSE 'b' END AS region_id", "id AS cell_id", "1.5 AS x", "2.5 AS y")
+    merging = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(merging, "false")  # it would hide the files by putting small parts into one task
+    try:
+        root = tables.export_native(cells, "cell_data", str(tmp_path / "out"))
+    finally:
+        spark.conf.unset(merging)
+    files = {r: len(list((tmp_path / "out" / "cell_data" / f"region_id={r}").glob("*.csv"))) for r in "ab"}
+    assert files["a"] == 1 and 1 < files["b"] <= 3
+    assert tables.read_cells(spark, root).count() == 340
