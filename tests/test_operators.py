@@ -158,6 +158,25 @@ def test_nearest_neighbors_in_many_dimensions(spark, monkeypatch, dims, ball):
     assert {(r.cell_id, r.neighbor, r.rank) for r in got.collect()} == brute_nearest(at, 4)
 
 
+@pytest.mark.parametrize("shape", ["even", "pile", "line", "lattice"])
+def test_nearest_neighbors_across_tiles(spark, monkeypatch, shape):
+    """Groups of many tiles; the search in a task is by cells, so pairs do not grow with the square of a tile."""
+    monkeypatch.setattr(nearest, "TILE", 20)
+    monkeypatch.setattr(nearest, "ASKERS", 7)
+    at = np.random.default_rng(1).random((400, 2)) * 100
+    if shape == "pile":
+        at[:150] = 50.0
+    elif shape == "line":
+        at[:, 0] = 3.0
+    elif shape == "lattice":
+        at = np.floor(at / 12)
+    got = spatial.nearest_neighbors(make_cells(spark, at), ["x", "y"], 3)
+    assert {(r.cell_id, r.neighbor, r.rank) for r in got.collect()} == brute_nearest(at, 3)
+    ids = np.arange(len(at))
+    for a, b in zip(nearest._top_in_plane(at.T, ids, at.T, ids, 3), nearest._top(at, ids, at, ids, 3), strict=True):
+        assert (a == b).all()
+
+
 def test_panels_are_compared_over_their_own_markers(spark):
     """Two studies share one marker; each has one of its own, and no region has the third."""
     rng = np.random.default_rng(8)
