@@ -87,16 +87,20 @@ def feature_edges(features: DataFrame, columns: Sequence[str], k: int = 4) -> Da
     return undirected(nearest_neighbors(features, columns, k), "feature")
 
 
-def _expand(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
-    """Nodes at the end of paths of up to ``hops`` edges; each turn goes on from the last one's ends only."""
-    steps = edges.select("region_id", F.col("src").alias("node"), "dst")
-    reached = ends = seeds
-    for hop in range(hops):
-        ends = ends.join(steps, ["region_id", "node"]).select("region_id", "seed", F.col("dst").alias("node"))
-        if hop:  # first steps are distinct already
-            ends = ends.distinct()
-        reached = reached.unionByName(ends)
-    return reached
+def _ends(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
+    """(region, seed, ``_ends``): nodes at the end of paths of up to ``hops`` edges, once each, as one list per seed.
+
+    Lists of neighbours travel, not a row per path; each turn goes on from the last one's ends only.
+    """
+    key = ["region_id", "seed"]
+    lists = edges.groupBy("region_id", F.col("src").alias("node")).agg(F.collect_set("dst").alias("_to"))
+    found = last = seeds.join(lists.withColumnRenamed("node", "seed"), key).withColumnRenamed("_to", "_ends")
+    for _ in range(hops - 1):
+        steps = last.select(*key, F.explode("_ends").alias("node")).join(lists, ["region_id", "node"])
+        last = steps.groupBy(*key).agg(F.array_distinct(F.flatten(F.collect_list("_to"))).alias("_ends"))
+        both = found.join(last.withColumnRenamed("_ends", "_further"), key, "left")
+        found = both.select(*key, F.array_union("_ends", F.coalesce("_further", F.slice("_ends", 1, 0))).alias("_ends"))
+    return found
 
 
 def local_neighborhoods(
@@ -104,11 +108,14 @@ def local_neighborhoods(
 ) -> DataFrame:
     """Cells within ``n_spatial`` hops on spatial or ``n_feature`` on feature edges.
 
-    ``seeds`` holds ``region_id, cell_id``; the seed belongs to its neighbourhood.
+    ``seeds`` holds ``region_id, cell_id``; the seed belongs to its neighbourhood, which is put together as one list.
     """
-    start = seeds.select(
-        "region_id", F.col("cell_id").alias("seed"), F.col("cell_id").alias("node")
-    )
-    near = _expand(start, edges.where(F.col("kind") == "spatial"), n_spatial)
-    alike = _expand(start, edges.where(F.col("kind") == "feature"), n_feature)
-    return near.unionByName(alike).distinct()
+    key = ["region_id", "seed"]
+    found = seeds.select("region_id", F.col("cell_id").alias("seed")).distinct()
+    start, lists = found, [F.array("seed")]
+    for kind, hops in (("spatial", n_spatial), ("feature", n_feature)):
+        if hops:
+            ends = _ends(start, edges.where(F.col("kind") == kind), hops).withColumnRenamed("_ends", f"_{kind}")
+            found = found.join(ends, key, "left")
+            lists.append(F.coalesce(f"_{kind}", F.array().cast(dict(ends.dtypes)[f"_{kind}"])))
+    return found.select(*key, F.explode(F.array_distinct(F.concat(*lists))).alias("node"))

@@ -177,6 +177,19 @@ def test_nearest_neighbors_across_tiles(spark, monkeypatch, shape):
         assert (a == b).all()
 
 
+def test_neighborhoods_move_lists_not_paths(spark):
+    """Two hops are put together from lists: the plan has no row per path that is made distinct; ends are right."""
+    pairs = [(0, 1), (1, 2), (2, 3), (0, 4), (4, 2), (7, 7)]
+    rows = [("r", a, b, "spatial") for x, y in pairs for a, b in {(x, y), (y, x)}] + [("r", 3, 9, "feature")]
+    edges = spark.createDataFrame(rows, "region_id string, src long, dst long, kind string")
+    seeds = spark.createDataFrame([("r", i) for i in (0, 0, 3, 5, 7)], "region_id string, cell_id long")
+    got = spatial.local_neighborhoods(seeds, edges, 2, 1)
+    found = sorted((r.seed, r.node) for r in got.collect())
+    assert found == [(0, 0), (0, 1), (0, 2), (0, 4), (3, 1), (3, 2), (3, 3), (3, 4), (3, 9), (5, 5), (7, 7)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.count("collect_list") == 1
+
+
 def test_panels_are_compared_over_their_own_markers(spark):
     """Two studies share one marker; each has one of its own, and no region has the third."""
     rng = np.random.default_rng(8)
