@@ -202,6 +202,68 @@ def test_mixture_of_counts_and_attention_sums_to_one(spark, fewer_steps, monkeyp
     assert model.mixing[0] == 0 and (model.mixing[1:] > 0).all() and (model.mixing < 1).all()
 
 
+def fitted(spark, monkeypatch, texts):
+    """The model behind the scores of the texts, all of them training texts."""
+    models = []
+    fit = language_model.fit
+    monkeypatch.setattr(language_model, "fit", lambda *a: models.append(fit(*a)) or models[-1])
+    ids = [i for i in range(5 * len(texts) + 50) if zlib.crc32(str(i).encode()) % 5 != 1]
+    language_model.score_documents(spark.createDataFrame(list(zip(ids, texts, strict=False)), "doc_id long, text string"))
+    monkeypatch.setattr(language_model, "fit", fit)
+    return models[0]
+
+
+def test_attention_learns_from_texts_that_are_not_in_the_sample(spark, fewer_steps, monkeypatch):
+    """Two corpora with the same counts and the same sample, but another order of words in the text that was not drawn, or
+    beyond the part of it that is."""
+    rng = random.Random(15)
+    start = prose(rng, 40)
+    words = prose(rng, 400).split()
+    monkeypatch.setattr(language_model, "sample_texts", lambda training: [start.encode()])
+    ratios, best = [], language_model.best_mixing
+    monkeypatch.setattr(language_model, "best_mixing", lambda r: ratios.append(r) or best(r))
+    one = fitted(spark, monkeypatch, [start, " ".join(words)])
+    other = fitted(spark, monkeypatch, [start, " ".join(sorted(words))])
+    assert (one.nodes == other.nodes).all() and (one.counts == other.counts).all()
+    assert not np.allclose(one.tables.query, other.tables.query, atol=1e-3)
+    ids = language_model.Subwords(one.path).encode([w.encode() for w in (start + " " + " ".join(words)).lower().split()])[1]
+    assert all(r.sum() == len(ids) + 2 for r in ratios) and (ratios[0] != ratios[1]).any()
+
+
+def test_mixing_is_the_same_for_words_that_are_held_and_joined(spark, fewer_steps, monkeypatch):
+    rng = random.Random(16)
+    texts = [prose(rng, rng.randint(0, 80)) for _ in range(60)] + [None, ""]
+    found = []
+    for bound in (5, 200_000):
+        monkeypatch.setattr(language_model, "TOP_WORDS", bound)
+        found.append(fitted(spark, monkeypatch, texts).mixing)
+    assert np.allclose(*found, atol=0.021)  # a step of the grid
+
+
+def test_long_texts_are_learned_from_in_pieces(spark, fewer_steps, monkeypatch):
+    monkeypatch.setattr(language_model, "PASS_POSITIONS", 50)
+    monkeypatch.setattr(language_model, "SCORED_BYTES", 300)
+    rng = random.Random(17)
+    docs = spark.createDataFrame([(i, prose(rng, 20 * i)) for i in range(12)], "doc_id long, text string")
+    found = language_model.score_documents(docs).collect()
+    assert len(found) == 12 and all(math.isfinite(r.score) and r.score < 0 for r in found)
+
+
+def test_mixing_weights_have_the_highest_likelihood():
+    rng = np.random.default_rng(8)
+    attended, share = rng.uniform(0.001, 0.5, 4000), rng.uniform(0, 0.5, 4000) * (rng.random(4000) < 0.9)
+    seen = rng.integers(0, 40, 4000).astype("f8")
+    ratios = language_model.count_ratios(attended, seen, share).reshape(language_model.WEIGHTS, -1)
+    assert ratios.sum() == 4000
+    weights, levels = language_model.best_mixing(ratios), language_model.level(seen)
+    grid = np.linspace(0.02, 0.98, 49)
+    assert weights[0] == 0
+    for at in range(1, 7):
+        mine = levels == at
+        fits = [np.log((1 - w) * attended[mine] + w * share[mine]).sum() + np.log(w * (1 - w)) for w in grid]
+        assert abs(grid[int(np.argmax(fits))] - weights[at]) < 0.021
+
+
 def small_model(subwords=30, seed=2):
     rng = np.random.default_rng(seed)
     weights = attention.initial(subwords, seed)
