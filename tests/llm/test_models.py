@@ -294,6 +294,22 @@ def test_no_position_sees_the_future():
     assert np.allclose(before[:40], after[:40], rtol=1e-5) and not np.allclose(before[40:], after[40:], rtol=1e-3)
 
 
+def test_an_update_does_not_depend_on_its_pieces(monkeypatch):
+    rng = np.random.default_rng(8)
+    ids, targets = rng.integers(0, 40, 1000), rng.integers(0, 40, 1000)
+    starts = np.repeat([0, 20, 531, 532], [20, 511, 1, 468])
+    base, trained = np.log(np.full(40, 1 / 40)), []
+    for piece in (1, 3, 1000):
+        monkeypatch.setattr(attention, "PIECE", piece)
+        trainer = attention.Trainer(base)
+        trainer.update(ids, starts, targets, 0.003)
+        t = attention.tables(attention.Trainer(base).weights, base)
+        assert np.allclose(trainer.prob, attention.probabilities(t, ids, starts, targets), rtol=1e-4)
+        trained.append(trainer.first)
+    for other in trained[1:]:
+        assert all(np.allclose(x, y, rtol=1e-3, atol=1e-9) for x, y in zip(trained[0], other, strict=True))
+
+
 def test_gradients_agree_with_differences():
     rng = np.random.default_rng(7)
     ids, targets = rng.integers(0, 12, 50), rng.integers(0, 12, 50)
