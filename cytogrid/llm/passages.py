@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cytogrid.llm.common import BATCH_ROWS, binary_text, map_batches, text_key
-from cytogrid.llm.shingles import STEP, WORDS, WordHashes, mix, shingle
+from cytogrid.llm.shingles import STEP, WORDS, WordHashes, mix, shingle, word_sums
 from cytogrid.session import cut_lineage
 
 #: Words of the shortest passage, and the shingles in it.
@@ -264,14 +264,13 @@ def exact_links(ranges: DataFrame, texts: DataFrame) -> DataFrame:
 
     An exact repeat has the same signature under every function, so its start is in ``ranges``: none is lost.
     """
-    hashes = WordHashes()
     listed = ranges.groupBy("owner").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, owners, held = [], [], 0
         for batch in batches:
             for owner, text, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                shingles = shingle(hashes.of(text.split()))
+                shingles = shingle(word_sums(text))
                 starts = np.concatenate([np.arange(x["first"], x["last"] + 1) for x in spans])
                 value = np.zeros(len(starts), np.uint64)
                 for i in range(0, PASSAGE, WORDS):
@@ -326,13 +325,10 @@ class Prepared:
         return cls(shingles, ordered[begin], np.append(begin, len(ordered)), places)
 
 
-def diagonals(a: Prepared, sb: np.ndarray) -> np.ndarray:
-    """Matching shingles on every diagonal, that of (last of a, first of b) first: all places in a meet all in b."""
-    out = np.zeros(len(a.shingles) + len(sb) - 1, np.int64)
-    at = np.minimum(np.searchsorted(a.distinct, sb), len(a.distinct) - 1)
-    hit = np.flatnonzero(a.distinct[at] == sb)
-    if len(hit) < ENOUGH:
-        return out
+def diagonals(a: Prepared, at: np.ndarray, hit: np.ndarray) -> np.ndarray:
+    """Matching shingles on every diagonal, that of (last of a, first of b) first: all places in a meet all in b, at
+    whose places ``hit`` the shingles are a's different ones of the numbers ``at``."""
+    out = np.zeros(len(a.shingles) + len(at) - 1, np.int64)
     begin, count = a.begin[at[hit]], a.begin[at[hit] + 1] - a.begin[at[hit]]
     total = np.cumsum(count)
     cuts = np.unique(np.searchsorted(total, np.arange(PAIRS, total[-1], PAIRS)))
@@ -354,7 +350,12 @@ def shared_spans(a: Prepared, b: Prepared) -> list[tuple[int, int, int, int]]:
     sa, sb = a.shingles, b.shingles
     if len(sa) < SPAN or len(sb) < SPAN:
         return []
-    counts = diagonals(a, sb)
+    at = np.minimum(np.searchsorted(a.distinct, sb), len(a.distinct) - 1)
+    known = a.distinct[at] == sb
+    upto = np.cumsum(known)
+    if upto[SPAN - 1] < ENOUGH and (upto[SPAN:] - upto[:-SPAN] < ENOUGH).all():
+        return []  # no window of b has enough shingles that are anywhere in a
+    counts = diagonals(a, at, np.flatnonzero(known))
     seeds = np.flatnonzero(counts >= WORDS)
     if not len(seeds):
         return []
@@ -370,20 +371,30 @@ def shared_spans(a: Prepared, b: Prepared) -> list[tuple[int, int, int, int]]:
             equal = sb[low:high] == sa[low - d : high - d]
             mask_b[low:high] |= equal
             mask_a[low - d : high - d] |= equal
-        in_a = covered(mask_a)
-        for start, words in covered(mask_b):
-            for partner in in_a:
-                if len(seed) == 1 or seed[-1] - seed[0] <= DRIFT:
+        in_b = covered(mask_b)
+        in_a = covered(mask_a) if in_b else []
+        narrow = len(seed) == 1 or seed[-1] - seed[0] <= DRIFT
+        shared = [] if narrow else [shared_upto(a, partner, at, known) for partner in in_a]
+        for start, words in in_b:
+            for i, partner in enumerate(in_a):
+                if narrow:
                     shift = int(seed[len(seed) // 2]) - len(sa) + 1
                     meet = partner[0] + shift < start + words + DRIFT and start < sum(partner) + shift + DRIFT
                 else:  # many diagonals: no one of them tells which passages belong together
-                    other = sa[partner[0] : sum(partner) - WORDS + 1]
-                    meet = np.isin(sb[start : start + words - WORDS + 1], other).sum() >= ENOUGH
+                    end = min(start + words - WORDS + 1, len(sb))
+                    meet = shared[i][end] - shared[i][start] >= ENOUGH
                 if meet:
                     found.append((*partner, start, words))
     return found
 
 
+def shared_upto(a: Prepared, passage: tuple[int, int], at: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """How many of b's first shingles, for each number of them, are among those of a's passage."""
+    inside = np.zeros(len(a.distinct), bool)
+    inside[np.searchsorted(a.distinct, a.shingles[passage[0] : sum(passage) - WORDS + 1])] = True
+    return np.r_[0, np.cumsum(inside[at] & known)]
+
+
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """(key, start, words, other_key, removed): passages of a text that another text has, too.
 
@@ -400,29 +411,26 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     wanted = cut_lineage(
         texts.join(owners, "owner").groupBy("owner", "key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("holder"))
     )
-    held = docs.select(text_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), binary_text().alias("text"))
-    fetched = (
-        held.join(wanted.withColumnRenamed("key", "wanted"), (F.col("key") == F.col("wanted")) & F.col("doc_id").eqNullSafe(F.col("holder.doc_id")))
-        .groupBy("owner", "key")
-        .agg(F.first("text").alias("text"))
-    )
-    fetched = cut_lineage(fetched)
+    place = ["key", "no_id", "id"]  # joined and grouped by the same columns, texts are shuffled once
+    held = docs.select(text_key().alias("key"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").cast("long").alias("doc_id"), binary_text().alias("text"))
+    asked = wanted.select("owner", "key", F.col("holder.col1").alias("no_id"), F.col("holder.doc_id").alias("doc_id"))
+    held, asked = (x.withColumn("id", F.coalesce("doc_id", F.lit(0))).drop("doc_id") for x in (held, asked))
+    fetched = held.join(asked, place).groupBy(*place).agg(F.first("owner").alias("owner"), F.first("text").alias("text"))
+    fetched = cut_lineage(fetched.select("owner", "key", "text"))
     pairs = near.union(exact_links(ranges, fetched.select("owner", "text"))).distinct()
     both = (
         pairs.join(fetched.withColumnsRenamed({"owner": "b", "key": "key_b", "text": "text_b"}), "b")
         .join(fetched.withColumnsRenamed({"owner": "a", "key": "key_a", "text": "text_a"}), "a")  # pairs of one a stay together
         .select("key_a", "key_b", "text_a", "text_b")
     )
-    hashes = WordHashes()
-
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, a = None, None
         for batch in batches:
             out = []
             for key_a, key_b, text_a, text_b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key_a != last:
-                    last, a = key_a, Prepared.of(hashes.of(text_a.split()))
-                b = Prepared(shingle(hashes.of(text_b.split())), NONE, NONE, NONE)
+                    last, a = key_a, Prepared.of(word_sums(text_a))
+                b = Prepared(shingle(word_sums(text_b)), NONE, NONE, NONE)
                 for start_a, words_a, start_b, words_b in shared_spans(a, b):
                     out += [(key_a, start_a, words_a, key_b, False), (key_b, start_b, words_b, key_a, True)]
             if out:
@@ -456,7 +464,14 @@ def report(docs: DataFrame) -> DataFrame:
         .join(names.select(F.col("key").alias("other_key"), F.col("keeper").alias("other_doc_id")), "other_key")
         .select("doc_id", F.col("start").alias("start_word"), F.col("words").alias("n_words"), "other_doc_id", "removed")
     )
-    rows = docs.select(text_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.size(F.expr(WORD_LIST)).cast("long").alias("n_words"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = pa.array([len(text.split()) for text in batch.column(2).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], words], ["key", "doc_id", "n_words"])
+
+    rows = docs.select(text_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), binary_text().alias("text"))
+    rows = map_batches(rows, count, "key binary, doc_id long, n_words long")
     again = names.where("copies > 1").select("key", "keeper")
     copies = rows.join(again, "key").where((F.col("n_words") >= PASSAGE) & ~F.col("doc_id").eqNullSafe(F.col("keeper")))
     return named.unionByName(

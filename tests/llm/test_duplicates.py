@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from conftest import prose
 
-from cytogrid.llm import common, near_duplicates, passages, vectors
+from cytogrid.llm import common, near_duplicates, passages, shingles, vectors
 from cytogrid.llm.shingles import WordHashes, occurrences, shingle
 
 
@@ -234,6 +234,30 @@ def test_passages_of_lines_that_stand_elsewhere_before():
     assert any(x <= start and x + n >= start + 50 for x, n, _, _ in found)
 
 
+def test_word_sums_tell_words_apart(monkeypatch):
+    rng = random.Random(42)
+    for size in (shingles.SPAN_BYTES, 16):  # in one go, and in portions
+        monkeypatch.setattr(shingles, "SPAN_BYTES", size)
+        long = b"x" * 300
+        words = [bytes(rng.choices(b"ab\xc3", k=rng.randint(1, 4))) for _ in range(500)] + [long, long + b"y", long]
+        text = b" " + b"".join(w + rng.choice([b" ", b"\n\t", b"\x0b\x0c\r"]) for w in words)
+        sums = shingles.word_sums(text).tolist()
+        assert [words.index(w) for w in words] == [sums.index(x) for x in sums]
+        assert shingles.word_sums(b"\x1ca " + words[0])[1] == sums[0]  # wherever a word stands
+        assert not len(shingles.word_sums(b"")) and not len(shingles.word_sums(b" \n"))
+
+
+def test_texts_without_enough_shared_shingles_are_not_laid_side_by_side(monkeypatch):
+    rng = random.Random(43)
+    line, part = prose(rng, 20), prose(rng, 55)
+    of = lambda text: passages.Prepared.of(shingles.word_sums(text.encode()))
+    a, b = (of(" ".join(f"{prose(rng, 60)} {line}" for _ in range(4))) for _ in range(2))
+    both = [of(f"{prose(rng, 30)} {part} {prose(rng, 30)}") for _ in range(2)]
+    assert (30, 55, 30, 55) in passages.shared_spans(*both)
+    monkeypatch.setattr(passages, "diagonals", None)
+    assert passages.shared_spans(a, b) == []
+
+
 def test_cut_spans_merge():
     assert passages.cut_spans(b" a b c d e ", [(1, 2), (2, 2), (9, 1)]) == b" a e "
     assert passages.cut_spans(b"a b", [(0, 2)]) == b""
