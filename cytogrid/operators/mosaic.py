@@ -20,6 +20,8 @@ from ..session import cut_lineage, spread_out
 
 BLOCK_ROWS = 1024
 HISTOGRAM_BINS = 4096
+# Points of a group whose centres one task settles; larger groups go on together, turn by turn.
+GROUP_ROWS = 16_384
 # Weights of the feature blocks.
 WEIGHTS = {"image": 1.0, "biomarkers": 1.0, "types": 1.0, "shape": 0.2}
 
@@ -227,6 +229,29 @@ def _center_distances(point: Sequence[Column], centers: Column) -> Column:
     )
 
 
+def settled_centers(block: pd.DataFrame, groups: Sequence[str], k: int, iterations: int) -> pd.DataFrame:
+    """The centres of a group as one row, by the turns of ``grouped_kmeans``; ``_moved`` if they did not settle."""
+    at = np.array(block["_at"].tolist(), dtype=float)
+    labels = np.arange(min(k, len(at)))
+    centers = at[np.argsort(block["_turn"].to_numpy())[: len(labels)]]
+    moved = True
+    for _ in range(iterations - 1):  # the last turn only finds that all have settled
+        squares = np.zeros((len(at), len(centers)))
+        for d in range(at.shape[1]):
+            squares += np.square(at[:, d, None] - centers[None, :, d])
+        near = squares.argmin(1)
+        counts = np.bincount(near, minlength=len(centers))
+        there = np.flatnonzero(counts)
+        sums = [np.bincount(near, at[:, d], len(centers))[there] for d in range(at.shape[1])]
+        fresh = np.round(np.stack(sums, 1) / counts[there, None], 9)
+        moved = len(there) < len(centers) or bool((fresh != centers).any())
+        labels, centers = labels[there], fresh
+        if not moved:
+            break
+    packed = [{"_label": int(i), "center": c.tolist()} for i, c in zip(labels, centers)]
+    return pd.DataFrame({**{c: block[c].iloc[:1] for c in groups}, "_centers": [packed], "_moved": [moved]})
+
+
 def grouped_kmeans(
     points: DataFrame,
     groups: Sequence[str],
@@ -239,7 +264,8 @@ def grouped_kmeans(
 ) -> DataFrame:
     """k-means inside every group, all groups in step; centres start at drawn points.
 
-    A group's ``k`` centres travel as one row; points are spread over tasks, and new
+    Groups of up to ``GROUP_ROWS`` points are settled inside tasks, a group by one task. The others, and
+    those with missing numbers, take turns together: a group's ``k`` centres travel as one row; points are spread over tasks, and new
     centres are partial sums. Groups with fewer than ``k`` points get fewer clusters.
     It goes on until no centre moves; a group that has settled is left alone from then on.
     More than ``iterations`` turns raise.
@@ -250,8 +276,16 @@ def grouped_kmeans(
     draw = Window.partitionBy(*groups).orderBy(
         draw_order(seed, *[F.col(c) for c in [*groups, *key]]), *key
     )
+    odd = F.col(vector).isNull() | (F.size(vector) != dims) | F.exists(
+        vector, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x) == float("inf")))
+    sizes = cut_lineage(points.groupBy(*groups).agg(
+        ((F.count(F.lit(1)) > GROUP_ROWS) | F.max(odd)).alias("_crowded")))
+    alone, rest = points, points.where("false")
+    if not sizes.where("_crowded").isEmpty():
+        known = attach(points, sizes, groups, [k for k in key if k not in groups])
+        alone, rest = known.where("NOT _crowded").drop("_crowded"), known.where("_crowded").drop("_crowded")
     start = (
-        points.withColumn("_turn", F.row_number().over(draw)).where(F.col("_turn") <= k)
+        rest.withColumn("_turn", F.row_number().over(draw)).where(F.col("_turn") <= k)
         .select(*groups, (F.col("_turn") - 1).alias("_label"), F.col(vector).alias("center"))
     )
 
@@ -268,7 +302,16 @@ def grouped_kmeans(
             name, near["label"]
         )
 
-    state = cut_lineage(packed(start).withColumn("_moved", F.lit(True)))
+    turned = spread_out(alone, *groups).withColumn("_turn", F.row_number().over(draw))
+    turned = turned.where(" AND ".join(f"`{c}` IS NOT NULL" for c in groups)).select(
+        *groups, F.col(vector).cast("array<double>").alias("_at"), "_turn")
+    kinds = ", ".join(f"`{c}` {t}" for c, t in turned.dtypes if c in groups)
+    settled = turned.groupBy(*groups).applyInPandas(
+        lambda block: settled_centers(block, groups, k, iterations),
+        f"{kinds}, _centers array<struct<_label: int, center: array<double>>>, _moved boolean")
+    state = cut_lineage(settled.unionByName(packed(start).withColumn("_moved", F.lit(True))))
+    if not state.where("_moved").join(sizes.where("NOT _crowded"), groups).isEmpty():
+        raise RuntimeError(f"k-means did not settle in {iterations} turns")
     for _ in range(iterations):
         moving = state.where("_moved").drop("_moved")
         if moving.isEmpty():

@@ -466,6 +466,24 @@ def test_kmeans_ends_with_every_point_at_its_nearest_centre(spark):
         mosaic.grouped_kmeans(df, ["region_id"], ["k"], "v", 5, iterations=2)
 
 
+def test_kmeans_settles_groups_inside_tasks(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    rows = [(g, i, rng.uniform(0, 1, 2).tolist()) for g in "abc" for i in range({"a": 300, "b": 90, "c": 3}[g])]
+    rows += [("d", 0, [0.5, None]), ("d", 1, [0.1, 0.2]), (None, 0, [0.1, 0.2])]
+    df = spark.createDataFrame(rows, "region_id string, k long, v array<double>")
+    written, cut = [], mosaic.cut_lineage
+    monkeypatch.setattr(mosaic, "cut_lineage", lambda df: written.append(df) or cut(df))
+    found, tables = [], []
+    for size in (0, 100, mosaic.GROUP_ROWS):  # none, some and all whole groups in tasks
+        monkeypatch.setattr(mosaic, "GROUP_ROWS", size)
+        written.clear()
+        got = mosaic.grouped_kmeans(df.where("region_id IS NULL OR region_id != 'd'" if size > 100 else "true"), ["region_id"], ["k"], "v", 5)
+        found.append({(x.region_id, x.k): x.cluster for x in got.collect() if x.region_id != "d"})
+        tables.append(len(written))
+    assert found[0] == found[1] == found[2] and len(found[0]) == 393
+    assert tables[2] == 2 < tables[0]  # no table per turn
+
+
 @pytest.mark.parametrize("method", ["center", "sample"])
 def test_representatives(spark, method):
     rows = [("r", 3, i, [float(i)]) for i in range(3)] + [("r", 9, i, [float(i * i)]) for i in range(9)]
