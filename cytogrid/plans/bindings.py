@@ -10,6 +10,8 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import broadcast_by_measure
+
 CELLS_PER_REGION = 1500
 WIDTH = 1239
 BIOMARKERS = ["qty", "price", "disc", "tax"]
@@ -19,6 +21,7 @@ CORNER = (-64, -64)  # of the window grid that the SQL twins lay over every regi
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    broadcast_by_measure(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

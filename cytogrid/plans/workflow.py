@@ -13,7 +13,7 @@ from ..functions.prompts import transcript
 from ..functions.replies import relevance_score
 from ..functions.skew import attach
 from ..operators import agents, community, describe, filters, graph, spatial, windows
-from ..session import cut_lineage
+from ..session import broadcast_by_measure, cut_lineage
 from ..sources.metadata import diagnoses_of, renames_of
 from ..sources.tables import StageStore
 
@@ -94,6 +94,7 @@ def widen(expression: DataFrame, biomarkers: Sequence[str]) -> DataFrame:
 
 def prepare(tables: StudyTables) -> DataFrame:
     """Every cell with type, expression, shape and density, written once for all stages."""
+    broadcast_by_measure(tables.cells.sparkSession)
     key = ["region_id", "cell_id"]
     renamed = filters.rename_cell_types(
         tables.types.select(*key, "cell_type").withColumn("study", study_of()),

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from cytogrid.operators import (
     agents, community, describe, evaluate, features, filters, graph, images, morphology, mosaic, nearest, spatial, windows,
 )
-from cytogrid.plans import workflow
+from cytogrid.plans import bindings, workflow
+from cytogrid.session import cut_lineage
 
 CELLS = "region_id string, cell_id long, x double, y double"
 
@@ -550,3 +551,19 @@ def test_a_tile_of_one_community_is_proven():
     twice = [*clique, *[(a + 12, b + 12) for a, b in clique], (0, 12)]  # cut by one link, 144 pairs
     assert graph(twice, 24).best_whole(0.5 / 144) and not graph(twice, 24).best_whole(1.1 / 144)
     assert not graph(twice[:-1], 24).best_whole(1e-5)  # not connected
+
+
+def test_tables_are_not_broadcast_by_their_packed_size(spark, tmp_path, capsys):
+    own = spark.newSession()
+    own.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
+    own.range(9).write.parquet(str(tmp_path / "nation.parquet"))
+    bindings.table(own, str(tmp_path), "nation")
+    cells = own.range(500_000).select(F.lit(0).alias("region_id"), F.col("id").alias("cell_id"))
+    packed = cut_lineage(cells.withColumn("label", F.lit(7)))
+    cells.join(packed, ["region_id", "cell_id"]).explain()
+    assert "BroadcastHashJoin" not in capsys.readouterr().out
+    packed.join(cut_lineage(own.range(9).withColumnRenamed("id", "label")), "label").explain()
+    assert "BroadcastHashJoin" in capsys.readouterr().out
+    assert own.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold") == "10MB"
+    bindings.table(own, str(tmp_path), "nation")  # a second time changes nothing
+    assert own.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold") == "10MB"
