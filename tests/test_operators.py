@@ -327,6 +327,37 @@ def test_refused_nodes_go_to_the_next_part(spark):
         assert a not in part or b in part or sizes[part[a]] == 30
 
 
+def test_whole_components_are_split_by_tasks_and_rounds_alike(spark, monkeypatch):
+    """Every node is in one connected part, whichever way it grows; samples are the first of these parts."""
+    rng = np.random.default_rng(5)
+    at = rng.uniform(0, 12, (300, 2))
+    near = ((at[:, None] - at[None]) ** 2).sum(2) < 1.3
+    pairs = [(int(a), int(b)) for a, b in np.argwhere(near) if a < b]
+    nodes = spark.createDataFrame([("r", i) for i in range(300)], "region_id string, cell_id long")
+    edges = two_way(spark, pairs)
+    components = cut_lineage(graph.connected_components(nodes, edges))
+    want = {tuple(r) for r in graph.split_components(components, edges, 30, whole=True).collect()}
+    monkeypatch.setattr(graph, "TILE_NODES", 100)
+    got = graph.split_components(components, edges, 30, whole=True).toPandas()
+    assert set(got.itertuples(index=False, name=None)) == want and sorted(got["cell_id"]) == list(range(300))
+    linked = [set() for _ in range(300)]
+    for a, b in pairs:
+        linked[a].add(b)
+        linked[b].add(a)
+    for _, members in got.groupby(["component", "part"])["cell_id"]:
+        members, todo = set(members), [min(members)]
+        assert len(members) <= 30
+        seen = set()
+        while todo:
+            n = todo.pop()
+            if n not in seen:
+                seen.add(n)
+                todo += linked[n] & members
+        assert seen == members
+    samples = {tuple(r) for r in graph.split_components(components, edges, 30).collect()}
+    assert samples < want
+
+
 def test_cluster_samples_need_twenty_cells(spark):
     pairs = [(i, i + 1) for i in range(18)] + [(i, i + 1) for i in range(100, 119)]
     nodes = [*range(19), *range(100, 120)]
