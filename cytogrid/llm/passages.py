@@ -28,6 +28,8 @@ FUNCTIONS, AGREEING = 5, 2
 #: Windows that a task combines before the shuffle, and rows of a batch behind it.
 CHUNK, PORTION = 1_000_000, 50_000
 MASK = (1 << 30) - 1
+#: Level at which texts are packed.
+PACKING = 6
 #: Pairs of places of equal shingles that are looked at in one go.
 PAIRS = 1 << 20
 NONE = np.zeros(0, np.int64)
@@ -260,7 +262,7 @@ def candidates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def exact_links(ranges: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b) with a < b: texts (owner, text) that repeat 50 words, linked to the smallest text that has them.
+    """(a, b) with a < b: packed texts (owner, text) that repeat 50 words, linked to the smallest text that has them.
 
     An exact repeat has the same signature under every function, so its start is in ``ranges``: none is lost.
     """
@@ -270,7 +272,7 @@ def exact_links(ranges: DataFrame, texts: DataFrame) -> DataFrame:
         keys, owners, held = [], [], 0
         for batch in batches:
             for owner, text, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                shingles = shingle(word_sums(text))
+                shingles = shingle(word_sums(unpack(text)))
                 starts = np.concatenate([np.arange(x["first"], x["last"] + 1) for x in spans])
                 value = np.zeros(len(starts), np.uint64)
                 for i in range(0, PASSAGE, WORDS):
@@ -395,6 +397,15 @@ def shared_upto(a: Prepared, passage: tuple[int, int], at: np.ndarray, known: np
     return np.r_[0, np.cumsum(inside[at] & known)]
 
 
+def pack(text: bytes) -> bytes:
+    """The text, each packed by itself, as it is shuffled with every pair; its size stands before it."""
+    return len(text).to_bytes(8, "little") + pa.Codec("zstd", PACKING).compress(text, asbytes=True)
+
+
+def unpack(packed: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(packed[8:], int.from_bytes(packed[:8], "little"), asbytes=True)
+
+
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """(key, start, words, other_key, removed): passages of a text that another text has, too.
 
@@ -416,7 +427,13 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     asked = wanted.select("owner", "key", F.col("holder.col1").alias("no_id"), F.col("holder.doc_id").alias("doc_id"))
     held, asked = (x.withColumn("id", F.coalesce("doc_id", F.lit(0))).drop("doc_id") for x in (held, asked))
     fetched = held.join(asked, place).groupBy(*place).agg(F.first("owner").alias("owner"), F.first("text").alias("text"))
-    fetched = cut_lineage(fetched.select("owner", "key", "text"))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.array([pack(text) for text in batch.column(2).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], texts], ["owner", "key", "text"])
+
+    fetched = cut_lineage(map_batches(fetched.select("owner", "key", "text"), packed, "owner long, key binary, text binary"))
     pairs = near.union(exact_links(ranges, fetched.select("owner", "text"))).distinct()
     both = (
         pairs.join(fetched.withColumnsRenamed({"owner": "b", "key": "key_b", "text": "text_b"}), "b")
@@ -429,8 +446,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
             out = []
             for key_a, key_b, text_a, text_b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key_a != last:
-                    last, a = key_a, Prepared.of(word_sums(text_a))
-                b = Prepared(shingle(word_sums(text_b)), NONE, NONE, NONE)
+                    last, a = key_a, Prepared.of(word_sums(unpack(text_a)))
+                b = Prepared(shingle(word_sums(unpack(text_b))), NONE, NONE, NONE)
                 for start_a, words_a, start_b, words_b in shared_spans(a, b):
                     out += [(key_a, start_a, words_a, key_b, False), (key_b, start_b, words_b, key_a, True)]
             if out:

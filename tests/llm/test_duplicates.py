@@ -258,6 +258,13 @@ def test_texts_without_enough_shared_shingles_are_not_laid_side_by_side(monkeypa
     assert passages.shared_spans(a, b) == []
 
 
+def test_texts_travel_packed():
+    text = prose(random.Random(47), 4000).encode()
+    assert len(passages.pack(text)) < 0.7 * len(text)
+    for x in (text, b"", b" ", "\u00e4\n\u00e9 ".encode() * 300, b"\xff\x00"):
+        assert passages.unpack(passages.pack(x)) == x
+
+
 def test_cut_spans_merge():
     assert passages.cut_spans(b" a b c d e ", [(1, 2), (2, 2), (9, 1)]) == b" a e "
     assert passages.cut_spans(b"a b", [(0, 2)]) == b""
